@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, simhash
+from . import archives, decontaminate, language, repeats, simhash, toxicity, urls
 from .media import media_columns
 from .packing import pack
 from .token_counts import count_tokens
@@ -30,6 +30,27 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), with_ids=False)
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op5_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -44,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_url_rules": urls.judge_sql(), "op5_archives": archives.SQL}
