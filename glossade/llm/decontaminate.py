@@ -14,6 +14,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,3 +173,17 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         found = map_texts(own, run, schema)
         out = found if out is None else out.union(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
+
+
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows in which an item is found, by the same search; all columns stay. A null text is clean."""
+    out, has = docs, "contaminated_row"
+    for index in indexes(items, threshold):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        @F.pandas_udf("boolean")
+        def found(v: pd.Series) -> pd.Series:
+            return pd.Series([bool(t) and bool(shared.value.hits(t)) for t in v], dtype=bool)
+
+        out = out.withColumn(has, found(F.col("text"))).where(f"not {has}").drop(has)
+    return out

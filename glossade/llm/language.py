@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import map_texts, split_of, texts
+from .shared import map_texts, pieces, split_of, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 #: The model's bounds: labelled rows that are fitted on, characters of each that fitting reads, and words kept a language.
@@ -140,3 +141,23 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return map_texts(texts(docs).withColumn("held_out", F.coalesce(split_of() == 0, F.lit(False))), run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def annotate(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred and lang_score after its own columns (which must not have these names); otherwise as identify()."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.state())
+    held: list[Model] = []
+    at = docs.columns.index("text")
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+
+    def run(batches):
+        if not held:
+            held.append(Model(*shared.value))
+        for batch, values in pieces(batches):
+            got = held[0].predict(values)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*(f"c{i}" for i in range(at)), "text", *(f"c{i}" for i in range(at + 1, batch.num_columns)), "lang_pred", "lang_score"])
+
+    numbered = docs.select(*(F.col(f"`{c}`").alias("text" if i == at else f"c{i}") for i, c in enumerate(docs.columns)))
+    out = T.StructType([T.StructField("text" if i == at else f"c{i}" if i < len(docs.columns) else f.name, f.dataType) for i, f in enumerate(schema.fields)])
+    found = numbered.mapInArrow(run, out)
+    return found.toDF(*schema.names)

@@ -20,6 +20,7 @@ import gc
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -332,3 +333,28 @@ def cut(docs: DataFrame, with_text: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(rows[:n], kinds))], names=["doc_id", *names[:n]])
 
     return own.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<lo: long, hi: long>>" * with_text)
+
+
+def trimmed(docs: DataFrame) -> DataFrame:
+    """docs with repeated strings cut from text; all other columns stay. A character that a cut divides goes with it. A null text stays null."""
+    spans = repeated_spans(docs)
+    _freed(docs.sparkSession)
+
+    @F.pandas_udf("string")
+    def left(text: pd.Series, spans: pd.Series) -> pd.Series:
+        out = []
+        for t, s in zip(text, spans):
+            if s is not None and len(s):
+                raw, at, parts = t.encode(), 0, []
+                lo, hi = merged(np.array([x["lo"] for x in s]), np.array([x["hi"] for x in s]))
+                for a, b in zip(lo.tolist(), hi.tolist()):
+                    parts.append(raw[at:a].decode(errors="ignore"))
+                    at = b
+                t = "".join([*parts, raw[at:].decode(errors="ignore")])
+            out.append(t)
+        return pd.Series(out)
+
+    keyed = docs.withColumns({"span_o": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "span_h": F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    met = keyed.join(spans.select(F.col("o").alias("span_o"), F.col("h").alias("span_h"), F.col("spans").alias("span_list")), ["span_o", "span_h"], "left")
+    text = F.when(F.col("span_list").isNull(), F.col("text")).otherwise(left("text", "span_list"))
+    return met.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
