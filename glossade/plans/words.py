@@ -123,7 +123,7 @@ def score_sequences_l2(spark, sf):
     return _sentence_scores(spark, sf, 2.0).select("doc_id", "line_no", "len_used", F.round("sLAS", 9).alias("sLAS"))
 
 
-@query(f"WITH {_SCORED} SELECT doc_id, line_no, count(w) AS len_used, round(coalesce(avg(CASE WHEN w IS NOT NULL THEN d END), 0.0), 9) AS sLAS FROM d GROUP BY doc_id, line_no")
+@query(f"WITH {_SCORED} SELECT doc_id, line_no, count(w) AS len_used, round(coalesce(avg(CASE WHEN w IS NOT NULL THEN d END), 0.0), 9) + 0.0::DOUBLE AS sLAS FROM d GROUP BY doc_id, line_no")
 def score_sequences_signed(spark, sf):
     return _sentence_scores(spark, sf, None).select("doc_id", "line_no", "len_used", F.round("sLAS", 9).alias("sLAS"))
 
