@@ -31,7 +31,7 @@ from .shared import pieces, written
 
 SIZE, GRAM = 100, 32
 #: String starts handled at once, bytes of contexts sorted at once, and contexts of an anchor from which its strings are dealt singly.
-SEGMENT, CHUNK, HOT = 1 << 19, 1 << 19, 4000
+SEGMENT, CHUNK, HOT = 1 << 19, 1 << 20, 4000
 _BASE = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

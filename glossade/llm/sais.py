@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Most symbols that a level sorts directly.
+#: Most symbols that a level sorts directly (under 2**16).
 SYMBOLS = 2048
 
 
@@ -18,11 +18,13 @@ def _split(at: np.ndarray, symbol: np.ndarray, into: list[list[np.ndarray]]) ->
     if len(at) == 1:
         into[symbol[0]].append(at)
         return
-    order = np.argsort(symbol, kind="stable")
+    order = np.argsort(symbol.astype(np.uint16), kind="stable")
     at, symbol = at[order], symbol[order]
-    cuts = np.nonzero(symbol[1:] != symbol[:-1])[0] + 1
-    for part, s in zip(np.split(at, cuts), symbol[np.concatenate([[0], cuts])].tolist()):
-        into[s].append(part)
+    cuts = (np.nonzero(symbol[1:] != symbol[:-1])[0] + 1).tolist()
+    start = 0
+    for s, end in zip(symbol[[0, *cuts]].tolist(), [*cuts, len(at)]):
+        into[s].append(at[start:end])
+        start = end
 
 
 def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, k: int) -> np.ndarray:

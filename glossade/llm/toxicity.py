@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from .shared import map_texts, split_of, texts
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of the fit: labelled rows, and terms of the lexicon. A term needs so many different contexts in toxic rows, and such odds.
-SAMPLE_ROWS, TERMS, CONTEXTS, ODDS = 8000, 2000, 3, 8.0
+#: Bounds of the fit: labelled rows, and terms of the lexicon. A term needs so many different contexts in toxic rows, such odds, and such a
+#: log-likelihood ratio (G squared): a rare word of a few toxic rows, or of copies of one, is no term.
+SAMPLE_ROWS, TERMS, CONTEXTS, ODDS, EVIDENCE = 8000, 2000, 3, 8.0, 25.0
 #: Characters on each side of a hit that are looked at.
 SIDE = 80
 OPEN, CLOSE = "“„«‹", "”»›"
@@ -45,15 +46,38 @@ class Trie:
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = t
-        # a word within k edits of a term holds one of k + 1 parts of the term unchanged
-        parts = {t[len(t) * i // (k + 1) : len(t) * (i + 1) // (k + 1)] for t in self.terms if (k := edits(t)) for i in range(k + 1)}
-        self.parts = re.compile("|".join(map(re.escape, sorted(parts)))) if parts else None
+        # of k + 1 parts of a term, a word within k edits holds one unchanged: the first at its start, the last at its end, the middle at most one place off
+        self.first: dict[str, set[int]] = {}
+        self.last: dict[str, set[int]] = {}
+        self.middle: dict[str, set[tuple[int, int]]] = {}
+        for t in self.terms:
+            if not (k := edits(t)):
+                continue
+            n, sizes = len(t), range(len(t) - k, len(t) + k + 1)
+            cuts = [n * i // (k + 1) for i in range(k + 2)]
+            self.first.setdefault(t[: cuts[1]], set()).update(sizes)
+            self.last.setdefault(t[cuts[-2] :], set()).update(sizes)
+            if k == 2:
+                self.middle.setdefault(t[cuts[1] : cuts[2]], set()).update((cuts[1] + off, size) for off in (-1, 0, 1) for size in sizes)
+        self.sizes = [sorted({len(x) for x in of}) for of in (self.first, self.last)]
+        self.spots = sorted({(at, len(x)) for x, of in self.middle.items() for at, _ in of})
+
+    def near(self, word: str) -> bool:
+        """Whether word may be within its edits of some term: a quick test that no such word fails."""
+        n = len(word)
+        for size in self.sizes[0]:
+            if (of := self.first.get(word[:size])) and n in of:
+                return True
+        for size in self.sizes[1]:
+            if (of := self.last.get(word[-size:])) and n in of:
+                return True
+        return any((of := self.middle.get(word[at : at + size])) and (at, n) in of for at, size in self.spots)
 
     def match(self, word: str) -> str | None:
         """The term nearest to word within its edits (exact first, then fewer edits, then by name), or None."""
         if word in self.known:
             return word
-        if self.parts is None or not self.parts.search(word):
+        if not self.near(word):
             return None
         n, most = len(word), 2
         mask: dict[str, int] = {}
@@ -169,7 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         return Model([], np.array([0.0] * len(FEATURES) + [np.log((total[1] + 0.5) / (total[0] + 1.5))]))
     by = labelled.mapInArrow(contexts, "word string, context string, toxic int").groupBy("word").agg(F.count_distinct(F.when(F.col("toxic") == 1, F.col("context"))).alias("bad"), F.count_distinct(F.when(F.col("toxic") == 0, F.col("context"))).alias("fine"))
     odds = (F.col("bad") + 0.5) / (total[1] + 1) / ((F.col("fine") + 0.5) / (total[0] + 1))
-    terms = [r.word for r in by.where((F.col("bad") >= F.lit(max(CONTEXTS, total[1] // 200))) & (odds >= ODDS)).orderBy(odds.desc(), "word").limit(TERMS).select("word").collect()]
+    share = (F.col("bad") + F.col("fine")) / float(total[1] + total[0])
+    g2 = 2 * (F.col("bad") * F.ln(F.greatest("bad", F.lit(1)) / (share * total[1])) + F.col("fine") * F.ln(F.greatest("fine", F.lit(1)) / (share * total[0])))
+    terms = [r.word for r in by.where((F.col("bad") >= CONTEXTS) & (odds >= ODDS) & (g2 >= EVIDENCE)).orderBy(odds.desc(), "word").limit(TERMS).select("word").collect()]
     shared = spark.sparkContext.broadcast(terms)
 
     def features(batches):
