@@ -25,6 +25,11 @@ def strip_controls(text: Column) -> Column:
     return F.regexp_replace(text, r"[\p{C}&&[^\n\t]]", "")
 
 
+def strip_space(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, rf"^{UNICODE_SPACE}|{UNICODE_SPACE.removeprefix('(?U)')}$", "")
+
+
 def fold_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, UNICODE_SPACE, " "))
 

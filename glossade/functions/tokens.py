@@ -12,9 +12,9 @@ from .text import ASCII_SPACE, words
 
 
 class Tagger(Protocol):
-    """Tags a batch of texts: per text its tokens as (form, lemma, upos)."""
+    """Tags a batch of texts: per text its sentences, each a list of tokens as (form, lemma, upos)."""
 
-    def __call__(self, texts: list[str], lang: str) -> Iterable[list[tuple[str, str, str]]]: ...
+    def __call__(self, texts: list[str], lang: str) -> Iterable[list[list[tuple[str, str, str]]]]: ...
 
 
 class Tokenizer(Protocol):
