@@ -13,15 +13,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import map_texts, pieces, split_of, texts
+from .shared import map_texts, pieces, sampled, split_of, texts
 
 WORD = re.compile(r"[^\W\d_]+")
-#: The model's bounds: labelled rows that are fitted on, characters of each that fitting reads, and words kept a language.
-SAMPLE_ROWS, SAMPLE_CHARS, WORDS = 4000, 20_000, 20_000
+#: The model's bounds: labelled rows that are fitted on (each as a whole), and most frequent words that fitting looks at and keeps a language.
+SAMPLE_ROWS, WORDS = 4000, 50_000
 LONGEST = 4
 DISCOUNT = math.log(0.4)
 
@@ -47,7 +47,7 @@ class Model:
         """counts: of words by language."""
         langs = sorted(counts)
         total = np.array([sum(counts[k].values()) for k in langs], dtype=float) + 1.0
-        words = list(dict.fromkeys(w for k in langs for w, n in sorted(counts[k].items(), key=lambda x: (-x[1], x[0]))[:WORDS] if n >= min_count))
+        words = list(dict.fromkeys(w for k in langs for w, n in sorted(counts[k].items(), key=lambda x: (-x[1], x[0])) if n >= min_count))
         rows = [np.log((np.array([counts[k].get(w, 0) for k in langs]) + 0.5) / total) for w in words]
         by: dict[str, list[float]] = defaultdict(lambda: [0.0] * len(langs))
         for i, k in enumerate(langs):
@@ -61,7 +61,7 @@ class Model:
             mass[len(g)] += c
         grams = [g for g, c in by.items() if len(g) == 1 or sum(c) >= 3]
         rows += [np.log((np.array(by[g]) + 0.5) / mass[len(g)]) + (LONGEST - len(g)) * DISCOUNT for g in grams]
-        return cls(langs, words, grams, np.array([*rows, np.zeros(len(langs))]).reshape(-1, len(langs)))
+        return cls(langs, words, grams, np.array([*rows, np.zeros(len(langs))]).reshape(len(rows) + 1, len(langs)))
 
     def _places(self, word: str) -> list[int]:
         """The rows of the longest known n-grams ending at each place of an unseen word; the row of zeros if there are none."""
@@ -99,13 +99,10 @@ class Model:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """The model of at most `rows` labelled rows that are not held out: those of the least hashes of doc_id and text, each once."""
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (split_of() != 0))
-    hashed = labelled.withColumn("h", F.xxhash64("doc_id", "lang", F.substring("text", 1, 100)))
-    last = hashed.select("h").orderBy("h").limit(rows).agg(F.max("h")).first()[0]
-    if last is None:
-        return Model.fit({})
-    sample = hashed.where(F.col("h") <= last).select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), "h").dropDuplicates(["h"])
+    """The model of the labelled rows of about `rows` doc_ids that are not held out, drawn by a hash of doc_id; of several rows of a doc_id the greatest."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    own = sampled(own.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (split_of() != 0)), rows)
+    sample = own.where(F.col("text").isNotNull()).groupBy("doc_id").agg(F.max(F.struct("lang", "text")).alias("x")).select("x.lang", "x.text")
 
     def count(batches):
         by: dict[str, Counter] = defaultdict(Counter)
@@ -117,9 +114,9 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*flat)], names=["lang", "word", "n"])
 
     counts: dict[str, Counter] = defaultdict(Counter)
-    for r in sample.select("lang").distinct().collect():
-        counts[r.lang] = Counter()
-    got = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    got = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    got = got.withColumn("place", place).where(F.col("place") <= WORDS).toArrow()
     for lang, word, n in zip(*(got.column(c).to_pylist() for c in ("lang", "word", "n"))):
         counts[lang][word] = n
     return Model.fit(counts)

@@ -53,6 +53,12 @@ def split_of(col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(col).cast("string")), F.lit(5))
 
 
+def sampled(df: DataFrame, ids: int, id_col: str = "doc_id") -> DataFrame:
+    """The rows of about so many different ids (all, if there are no more), drawn by a hash of the id; one pass counts ids by a sketch, nothing is sorted."""
+    n = df.agg(F.approx_count_distinct(id_col, 0.02)).first()[0]
+    return df if n <= ids else df.where(F.xxhash64(id_col) < F.lit(int(ids / n * (1 << 64)) - (1 << 63)))
+
+
 #: Rows go through Python in pieces of at most this many characters (a longer text is a piece of its own).
 PIECE_CHARS = 4_000_000
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_texts, split_of, texts
+from .shared import map_texts, sampled, split_of, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Bounds of the fit: labelled rows, and terms of the lexicon. A term needs so many different contexts in toxic rows, such odds, and such a
@@ -170,12 +170,12 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """The model of at most `rows` labelled rows that are not held out, those of the least hashes of doc_id."""
+    """The model of the labels of about `rows` doc_ids that are not held out, drawn by a hash of doc_id; of several texts of a doc_id the greatest."""
     spark = docs.sparkSession
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (split_of() != 0))
-    chosen = [tuple(r) for r in own.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows).distinct().collect()]
+    chosen = [tuple(r) for r in sampled(own, rows).distinct().collect()]
     sample = spark.createDataFrame(chosen, "doc_id long, toxic int")
-    labelled = texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
+    labelled = texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("doc_id", "text", "toxic")
 
     def contexts(batches):
         for b in batches:

@@ -182,6 +182,20 @@ def test_language_without_labels(spark, make):
     assert len(got) == len(ODD) and {r.lang_pred for r in got} == {"und"}
 
 
+def test_samples_are_bounded_by_ids(spark, make):
+    """One id may hold most rows; it counts once in a sample, and a sample has about as many ids as it says."""
+    from glossade.llm.shared import sampled
+
+    rows = [(7, f"hot row {i}", "aa") for i in range(500)] + [(d, f"text {d}", "bb") for d in range(1000, 1600)]
+    df = make(rows)
+    drawn = sampled(df, 100).select("doc_id").distinct().count()
+    assert 60 <= drawn <= 140 and sampled(df, 5000).count() == len(rows)
+    model = L.fit(df, rows=5000)
+    assert model.langs == ["aa", "bb"] and model.predict(["hot row"])[0][0] == "aa"
+    labels = spark.createDataFrame([(d, d % 2) for d, *_ in rows], "doc_id long, toxic int")
+    assert T.score(df, T.fit(df, labels)).count() == len(rows)
+
+
 def test_labels_are_no_input(spark, make):
     rows = [(d, f"word{'a' * (d % 3)} text", "xy"[d % 2]) for d in range(60)]
     a = L.identify(make(rows), m := L.fit(make(rows)))

@@ -37,7 +37,7 @@ def test_every_code_point(library):
 
 def test_splicing(library):
     b, rng = bpe(PATH), random.Random(3)
-    parts = ["a", "the", " ", "  ", "\n", "é", "'s", "12", "<|endoftext|>", "!?", "日本", " \t", "\r\n", "’"]
+    parts = ["a", "the", " ", "  ", "\n", "é", "'s", "12", "<|endoftext|>", "!?", "日本", " \t", "\r\n", "’", "\x1c", "!\x1c", "\x1f ", "\x85"]
     for _ in range(200):
         s = "".join(rng.choices(parts, k=rng.randint(0, 2000)))
         assert b.ids(s, rng.choice([16, 64, 300]), rng.choice([4, 8, 50])).tolist() == ids(library, s)
