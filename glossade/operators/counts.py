@@ -40,6 +40,11 @@ def changes(own: DataFrame) -> DataFrame:
     return own.withColumns({"growth": growth, "significant": F.coalesce(F.col("chi2") > CHI2_001, F.lit(False))})
 
 
+def mean_growth(shares: DataFrame, by: list[str]) -> DataFrame:
+    """The mean of growth over what shares has a row for (languages), by group."""
+    return shares.groupBy(*by).agg(F.count("*").alias("n_languages"), F.avg("growth").alias("mean_growth"))
+
+
 def with_p(df: DataFrame) -> DataFrame:
     return df.withColumn("p_value", chi2_p(F.col("chi2")))
 

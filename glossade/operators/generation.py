@@ -39,14 +39,32 @@ def run_stats(records: DataFrame) -> DataFrame:
     return records.rollup("lang").agg(F.count("*").alias("items"), F.sum("num_attempts").alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
 
 
-def continue_texts(requests: DataFrame, generate, schema: str):
-    """Runs an injected Generator (list of request dicts -> dicts of the schema) over batches."""
+def continue_texts(requests: DataFrame, generate, schema: str, attempts: int = 3, per_minute: float | None = None):
+    """Runs an injected Generator (list of request dicts -> dicts of the schema) over batches.
+
+    A batch that fails is tried again, `attempts` times in all, and then fails the task. per_minute bounds the requests of one task: divide a
+    provider's limit by the tasks that run at once.
+    """
 
     def run(batches):
+        import time
+
         import pandas as pd
 
         names = [f.strip().split(" ")[0] for f in schema.split(",")]
+        free = time.monotonic()
         for pdf in batches:
-            yield pd.DataFrame([*generate(pdf.to_dict("records"))], columns=names)
+            rows = pdf.to_dict("records")
+            for n in range(1, attempts + 1):
+                if per_minute:
+                    time.sleep(max(0.0, free - time.monotonic()))
+                    free = max(free, time.monotonic()) + 60 * len(rows) / per_minute
+                try:
+                    got = [*generate(rows)]
+                    break
+                except Exception:
+                    if n == attempts:
+                        raise
+            yield pd.DataFrame(got, columns=names)
 
     return requests.mapInPandas(run, schema)

@@ -78,6 +78,15 @@ def wlas(pairs: DataFrame, by: tuple[str, ...] = (), k: int = 12, windows: int =
     return differences(seen.select(*by, "key", "n_pairs", (F.col("h") / F.lit(float(per))).alias("c_H"), (F.col("m") / F.lit(float(per))).alias("c_M")))
 
 
+def sweep(pairs: DataFrame, sizes: tuple[int, ...], by: tuple[str, ...] = (), **how) -> DataFrame:
+    """wlas() for several window sizes in one frame, told apart by k."""
+    out = None
+    for k in sizes:
+        part = wlas(pairs, by, k, **how).withColumn("k", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def differences(counts: DataFrame, floor: float = 1e-9) -> DataFrame:
     own = counts.withColumns({"ell_H": jeffreys(F.col("c_H"), F.col("n_pairs")), "ell_M": jeffreys(F.col("c_M"), F.col("n_pairs"))})
     own = own.withColumn("LAS", F.col("ell_M") - F.col("ell_H"))

@@ -48,3 +48,19 @@ def matched_baseline(table: DataFrame, chosen: DataFrame, by: tuple[str, ...] =
     rest = table.join(chosen.select(*by, "key"), [*by, "key"], "left_anti")
     w = Window.partitionBy(*on).orderBy(F.abs("LAS"), F.desc("c_M"), "key")
     return rest.join(quota, on).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.col("quota")).drop("_n", "quota")
+
+
+def distribution(chosen: DataFrame, by: str = "upos") -> DataFrame:
+    """How many chosen keys there are of each part of speech."""
+    return chosen.groupBy(by).agg(F.count("*").alias("count"))
+
+
+def shared(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
+    """The values that a column has in both."""
+    return a.select(column).distinct().join(b.select(column).distinct(), column, "left_semi")
+
+
+def with_names(df: DataFrame, code: str, names: dict[str, str], name: str = "display_name") -> DataFrame:
+    """df with a display name for each code; a code without one is its own name. names is a small table of the caller's."""
+    table = df.sparkSession.createDataFrame([*names.items()] or [("", "")], f"{code} string, {name} string")
+    return df.join(F.broadcast(table), code, "left").withColumn(name, F.coalesce(name, code))

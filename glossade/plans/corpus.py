@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import basic_clean, cleaned, digit_dominated, fold_space, has_markup, punctuation_share, repetition, repetitive, words
 from ..functions.tokens import parsed_sentence_id, rule_tokens, sentence_id
-from ..operators import counts, generation, halves, selection
+from ..operators import counts, generation, halves, selection, tagging
 from ..operators import lines as ln
 from . import sql
 from .inputs import ASCII_SPACE, doc_keys, lines, period, table
@@ -102,6 +102,18 @@ def period_counts(spark, sf):
     return counts.pivoted(own, ["key"], "period", ["pre", "post"])
 
 
+@query(f"WITH {sql.LINES} SELECT lang, count(*) AS lines, count(*) FILTER (char_len <= 20000) AS sentences, coalesce(sum(token_count) FILTER (char_len <= 20000), 0)::BIGINT AS tokens, count(*) FILTER (char_len > 20000) AS failed FROM (SELECT * REPLACE (length(trim(text, E' \\t\\r'))::INT AS char_len) FROM lines) WHERE token_count > 0 GROUP BY lang")
+def tagging_progress(spark, sf):
+    own = lines(spark, sf).select("lang", F.col("doc_id").alias("year"), "line_no", "text")
+    done = tagging.progress(tagging.tag_lines(own, tagging.rule_tagger))
+    return done.groupBy("lang").agg(*(F.sum(c).alias(c) for c in ("lines", "sentences", "tokens", "failed")))
+
+
+@query(f"WITH {sql.LINES} SELECT doc_id, lang, line_no FROM (SELECT doc_id, lang, line_no, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no) AS n FROM lines WHERE token_count >= 24) WHERE n <= 30")
+def first_items_per_language(spark, sf):
+    return selection.top(lines(spark, sf).where("token_count >= 24").select("doc_id", "lang", "line_no"), 30, [F.col("doc_id"), F.col("line_no")], ("lang",))
+
+
 def _sentences(spark, sf):
     return lines(spark, sf).select(sentence_id(F.col("lang"), F.lit(2024), F.col("doc_id"), F.col("line_no")).alias("sent_id"), "lang", "text", rule_tokens(F.col("text")).alias("tokens"))
 

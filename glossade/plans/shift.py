@@ -44,6 +44,18 @@ def share_p_values(spark, sf):
     return counts.with_p(_shares(spark, sf)).select("lang", "grp", "chi2", "p_value", "significant")
 
 
+@query(f"WITH {_SHARES}, g2 AS (SELECT grp, coalesce((share_post - share_pre) / nullif(share_pre, 0), 0.0) AS growth FROM s) SELECT grp, count(*) AS n_languages, round(avg(growth), 9) AS mean_growth FROM g2 GROUP BY grp")
+def mean_growth(spark, sf):
+    own = counts.mean_growth(_shares(spark, sf), ["grp"])
+    return own.select("grp", "n_languages", F.round("mean_growth", 9).alias("mean_growth"))
+
+
+@query(f"WITH {sql.DOC_KEYS} SELECT lang FROM doc_keys WHERE period = 'pre' INTERSECT SELECT lang FROM doc_keys WHERE period = 'post'")
+def shared_languages(spark, sf):
+    own = doc_keys(spark, sf).withColumn("period", period())
+    return selection.shared(own.where("period = 'pre'"), own.where("period = 'post'"), "lang")
+
+
 _PRE, _POST = ["src0", "src1", "src2"], ["src17", "src18", "src19"]
 _PERIODS = f"""{sql.DOC_KEYS}, pc AS (SELECT source AS period, key, count(*) AS n FROM doc_keys GROUP BY source, key), pt AS (SELECT period AS p, sum(n)::BIGINT AS total FROM pc GROUP BY period)"""
 

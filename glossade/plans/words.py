@@ -172,6 +172,21 @@ def upos_matched_baseline(spark, sf):
     return selection.matched_baseline(own, selection.top_words(own, 50)).select("key", "upos")
 
 
+@query(f"WITH {sql.DISCOVERED} SELECT upos, count(*) AS count FROM ranked WHERE rank_LAS <= 50 GROUP BY upos")
+def seed_upos(spark, sf):
+    return selection.distribution(selection.top_words(tagged(spark, sf), 50))
+
+
+_SIZES = (10, 12, 16, 24)
+
+
+@query(f"WITH {sql.PAIRS}, " + ", ".join(sql.wlas(k=k, name=f"t{k}") for k in _SIZES) + " " + " UNION ALL ".join(f"SELECT {k} AS k, (SELECT any_value(n_pairs) FROM t{k}_n) AS n_pairs, count(*) AS unique_keys, count(*) FILTER (LAS > 0) AS n_positive FROM t{k}" for k in _SIZES))
+def window_sweep(spark, sf):
+    """One plan for all window sizes: the pairs are read once a size, no run by run."""
+    out = prevalence.sweep(pairs(spark, sf), _SIZES).groupBy("k").agg(F.max("n_pairs").alias("n_pairs"), F.count("*").alias("unique_keys"), F.count_if(F.col("LAS") > 0).alias("n_positive"))
+    return out.select("k", "n_pairs", "unique_keys", "n_positive")
+
+
 def _two(spark, sf):
     own = pairs(spark, sf)
     return (prevalence.with_lpr(prevalence.wlas(own.where(F.pmod("conv_id", F.lit(2)) == n))) for n in (0, 1))

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from glossade.operators import generation, pairing, prevalence, tagging
+from glossade.operators import generation, pairing, prevalence, selection, tagging
 from glossade.operators import lines as ln
 from glossade.sources import columns, conll, files, layout, outputs
 
@@ -122,6 +122,28 @@ def test_tagging(spark):
     assert got == {"a": [("b", "WORD"), ("c", "WORD")], "b": [], "c": [], "d": [], "e": []}
 
 
+def test_generator_is_tried_again(spark):
+    def generate(rows):
+        import os
+        import tempfile
+
+        mark = os.path.join(tempfile.gettempdir(), f"tried-{os.getppid()}-{rows[0]['item_id']}")
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise RuntimeError("busy")
+        os.remove(mark)
+        return [{"item_id": r["item_id"], "text": r["user_prompt"].upper()} for r in rows]
+
+    requests = spark.createDataFrame([("a", "go on")], "item_id string, user_prompt string")
+    got = generation.continue_texts(requests.coalesce(1), generate, "item_id string, text string", attempts=2, per_minute=6000)
+    assert [tuple(r) for r in got.collect()] == [("a", "GO ON")]
+
+
+def test_names(spark):
+    df = spark.createDataFrame([("en",), ("xx",)], "lang string")
+    assert sorted(r.display_name for r in selection.with_names(df, "lang", {"en": "English"}).collect()) == ["English", "xx"]
+
+
 def test_embeddings_are_computed_once(spark, tmp_path):
     store = str(tmp_path / "store")
     words = lambda *x: spark.createDataFrame([("en", w) for w in x], "lang string, lemma string")
