@@ -9,10 +9,14 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of a batch that goes to a Python worker, unless the session says otherwise: rows may be very long.
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once an application, so that Python workers can import it wherever they run."""
+    """Sends this package to the executors, once an application, so that Python workers can import it wherever they run, and bounds their batches."""
+    if _BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*_BATCH)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
