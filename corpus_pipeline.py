@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glossade.llm import decontaminate, language, packing, repeats, similar
 from glossade.llm.queries import vocabulary
-from glossade.llm.shared import new_path
+from glossade.llm.shared import new_path, unused
 from glossade.session import ship
 
 #: The least posterior of a predicted language that is kept.
@@ -27,7 +27,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.fit(docs)
     if not model.langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return language.annotate(docs, model).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+    pred, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
+    kept = language.annotate(docs, model, pred, score).where((F.col(pred) != "und") & (F.col(score) >= LEAST_SCORE))
+    return kept.select(*(F.col(pred).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

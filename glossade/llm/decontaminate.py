@@ -23,8 +23,8 @@ from .shared import map_texts, texts
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
-#: Items in a block, items in an index (more items are more indexes, each a pass over the corpus), and characters of an item's index entry.
-BLOCK, ITEMS = 64, 4096
+#: Items in a block, and items and words in an index: more are more indexes, each a pass over the corpus.
+BLOCK, ITEMS, INDEX_WORDS = 64, 4096, 2_000_000
 THRESHOLD, OVERLAP, GRAM = 0.6, 0.8, 5
 #: Share of an item's words, at its end, that count as the answer where the items have no answer column.
 ANSWER = 0.25
@@ -137,17 +137,18 @@ def _split(row, has_answer: bool) -> tuple[list[str], list[str]]:
 
 
 def indexes(items: DataFrame, threshold: float = THRESHOLD):
-    """Indexes of at most ITEMS items each, by id; items come one block at a time, so the driver and each broadcast hold a bounded number."""
+    """Indexes of at most ITEMS items and, but for the last item, INDEX_WORDS words each, by id; items come one block at a time, so the driver and each broadcast hold a bounded number."""
     has_answer = "answer" in items.columns
     own = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), *[F.col("answer").cast("string").alias("answer")] * has_answer)
-    held = []
+    held, size = [], 0
     for r in own.orderBy("item_id").toLocalIterator():
         q, a = _split(r, has_answer)
         if q or a:
             held.append((r.item_id, q, a))
-        if len(held) == ITEMS:
+            size += len(q) + len(a)
+        if len(held) == ITEMS or size >= INDEX_WORDS:
             yield Index(held, threshold)
-            held = []
+            held, size = [], 0
     if held:
         yield Index(held, threshold)
 
@@ -177,7 +178,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the rows in which an item is found, by the same search; all columns stay. A null text is clean."""
-    out, has = docs, "contaminated_row"
+    out = docs
     for index in indexes(items, threshold):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -185,5 +186,5 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
         def found(v: pd.Series) -> pd.Series:
             return pd.Series([bool(t) and bool(shared.value.hits(t)) for t in v], dtype=bool)
 
-        out = out.withColumn(has, found(F.col("text"))).where(f"not {has}").drop(has)
+        out = out.where(~found(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return out

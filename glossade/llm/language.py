@@ -12,12 +12,12 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import map_texts, pieces, sampled, split_of, texts
+from .shared import in_pieces, map_texts, sampled, split_of, texts, unused
 
 WORD = re.compile(r"[^\W\d_]+")
 #: The model's bounds: labelled rows that are fitted on (each as a whole), and most frequent words that fitting looks at and keeps a language.
@@ -140,21 +140,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return map_texts(texts(docs).withColumn("held_out", F.coalesce(split_of() == 0, F.lit(False))), run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def annotate(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and lang_score after its own columns (which must not have these names); otherwise as identify()."""
+def annotate(docs: DataFrame, model: Model, pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """docs with the columns pred and score after its own, which must not have such names; otherwise as identify(). Only the text goes to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(model.state())
     held: list[Model] = []
-    at = docs.columns.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
-    def run(batches):
+    @F.pandas_udf("lang string, score double")
+    def predict(text: pd.Series) -> pd.DataFrame:
         if not held:
             held.append(Model(*shared.value))
-        for batch, values in pieces(batches):
-            got = held[0].predict(values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())], names=[*(f"c{i}" for i in range(at)), "text", *(f"c{i}" for i in range(at + 1, batch.num_columns)), "lang_pred", "lang_score"])
-
-    numbered = docs.select(*(F.col(f"`{c}`").alias("text" if i == at else f"c{i}") for i, c in enumerate(docs.columns)))
-    out = T.StructType([T.StructField("text" if i == at else f"c{i}" if i < len(docs.columns) else f.name, f.dataType) for i, f in enumerate(schema.fields)])
-    found = numbered.mapInArrow(run, out)
-    return found.toDF(*schema.names)
+        return pd.DataFrame([x for values in in_pieces(text) for x in held[0].predict(values)], columns=["lang", "score"])
+
+    own, told = [F.col(f"`{c}`") for c in docs.columns], unused(docs, "told")
+    said = predict.asNondeterministic()(F.coalesce(F.col("text").cast("string"), F.lit("")))  # so that no filter above runs it again
+    return docs.select(*own, said.alias(told)).select(*own, F.col(f"{told}.lang").alias(pred), F.col(f"{told}.score").alias(score))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,6 +48,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name and underscores if df has such a column, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def split_of(col: str = "doc_id"):
     """crc32 of the id as text modulo 5; 0 is held out."""
     return F.pmod(F.crc32(F.col(col).cast("string")), F.lit(5))
@@ -60,7 +68,7 @@ def sampled(df: DataFrame, ids: int, id_col: str = "doc_id") -> DataFrame:
 
 
 #: Rows go through Python in pieces of at most this many characters (a longer text is a piece of its own).
-PIECE_CHARS = 4_000_000
+PIECE_CHARS = 1_000_000
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -81,6 +89,20 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             yield batch.slice(at), values
 
 
+def in_pieces(values: Iterable[str]) -> Iterator[list[str]]:
+    """Texts in lists of not much more than PIECE_CHARS characters."""
+    held: list[str] = []
+    size = 0
+    for v in values:
+        held.append(v)
+        size += len(v)
+        if size >= PIECE_CHARS:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def map_texts(df: DataFrame, f: Callable[[pa.RecordBatch, list[str]], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow over pieces; f may give one batch or several."""
 

@@ -10,7 +10,7 @@ def make(spark):
     def put(rows, extra=True):
         full = [(r[0], r[1], r[2] if len(r) > 2 else None, None, len(r[1]) if r[1] is not None else None) for r in rows]
         df = spark.createDataFrame(full, DOCS)
-        return df.selectExpr("*", "'x' as fp", "1 as n", "'y' as spans", "0 as held_out", "'z' as root", "7 as h", "8 as o") if extra else df
+        return df.selectExpr("*", "'x' as fp", "1 as n", "'y' as spans", "0 as held_out", "'z' as root", "7 as h", "8 as o", "'p' as lang_pred", "0.1 as lang_score", "9 as span_o", "'t' as told", "'k' as kept_row", "6 as count") if extra else df
 
     return put
 

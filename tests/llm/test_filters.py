@@ -173,8 +173,8 @@ def test_language_held_out(spark, make):
     odd = {(r.doc_id, r.lang_pred == "und") for r in L.identify(make(ODD + [(11, "123 --")]), model).collect()}
     assert {d for d, und in odd if und} == {1, 2, 3, 11}
     assert L.identify(make([]), model).count() == 0
-    marked = L.annotate(df, model)
-    assert marked.columns == [*df.columns, "lang_pred", "lang_score"] and marked.where("lang_pred = lang").count() >= 850
+    marked = L.annotate(df, model, "p", "s")
+    assert marked.columns == [*df.columns, "p", "s"] and marked.where("p = lang").count() >= 850
 
 
 def test_language_without_labels(spark, make):

@@ -31,9 +31,9 @@ def test_run(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("rows", [ODD, []])
 def test_odd_rows(spark, make, rows):
-    docs = make(rows, extra=False)
+    docs = make(rows)
     for name, stage in P.STAGES[:-1]:
         docs = stage(spark, docs, SF)
-        assert docs.columns == make([], extra=False).columns, name
-        docs = spark.createDataFrame([tuple(r) for r in docs.collect()], make([], extra=False).schema)
+        assert docs.columns == make([]).columns, name
+        docs = spark.createDataFrame([tuple(r) for r in docs.collect()], make([]).schema)
     assert P.pack_sequences(spark, docs, SF).count() >= 0
