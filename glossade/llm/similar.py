@@ -2,14 +2,16 @@
 
 The fingerprints of operator 9 are exact at 3 of 64 bits, which is a similarity of about 0.98. Texts that share 0.8 of their
 five-word shingles differ in 15 % of SimHash bits, where blocks that no difference can miss would be a few bits long and hold
-everything. So a longer fingerprint (256 bits over the distinct shingles) is cut into TABLES keys of sampled bits instead,
-long enough for the corpus (4 bits more than log2 of the fingerprints): two texts at a similarity of 0.8 share some key with
-a probability of 0.93, at 0.85 and more of 0.999 (for a million fingerprints). Links are then verified on all bits, and by the shingle counts.
+everything. So a longer fingerprint (256 bits over the distinct shingles) is cut into keys of sampled bits instead, one bit
+longer than it takes to tell all fingerprints apart, in so many tables that two texts at a similarity of 0.8 share a key with a
+probability of RECALL, at 0.85 and more of over 0.99, whatever the size of the corpus. Links are then verified on all bits, and by
+the shingle counts.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,17 +19,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import map_texts, texts, written
+from .shared import dropped, map_texts, texts, written
 from .simhash import shingle_hashes
 
-BITS, TABLES, WORDS, SIMILARITY = 256, 96, 5, 0.8
-#: Members of a bucket that are compared in one task; larger buckets are keyed by so many more bits, in so many tables.
-BUCKET, MORE_BITS, MORE_TABLES = 4096, 8, 32
+BITS, WORDS, SIMILARITY, RECALL = 256, 5, 0.8, 0.95
+#: Tables that are keyed at once: what lies on disk grows with them, not with their number.
+AT_ONCE = 64
+#: Members of a bucket that are compared in one task, and more bits that larger buckets are keyed by. Of what is larger still, texts all
+#: alike, each task compares a part with so many members (on average) that all parts share.
+BUCKET, MORE_BITS, PIVOTS = 4096, 8, 256
+
+
+def agreement(similarity: float) -> float:
+    """The chance that a bit is equal in the fingerprints of two texts at this similarity."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def tables(bits: int, similarity: float, recall: float = RECALL) -> int:
+    """Keys of so many bits that two texts at this similarity need to share one with the probability `recall`."""
+    return math.ceil(math.log(1 - recall) / math.log1p(-agreement(similarity) ** bits))
 
 
 def most_bits(similarity: float, bits: int = BITS) -> int:
     """Differing bits up to which two fingerprints are linked: the mean at this similarity and 1.28 standard deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    p = 1 - agreement(similarity)
     return round(bits * p + 1.28 * math.sqrt(bits * p * (1 - p)))
 
 
@@ -58,24 +73,19 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return map_texts(texts(docs), run, "doc_id long, fp binary, n long")
 
 
-def _samples(bits: int, tables: int, seed: int) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    return np.stack([np.sort(rng.choice(BITS, bits, replace=False)) for _ in range(tables)])
-
-
-def _keyed(df: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """df (node, fp, and a column over) with a row for each table and its key, as (key, over, node)."""
+def _keyed(df: DataFrame, bits: int, first: int, last: int, seed: int) -> DataFrame:
+    """df (node, fp, and a column over) with a row for each table from first to last and its key, as (key, over, node)."""
 
     def run(batches):
-        places = _samples(bits, tables, seed)
+        places = [np.sort(np.random.default_rng((seed, t)).choice(BITS, bits, replace=False)) for t in range(first, last)]
         weights = (1 << np.arange(bits)).astype(np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
                 fp = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
                 on = np.unpackbits(fp, axis=1)
-                for t in range(tables):
-                    key = on[:, places[t]] @ weights << np.int64(7) | np.int64(t)
+                for t, own in enumerate(places, first):
+                    key = on[:, own] @ weights << np.int64(14) | np.int64(t)
                     yield pa.RecordBatch.from_arrays([pa.array(key), part.column(2), part.column(0)], names=["key", "over", "node"])
 
     return df.select("node", "fp", "over").mapInArrow(run, "key long, over long, node long")
@@ -121,10 +131,39 @@ def _links(members: DataFrame, bits: int, similarity: float) -> DataFrame:
 
 
 def _met(keyed: DataFrame, nodes: DataFrame, least: int, most: int | None) -> DataFrame:
-    """Members with their fingerprints of the buckets of keyed that have least to most of them."""
+    """Members with their fingerprints of the buckets of keyed that have least to most of them, and their number m."""
     size = keyed.groupBy("key", "over").agg(F.count("*").alias("m"))
     size = size.where(F.col("m") >= least) if most is None else size.where(F.col("m").between(least, most))
-    return keyed.join(size, ["key", "over"]).join(nodes.select("node", "fp", "n"), "node").select("key", "over", "node", "fp", "n")
+    return keyed.join(size, ["key", "over"]).join(nodes.select("node", "fp", "n"), "node").select("key", "over", "m", "node", "fp", "n")
+
+
+def _parted(met: DataFrame) -> DataFrame:
+    """Buckets of any size dealt to parts of about BUCKET members, each with the members that all parts share."""
+    parts = F.ceil(F.col("m") / BUCKET)
+    own = F.pmod(F.xxhash64("node", "key"), parts)
+    shared = F.pmod(F.xxhash64("key", "node", "over"), F.col("m")) < PIVOTS
+    dealt = F.when(shared, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(own))
+    return met.withColumn("part", F.explode(dealt)).select("key", F.xxhash64("over", "part").alias("over"), "node", "fp", "n")
+
+
+def links(nodes: DataFrame, similarity: float = SIMILARITY) -> list[DataFrame]:
+    """(a, b) tables of verified links between nodes (node, fp, n), of a written table: each bucket's forest, so their number stays linear."""
+    bits = most_bits(similarity)
+    key_bits = min(48, max(12, math.ceil(math.log2(nodes.count() + 2)) + 1))
+    every, out = tables(key_bits, similarity), []
+    gather = lambda met: met.groupBy("key", "over").agg(F.collect_list(F.struct("node", "fp", "n")).alias("members"))
+    worded = nodes.where("n > 0").withColumn("over", F.lit(0).cast("long"))
+    for at in range(0, every, AT_ONCE):
+        keyed = written(_keyed(worded, key_bits, at, min(every, at + AT_ONCE), 1), "keyed")
+        found = _links(gather(_met(keyed, nodes, 2, BUCKET)), bits, similarity)
+        hot = _met(keyed, nodes, BUCKET + 1, None).select("node", "fp", F.col("key").alias("over"))
+        again = written(_keyed(hot, MORE_BITS, 0, tables(MORE_BITS, similarity), 2), "again")
+        found = found.union(_links(gather(_met(again, nodes, 2, BUCKET)), bits, similarity))
+        found = found.union(_links(gather(_parted(_met(again, nodes, BUCKET + 1, None))), bits, similarity))
+        out.append(written(found, "links"))
+        dropped(keyed)
+        dropped(again)
+    return out
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -133,19 +172,12 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     Null and empty texts are equal to one another. A doc_id with several texts joins the groups of all of them. Equal fingerprints are one node.
     """
     own = written(fingerprints(docs.where("doc_id is not null"), words), "wide")
-    nodes = written(own.groupBy("fp", "n").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp", "n")).withColumn("over", F.lit(0).cast("long")), "nodes")
-    bits = most_bits(similarity)
-    key_bits = min(48, max(20, math.ceil(math.log2(nodes.count() + 2)) + 4))
-    keyed = written(_keyed(nodes.where("n > 0"), key_bits, TABLES, 1), "keyed")
-    gather = lambda met: met.groupBy("key", "over").agg(F.collect_list(F.struct("node", "fp", "n")).alias("members"))
-    links = _links(gather(_met(keyed, nodes, 2, BUCKET)), bits, similarity)
-    hot = _met(keyed, nodes, BUCKET + 1, None).select("node", "fp", F.col("key").alias("over"))
-    again = _keyed(hot, MORE_BITS + key_bits, MORE_TABLES, 2)
-    links = links.union(_links(gather(_met(again, nodes, 2, None)), bits, similarity))
+    nodes = written(own.groupBy("fp", "n").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp", "n")), "nodes")
+    found = links(nodes, similarity)
     same = own.join(nodes.select("fp", "n", "node"), ["fp", "n"]).select("doc_id", "node").distinct()
     many = same.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
-    links = links.union(same.join(many, "doc_id").select("a", F.col("node").alias("b")))
-    found = written(components(links), "groups")
+    found.append(same.join(many, "doc_id").select("a", F.col("node").alias("b")))
+    found = written(components(reduce(DataFrame.union, found)), "groups")
     rooted = nodes.join(found, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return same.join(rooted.select("node", "root"), "node").join(least, "root").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
@@ -159,5 +191,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     if twice.isEmpty():
         first = out
     else:
-        first = out.join(twice, "doc_id", "left_anti").unionByName(out.join(twice, "doc_id", "left_semi").orderBy("text").dropDuplicates(["doc_id"]))
+        row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        one = out.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("kept_row")).select("kept_row.*")
+        first = out.join(twice, "doc_id", "left_anti").unionByName(one)
     return first.unionByName(docs.where("doc_id is null"))
