@@ -8,7 +8,7 @@ same one. Every byte that a repeated string covers goes.
 2. Contexts meet by anchor. A context equal to an earlier one is repeated as a whole, and its text is never moved. An anchor
    with a single context is done with. Left are anchors with several different contexts: changed copies, shared passages.
 3. Only those contexts' bytes are fetched and dealt to shards by anchor; strings that could be equal are then in one shard.
-   A shard is sorted by induced sorting (sais.py); runs of permuted common prefixes of at least `size` are equal strings, and all
+   Contexts are cut down to strings whose hash occurs twice in the shard, and these are sorted by induced sorting (sais.py); runs of permuted common prefixes of at least `size` are equal strings, and all
    but the first of a run are repeated. A shard's chunks are bounded; an anchor with more contexts than HOT is dealt
    by the hash of each string instead, so that no group needs one task's memory.
 4. The spans are put together by document.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sais import permuted_lcp, suffix_array
-from .shared import pieces, written
+from .shared import pieces, unused, written
 
 SIZE, GRAM = 100, 32
 #: String starts handled at once, bytes of contexts sorted at once, and contexts of an anchor from which its strings are dealt singly.
@@ -178,8 +178,45 @@ def _spans(o, h, lo, hi) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(h, pa.int32()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["o", "h", "lo", "hi"])
 
 
+def _hashed(flat: np.ndarray) -> np.ndarray:
+    """A hash of every string of SIZE bytes."""
+    up, down = _power(_BASE[0])
+    out = [np.zeros(0, dtype=np.uint64)]
+    for at in range(0, len(flat) - SIZE + 1, SEGMENT):
+        part = flat[at : at + SEGMENT + SIZE - 1]
+        c = np.concatenate([np.zeros(1, np.uint64), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], dtype=np.uint64)])
+        out.append(_mix((c[SIZE:] - c[:-SIZE]) * down[: len(part) - SIZE + 1]))
+    return np.concatenate(out)
+
+
+def _doubtful(at: np.ndarray, own: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The contexts with a string whose hash another string has too, cut down to what lies between such strings: their places in own, their starts and bytes.
+
+    A string with a hash of its own equals no other, so no repeated string is lost; equal hashes prove nothing, which is left to the sorting.
+    """
+    size = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    hashes = _hashed(np.frombuffer(b"".join(own), dtype=np.uint8))
+    which = np.repeat(np.arange(len(own)), size)[: len(hashes)]
+    offset = np.arange(len(hashes)) - start[which]
+    whole = offset + SIZE <= size[which]
+    hashes, which, offset = hashes[whole], which[whole], offset[whole]
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    shared = np.zeros(len(hashes), dtype=bool)
+    shared[order[1:][same]] = shared[order[:-1][same]] = True
+    which, offset = which[shared], offset[shared]
+    left, first = np.unique(which, return_index=True)
+    last = np.append(first[1:], len(which)) - 1
+    return left, at[left] + offset[first], [own[i][a : b + SIZE] for i, a, b in zip(left.tolist(), offset[first].tolist(), offset[last].tolist())]
+
+
 def shard(o: np.ndarray, h: np.ndarray, at: np.ndarray, own: list[bytes]) -> tuple[np.ndarray, ...]:
     """(o, h, lo, hi) of the repeated strings of contexts, string runs joined."""
+    left, at, own = _doubtful(at, own)
+    if not len(left):
+        return (np.zeros(0, dtype=np.int64),) * 4
+    o, h = o[left], h[left]
     size = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
     start = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
     t = np.zeros(int((size + 1).sum()), dtype=np.int64)
@@ -354,7 +391,8 @@ def trimmed(docs: DataFrame) -> DataFrame:
             out.append(t)
         return pd.Series(out)
 
-    keyed = docs.withColumns({"span_o": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "span_h": F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    met = keyed.join(spans.select(F.col("o").alias("span_o"), F.col("h").alias("span_h"), F.col("spans").alias("span_list")), ["span_o", "span_h"], "left")
-    text = F.when(F.col("span_list").isNull(), F.col("text")).otherwise(left("text", "span_list"))
+    o, h, found = (unused(docs, c) for c in ("span_o", "span_h", "span_list"))
+    keyed = docs.withColumns({o: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), h: F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    met = keyed.join(spans.select(F.col("o").alias(o), F.col("h").alias(h), F.col("spans").alias(found)), [o, h], "left")
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(left("text", found))
     return met.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
