@@ -5,33 +5,37 @@ same one. Every byte that a repeated string covers goes.
 
 1. Anchors. Each string has an anchor, its least-hashed 32-byte gram (leftmost of equals): a function of its bytes alone, so
    equal strings have equal anchors. Neighbouring strings with one anchor form a context. About one byte in 35 is an anchor.
-2. Contexts meet by anchor. A context equal to an earlier one is repeated as a whole, and its text is never moved. An anchor
-   with a single context is done with. Left are anchors with several different contexts: changed copies, shared passages.
+2. Contexts meet by anchor. A context equal to an earlier one is repeated as a whole, and its text is never moved; of those that a
+   task meets itself only the first travels. An anchor with a single context is done with. Left are anchors with several different
+   contexts: changed copies, shared passages. A common anchor (found by counting a hundredth of the documents; at most COMMON of them)
+   does not bring its contexts together: they meet by anchor and context, and all different ones are left for step 3.
 3. Only those contexts' bytes are fetched and dealt to shards by anchor; strings that could be equal are then in one shard.
-   Contexts are cut down to strings whose hash occurs twice in the shard, and these are sorted by induced sorting (sais.py); runs of permuted common prefixes of at least `size` are equal strings, and all
-   but the first of a run are repeated. A shard's chunks are bounded; an anchor with more contexts than HOT is dealt
-   by the hash of each string instead, so that no group needs one task's memory.
+   Contexts are cut down to strings whose hash occurs twice in the shard, and these are sorted by induced sorting (sais.py); runs of
+   permuted common prefixes of at least `size` are equal strings, and all but the first of a run are repeated. A shard's chunks are
+   bounded; the strings of a common anchor, or of one with more contexts than HOT, are dealt by their own hash instead, so that
+   no group needs one task's memory.
 4. The spans are put together by document.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sais import permuted_lcp, suffix_array
-from .shared import pieces, unused, written
+from .shared import dropped, freed, pieces, unused, written
 
 SIZE, GRAM = 100, 32
-#: String starts handled at once, bytes of contexts sorted at once, and contexts of an anchor from which its strings are dealt singly.
-SEGMENT, CHUNK, HOT = 1 << 19, 1 << 20, 4000
+#: String starts handled at once, contexts that meet in a task before they travel, bytes of contexts sorted at once, and contexts of an
+#: anchor from which its strings are dealt singly.
+SEGMENT, HELD, CHUNK, HOT = 1 << 19, 400_000, 1 << 20, 4000
+#: Most common anchors, each of at least that share of the anchors counted.
+COMMON = 2000
 _BASE = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -89,71 +93,102 @@ def _docs(docs: DataFrame) -> DataFrame:
     return docs.select(doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, F.lit((1 << 63) - 1)).alias("o"), F.hash(text).alias("h"))
 
 
-_ANCHORS = "a long, c long, o long, h int, pos long, done boolean"
+#: kind of a context: to be compared, done with (repeated within its task), or of a common anchor.
+_ANCHORS = "a long, c long, o long, h int, pos long, kind byte"
+OPEN, DONE, WIDE = 0, 1, 2
 
 
-def _anchors(batches):
-    """Every context of every text, as (anchor, context, document, place). Of equal contexts in a piece all but the first are done with at once."""
-    for batch, values in pieces(batches):
-        o = batch.column(1).to_numpy(zero_copy_only=False)
-        h = batch.column(2).to_numpy(zero_copy_only=False)
-        parts = []
-        for i, v in enumerate(values):
-            raw = np.frombuffer(v.encode(), dtype=np.uint8)
-            for at in range(0, max(0, len(raw) - SIZE + 1), SEGMENT):
-                a, c, first, count = contexts(raw[at : at + SEGMENT + SIZE - 1])
-                parts.append((a, c, np.full(len(a), i), first + at << 8 | count))
-        if not parts:
-            continue
-        a, c, row, pos = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((pos, h[row], o[row], c, a))
-        a, c, row, pos = a[order], c[order], row[order], pos[order]
+def _anchors(common: np.ndarray):
+    """Every context of every text, as (anchor, context, document, place, kind). common: anchors, sorted, whose contexts don't meet by anchor alone."""
+
+    def met(parts: list[tuple]):
+        a, c, o, h, pos = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((pos, h, o, c, a))
+        a, c, o, h, pos = (x[order] for x in (a, c, o, h, pos))
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
         head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-        same = (o[row] == o[row[head]]) & (h[row] == h[row[head]]) & (pos == pos[head])  # a row that repeats is not earlier than itself
+        same = (o == o[head]) & (h == h[head]) & (pos == pos[head])  # a row that repeats is not earlier than itself
         done = ~new & ~same
-        key = np.where(done, _mix(row.astype(np.uint64) + a), a)  # what is done with need not meet
-        cols = (key.view(np.int64), c.view(np.int64), o[row], h[row], pos, done)
+        kind = done.astype(np.int8)
+        if len(common):
+            wide = common[np.minimum(np.searchsorted(common, a), len(common) - 1)] == a
+            kind[wide & ~done] = WIDE
+            a = np.where(wide, _mix(a ^ c), a)
+        a = np.where(done, _mix(np.arange(len(a), dtype=np.uint64) + a), a)  # what is done with need not meet
         for k in range(0, len(a), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 20_000]) for x in cols], names=["a", "c", "o", "h", "pos", "done"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 20_000]) for x in (a.view(np.int64), c.view(np.int64), o, h, pos, kind)], names=["a", "c", "o", "h", "pos", "kind"])
 
-
-_DECIDED = "o long, h int, pos long, a long, need boolean"
+    def run(batches):
+        parts: list[tuple] = []
+        size = 0
+        for batch, values in pieces(batches):
+            o = batch.column(1).to_numpy(zero_copy_only=False)
+            h = batch.column(2).to_numpy(zero_copy_only=False)
+            for i, v in enumerate(values):
+                raw = np.frombuffer(v.encode(), dtype=np.uint8)
+                for at in range(0, max(0, len(raw) - SIZE + 1), SEGMENT):
+                    a, c, first, count = contexts(raw[at : at + SEGMENT + SIZE - 1])
+                    parts.append((a, c, np.full(len(a), o[i]), np.full(len(a), h[i]), first + at << 8 | count))
+                    size += len(a)
+            if size >= HELD:
+                yield from met(parts)
+                parts, size = [], 0
+        if parts:
+            yield from met(parts)
+
+    return run
+
+
+#: need: 0 repeated as a whole, 1 to be looked at with others of its anchor, 2 to be looked at string by string.
+_DECIDED = "o long, h int, pos long, a long, need byte"
 
 
 def _decide(batches):
-    """Rows in order of (a, c, o, h, pos): contexts that are repeated as a whole, and those whose anchor has other contexts too."""
+    """Rows in order of (a, c, o, h, pos): contexts that are repeated as a whole, those whose anchor has other contexts too, and all of common anchors."""
     last = None  # the first row of the last run, and whether its anchor had a run before
 
     def out(o, h, pos, a, need):
-        return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(h, pa.int32()), pa.array(pos, pa.int64()), pa.array(a, pa.int64()), pa.array(need, pa.bool_())], names=["o", "h", "pos", "a", "need"])
+        return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(h, pa.int32()), pa.array(pos, pa.int64()), pa.array(a, pa.int64()), pa.array(need, pa.int8())], names=["o", "h", "pos", "a", "need"])
 
     for batch in batches:
-        a, c, o, h, pos, done = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-        done = done.astype(bool)
+        a, c, o, h, pos, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        done = kind == DONE
         if done.any():
-            yield out(o[done], h[done], pos[done], a[done], np.zeros(done.sum(), dtype=bool))
-            a, c, o, h, pos = (x[~done] for x in (a, c, o, h, pos))
+            yield out(o[done], h[done], pos[done], a[done], np.zeros(done.sum(), dtype=np.int8))
+            a, c, o, h, pos, kind = (x[~done] for x in (a, c, o, h, pos, kind))
         if not len(a):
             continue
         if last is not None:
-            a, c, o, h, pos = (np.concatenate([[y], x]) for x, y in zip((a, c, o, h, pos), last[:5]))
+            a, c, o, h, pos, kind = (np.concatenate([[y], x]) for x, y in zip((a, c, o, h, pos, kind), last[:6]))
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
         runs = np.nonzero(new)[0]
         head = runs[np.cumsum(new) - 1]
         gone = ~new & ~((o == o[head]) & (h == h[head]) & (pos == pos[head]))
         alike = np.concatenate([[False], a[runs][1:] == a[runs][:-1], [False]])  # whether a run and the one before share the anchor
         if last is not None:
-            alike[0] = last[5]
+            alike[0] = last[6]
         closed = len(runs) - 1
-        need = np.zeros(len(a), dtype=bool)
-        need[runs[:closed]] = alike[:closed] | alike[1 : closed + 1]
-        tell = gone | need
+        need = np.zeros(len(a), dtype=np.int8)
+        need[runs[:closed]] = np.where(kind[runs[:closed]] == WIDE, 2, alike[:closed] | alike[1 : closed + 1])
+        tell = gone | (need > 0)
         yield out(o[tell], h[tell], pos[tell], a[tell], need[tell])
         k = runs[-1]
-        last = (a[k], c[k], o[k], h[k], pos[k], bool(alike[closed]))
-    if last is not None and last[5]:
-        yield out(*([x] for x in (last[2], last[3], last[4], last[0])), [True])
+        last = (a[k], c[k], o[k], h[k], pos[k], kind[k], bool(alike[closed]))
+    if last is not None and (last[6] or last[5] == WIDE):
+        yield out(*([x] for x in (last[2], last[3], last[4], last[0])), [2 if last[5] == WIDE else 1])
+
+
+def _common(own: DataFrame) -> np.ndarray:
+    """Anchors with over HOT different contexts, judged by a hundredth of the documents, and with a share of over 1/COMMON of all there, so fewer than COMMON.
+
+    It only balances tasks: results don't depend on it.
+    """
+    some = own.where(F.pmod(F.xxhash64("o", "h"), F.lit(100)) == 0).select("text", "o", "h").mapInArrow(_anchors(np.zeros(0, dtype=np.uint64)), _ANCHORS).where(f"kind = {OPEN}")
+    counted = written(some.select("a", "c").distinct().groupBy("a").agg(F.count("*").alias("n")), "anchors")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    found = [r.a for r in counted.where(F.col("n") > max(HOT / 100, total / COMMON)).select("a").collect()]
+    dropped(counted)
+    return np.sort(np.array(found, dtype=np.int64).view(np.uint64))
 
 
 def _fetch(batches):
@@ -178,9 +213,9 @@ def _spans(o, h, lo, hi) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(h, pa.int32()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["o", "h", "lo", "hi"])
 
 
-def _hashed(flat: np.ndarray) -> np.ndarray:
+def _hashed(flat: np.ndarray, base: int = _BASE[0]) -> np.ndarray:
     """A hash of every string of SIZE bytes."""
-    up, down = _power(_BASE[0])
+    up, down = _power(base)
     out = [np.zeros(0, dtype=np.uint64)]
     for at in range(0, len(flat) - SIZE + 1, SEGMENT):
         part = flat[at : at + SEGMENT + SIZE - 1]
@@ -189,18 +224,24 @@ def _hashed(flat: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _hashed_strings(own: list[bytes], bases=_BASE[:1]) -> tuple[np.ndarray, ...]:
+    """(context, offset in it, a hash for each base) of every string of some contexts."""
+    flat = np.frombuffer(b"".join(own), dtype=np.uint8)
+    size = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    hashes = [_hashed(flat, b) for b in bases]
+    which = np.repeat(np.arange(len(own)), size)[: len(hashes[0])]
+    offset = np.arange(len(which)) - start[which]
+    whole = offset + SIZE <= size[which]
+    return which[whole], offset[whole], *(x[whole] for x in hashes)
+
+
 def _doubtful(at: np.ndarray, own: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """The contexts with a string whose hash another string has too, cut down to what lies between such strings: their places in own, their starts and bytes.
 
     A string with a hash of its own equals no other, so no repeated string is lost; equal hashes prove nothing, which is left to the sorting.
     """
-    size = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
-    hashes = _hashed(np.frombuffer(b"".join(own), dtype=np.uint8))
-    which = np.repeat(np.arange(len(own)), size)[: len(hashes)]
-    offset = np.arange(len(hashes)) - start[which]
-    whole = offset + SIZE <= size[which]
-    hashes, which, offset = hashes[whole], which[whole], offset[whole]
+    which, offset, hashes = _hashed_strings(own)
     order = np.argsort(hashes)
     same = hashes[order[1:]] == hashes[order[:-1]]
     shared = np.zeros(len(hashes), dtype=bool)
@@ -269,26 +310,58 @@ def _shards(batches):
         yield flush()
 
 
+_STRINGS = "w1 long, w2 long, o long, h int, lo long, hi long, done boolean"
+
+
 def _strings(batches):
-    """Each string of a hot anchor's contexts by 128 bits of its hash."""
+    """Each string of common anchors' contexts by 128 bits of its hash. Of equal ones in a task only the first travels to meet others; the rest are done with, as spans."""
+
+    def met(parts: list[tuple]):
+        w1, w2, o, h, at = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((at, h, o, w2, w1))
+        w1, w2, o, h, at = (x[order] for x in (w1, w2, o, h, at))
+        new = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
+        head = np.nonzero(new)[0][np.cumsum(new) - 1]
+        gone = ~new & ~((o == o[head]) & (h == h[head]) & (at == at[head]))
+        order = np.nonzero(gone)[0]
+        order = order[np.lexsort((at[order], h[order], o[order]))]
+        x, y, z = o[order], h[order], at[order]
+        first = np.ones(len(z), dtype=bool)
+        first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] > z[:-1] + 1)
+        last = np.append(np.nonzero(first)[0][1:] - 1, len(z) - 1) if len(z) else np.zeros(0, dtype=np.int64)
+        spread = _mix(np.arange(len(last), dtype=np.uint64) + w1[0]).view(np.int64)
+        zero = np.zeros(len(last), dtype=np.int64)
+        keep = ~gone
+        cols = (np.append(w1.view(np.int64)[keep], spread), np.append(w2.view(np.int64)[keep], zero), np.append(o[keep], x[first]), np.append(h[keep], y[first]), np.append(at[keep], z[first]), np.append(at[keep] + SIZE, z[last] + SIZE))
+        done = np.append(np.zeros(int(keep.sum()), dtype=bool), np.ones(len(last), dtype=bool))
+        for k in range(0, len(done), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 20_000]) for c in (*cols, done)], names=["w1", "w2", "o", "h", "lo", "hi", "done"])
+
+    parts: list[tuple] = []
+    size = 0
     for batch in batches:
-        w1, w2, rows, place = [], [], [], []
-        for i, (at, own) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            for k in range(len(own) - SIZE + 1):
-                d = xxhash.xxh3_128_intdigest(own[k : k + SIZE])
-                w1.append((d >> 64) - (1 << 63))
-                w2.append((d & (1 << 64) - 1) - (1 << 63))
-                rows.append(i)
-                place.append(at + k)
-        r = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(w1, pa.int64()), pa.array(w2, pa.int64()), batch.column(0).take(r), batch.column(1).take(r), pa.array(place, pa.int64())], names=["w1", "w2", "o", "h", "at"])
+        if not batch.num_rows:
+            continue
+        o, h, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        which, offset, w1, w2 = _hashed_strings(batch.column(3).to_pylist(), _BASE)
+        parts.append((w1, w2, o[which], h[which], at[which] + offset))
+        size += len(which)
+        if size >= HELD:
+            yield from met(parts)
+            parts, size = [], 0
+    if size:
+        yield from met(parts)
 
 
 def _later(batches):
-    """Strings in order of (hash, document, place): all but each hash's first."""
+    """Strings in order of (hash, document, place): all but each hash's first, and what is done with."""
     last = None
     for batch in batches:
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+        w1, w2, o, h, at, hi = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        done = batch.column(6).to_numpy(zero_copy_only=False)
+        if done.any():
+            yield _spans(o[done], h[done], at[done], hi[done])
+        cols = [x[~done] for x in (w1, w2, o, h, at)]
         if not len(cols[0]):
             continue
         if last is not None:
@@ -311,29 +384,23 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], top[np.append(np.nonzero(new)[0][1:] - 1, len(lo) - 1)]
 
 
-def _freed(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps; it notices only when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(o, h, spans): by row key, all spans of repeated strings, unordered and overlapping."""
     spark = docs.sparkSession
     own = _docs(docs)
-    met = own.select("text", "o", "h").mapInArrow(_anchors, _ANCHORS)
+    met = own.select("text", "o", "h").mapInArrow(_anchors(_common(own)), _ANCHORS)
     met = met.repartition(F.col("a")).sortWithinPartitions("a", "c", "o", "h", "pos")
     decided = written(met.mapInArrow(_decide, _DECIDED), "decided")
-    _freed(spark)
-    need = decided.where("need")
-    hot = need.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("a", F.lit(True).alias("hot"))
-    need = need.join(hot, "a", "left").select("o", "h", F.struct("pos", "a", F.coalesce("hot", F.lit(False)).alias("hot")).alias("x")).groupBy("o", "h").agg(F.collect_list("x").alias("need"))
+    freed(spark)
+    need = decided.where("need > 0")
+    hot = need.where("need = 1").groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("a", F.lit(True).alias("hot"))
+    need = need.join(hot, "a", "left").select("o", "h", F.struct("pos", "a", (F.coalesce("hot", F.lit(False)) | (F.col("need") == 2)).alias("hot")).alias("x")).groupBy("o", "h").agg(F.collect_list("x").alias("need"))
     fetched = written(own.drop("doc_id").dropDuplicates(["o", "h"]).join(need, ["o", "h"]).select("text", "o", "h", "need").mapInArrow(_fetch, "a long, o long, h int, at long, own binary, hot boolean"), "contexts")
-    _freed(spark)
+    freed(spark)
     cold = fetched.where("not hot").select("a", "o", "h", "at", "own").repartition(F.col("a")).sortWithinPartitions("a").mapInArrow(_shards, _SPANS)
-    strings = fetched.where("hot").select("o", "h", "at", "own").mapInArrow(_strings, "w1 long, w2 long, o long, h int, at long")
-    warm = strings.repartition(F.col("w1"), F.col("w2")).sortWithinPartitions("w1", "w2", "o", "h", "at").mapInArrow(_later, _SPANS)
-    whole = decided.where("not need").select("o", "h", F.shiftright("pos", 8).alias("lo"), (F.shiftright("pos", 8) + F.col("pos").bitwiseAND(F.lit(255).cast("long")) + F.lit(SIZE - 1)).alias("hi"))
+    strings = fetched.where("hot").select("o", "h", "at", "own").mapInArrow(_strings, _STRINGS)
+    warm = strings.repartition(F.col("w1"), F.col("w2")).sortWithinPartitions("w1", "w2", "o", "h", "lo").mapInArrow(_later, _SPANS)
+    whole = decided.where("need = 0").select("o", "h", F.shiftright("pos", 8).alias("lo"), (F.shiftright("pos", 8) + F.col("pos").bitwiseAND(F.lit(255).cast("long")) + F.lit(SIZE - 1)).alias("hi"))
     return written(whole.union(cold).union(warm).groupBy("o", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
 
 
@@ -345,7 +412,7 @@ def cut(docs: DataFrame, with_text: bool = True) -> DataFrame:
     the other. Rows that share a doc_id with other texts are ordered by a hash of the text. A null doc_id comes after all others.
     """
     spans = repeated_spans(docs)
-    _freed(docs.sparkSession)
+    freed(docs.sparkSession)
     own = _docs(docs).join(spans, ["o", "h"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
@@ -375,7 +442,7 @@ def cut(docs: DataFrame, with_text: bool = True) -> DataFrame:
 def trimmed(docs: DataFrame) -> DataFrame:
     """docs with repeated strings cut from text; all other columns stay. A character that a cut divides goes with it. A null text stays null."""
     spans = repeated_spans(docs)
-    _freed(docs.sparkSession)
+    freed(docs.sparkSession)
 
     @F.pandas_udf("string")
     def left(text: pd.Series, spans: pd.Series) -> pd.Series:

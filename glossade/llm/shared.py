@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -43,6 +44,12 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps; it notices only when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), a null text as the empty string; columns of other names can't clash with what the operators add."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

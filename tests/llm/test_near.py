@@ -110,6 +110,30 @@ def test_similar_recall_and_rest(spark, make):
     assert all(got[d] // 3 == d // 3 for d in ids)  # nothing unrelated is joined
 
 
+def test_similar_tables():
+    """The chance that two texts at the similarity share a key holds whatever the key's length."""
+    for bits in (12, 20, 30):
+        n = similar.tables(bits, 0.8)
+        assert 0.95 <= 1 - (1 - similar.agreement(0.8) ** bits) ** n < 0.97
+
+
+def test_similar_large_groups(spark, make, monkeypatch):
+    """A group of close copies far larger than a bucket may be comes out whole, and takes nothing else in."""
+    monkeypatch.setattr(similar, "BUCKET", 12)
+    monkeypatch.setattr(similar, "PIVOTS", 4)
+    monkeypatch.setattr(similar, "AT_ONCE", 16)
+    rng = random.Random(11)
+    base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
+    rows = []
+    for i in range(200):
+        c = list(base)
+        c[rng.randrange(len(c))] = f"w{i}"
+        rows.append((i, " ".join(c)))
+    rows += [(1000 + d, t) for d, t in near_texts(30, 5)]
+    got = {r.doc_id: r.component_id for r in similar.groups(make(rows)).collect()}
+    assert {got[i] for i in range(200)} == {0} and all(got[d] >= 1000 for d in got if d >= 1000)
+
+
 def test_one_of_each(spark, make):
     rows = [(4, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "quite another text of many words here now"), (2, "a b c d e f g h i j"), (None, "x"), (9, None), (8, "")]
     got = similar.one_of_each(make(rows)).select("doc_id").collect()
@@ -161,6 +185,30 @@ def test_repeats_of_hot_anchors_and_long_texts(spark, make, monkeypatch):
     check_repeats(make, repeat_rows(seed=8))
 
 
+def test_repeats_of_common_anchors(spark, make, monkeypatch):
+    """Anchors taken for common ones, with few contexts held in a task, change nothing."""
+    every = repeats._anchors(repeats.np.zeros(0, dtype=repeats.np.uint64))
+    rows = repeat_rows(40, 9)
+    found = set()
+    for d, t in rows:
+        batch = repeats.pa.RecordBatch.from_arrays([repeats.pa.array([t or ""]), repeats.pa.array([d]), repeats.pa.array([0], repeats.pa.int32())], names=["text", "o", "h"])
+        for out in every(iter([batch])):
+            found.update(out.column(0).to_pylist())
+    half = repeats.np.sort(repeats.np.array(sorted(found)[::2], dtype=repeats.np.int64).view(repeats.np.uint64))
+    monkeypatch.setattr(repeats, "_common", lambda own: half)
+    monkeypatch.setattr(repeats, "HELD", 50)
+    check_repeats(make, rows)
+
+
+def test_common_anchors_are_few(spark, make):
+    same = "".join(random.Random(3).choices("abcdefgh ", k=40))
+    rows = [(i, "".join(random.Random(i).choices("klmnopq ", k=60)) + same + "".join(random.Random(-i - 1).choices("rstuvw ", k=60))) for i in range(3000)]
+    found = repeats._common(repeats._docs(make(rows)))
+    assert len(found) < repeats.COMMON
+    check = repeats._common(repeats._docs(make([])))
+    assert len(check) == 0
+
+
 def test_segments(monkeypatch):
     raw = repeats.np.random.default_rng(1).integers(97, 101, 5000, dtype=repeats.np.uint8)
     a, c, first, count = repeats.contexts(raw)
