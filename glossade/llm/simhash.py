@@ -25,7 +25,7 @@ WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BITS, BUCKET = 64, 1024
 #: Shingles hashed at once.
-STEP = 1 << 17
+STEP = 1 << 15
 
 
 def shingle_hashes(text: str, words: int = 3, seed: int = 42):
@@ -48,7 +48,7 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     """A bit is 1 if it is set in over half the shingle hashes; 0 for a text without words."""
     ones, n = np.zeros(BITS, dtype=np.int64), 0
     for h in shingle_hashes(text, words, seed):
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)  # a block has under 2**16 rows
         n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 

@@ -2,7 +2,7 @@
 
 The fingerprints of operator 9 are exact at 3 of 64 bits, which is a similarity of about 0.98. Texts that share 0.8 of their
 five-word shingles differ in 15 % of SimHash bits, where blocks that no difference can miss would be a few bits long and hold
-everything. So a longer fingerprint (256 bits over the distinct shingles) is cut into keys of sampled bits instead, one bit
+everything. So a longer fingerprint (512 bits over the distinct shingles) is cut into keys of sampled bits instead, three bits
 longer than it takes to tell all fingerprints apart, in so many tables that two texts at a similarity of 0.8 share a key with a
 probability of RECALL, at 0.85 and more of over 0.99, whatever the size of the corpus. Links are then verified on all bits, and by
 the shingle counts.
@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import dropped, map_texts, texts, written
+from .shared import dropped, freed, map_texts, texts, written
 from .simhash import shingle_hashes
 
-BITS, WORDS, SIMILARITY, RECALL = 256, 5, 0.8, 0.95
+BITS, WORDS, SIMILARITY, RECALL = 512, 5, 0.8, 0.95
 #: Tables that are keyed at once: what lies on disk grows with them, not with their number.
-AT_ONCE = 64
+AT_ONCE = 48
 #: Members of a bucket that are compared in one task, and more bits that larger buckets are keyed by. Of what is larger still, texts all
 #: alike, each task compares a part with so many members (on average) that all parts share.
 BUCKET, MORE_BITS, PIVOTS = 4096, 8, 256
@@ -41,13 +41,13 @@ def tables(bits: int, similarity: float, recall: float = RECALL) -> int:
 
 
 def most_bits(similarity: float, bits: int = BITS) -> int:
-    """Differing bits up to which two fingerprints are linked: the mean at this similarity and 1.28 standard deviations."""
+    """Differing bits up to which two fingerprints are linked: the mean at this similarity and two standard deviations, so that 97 % of such pairs are."""
     p = 1 - agreement(similarity)
-    return round(bits * p + 1.28 * math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
 
 
 def wide_fingerprint(text: str, words: int = WORDS) -> tuple[bytes, int]:
-    """256 bits by majority over the distinct shingle hashes, and how many there are."""
+    """BITS bits by majority over the distinct shingle hashes, and how many there are."""
     parts = [*shingle_hashes(text, words)]
     if not parts:
         return bytes(BITS // 8), 0
@@ -61,7 +61,7 @@ def wide_fingerprint(text: str, words: int = WORDS) -> tuple[bytes, int]:
             y ^= y >> np.uint64(32)
             y *= np.uint64(0xD6E8FEB86659FD93)
             more.append(y ^ (y >> np.uint64(32)))
-        ones += np.unpackbits(np.stack(more, axis=1).view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+        ones += np.unpackbits(np.stack(more, axis=1).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)  # a block has under 2**16 rows
     return np.packbits(2 * ones > len(h)).tobytes(), len(h)
 
 
@@ -130,11 +130,15 @@ def _links(members: DataFrame, bits: int, similarity: float) -> DataFrame:
     return members.select("members").mapInArrow(run, "a long, b long")
 
 
-def _met(keyed: DataFrame, nodes: DataFrame, least: int, most: int | None) -> DataFrame:
-    """Members with their fingerprints of the buckets of keyed that have least to most of them, and their number m."""
-    size = keyed.groupBy("key", "over").agg(F.count("*").alias("m"))
-    size = size.where(F.col("m") >= least) if most is None else size.where(F.col("m").between(least, most))
-    return keyed.join(size, ["key", "over"]).join(nodes.select("node", "fp", "n"), "node").select("key", "over", "m", "node", "fp", "n")
+def _met(keyed: DataFrame, what: str) -> DataFrame:
+    """(key, over, m, node) of the buckets that have m members, two or more: most keys have one, and only these rows travel on.
+
+    Counts are combined before they are shuffled, and a large bucket's rows are a skewed side of a join, which Spark can split.
+    """
+    size = written(keyed.groupBy("key", "over").agg(F.count("*").alias("m")).where("m > 1"), what)
+    met = written(keyed.join(size, ["key", "over"]).select("key", "over", "m", "node"), what)
+    dropped(size)
+    return met
 
 
 def _parted(met: DataFrame) -> DataFrame:
@@ -143,26 +147,30 @@ def _parted(met: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node", "key"), parts)
     shared = F.pmod(F.xxhash64("key", "node", "over"), F.col("m")) < PIVOTS
     dealt = F.when(shared, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(own))
-    return met.withColumn("part", F.explode(dealt)).select("key", F.xxhash64("over", "part").alias("over"), "node", "fp", "n")
+    return met.withColumn("part", F.explode(dealt)).select("key", F.xxhash64("over", "part").alias("over"), "node")
 
 
 def links(nodes: DataFrame, similarity: float = SIMILARITY) -> list[DataFrame]:
     """(a, b) tables of verified links between nodes (node, fp, n), of a written table: each bucket's forest, so their number stays linear."""
     bits = most_bits(similarity)
-    key_bits = min(48, max(12, math.ceil(math.log2(nodes.count() + 2)) + 1))
+    key_bits = min(48, max(12, math.ceil(math.log2(nodes.count() + 2)) + 3))
     every, out = tables(key_bits, similarity), []
-    gather = lambda met: met.groupBy("key", "over").agg(F.collect_list(F.struct("node", "fp", "n")).alias("members"))
     worded = nodes.where("n > 0").withColumn("over", F.lit(0).cast("long"))
+    known = nodes.select("node", "fp", "n")
+    compared = lambda met: _links(met.join(known, "node").groupBy("key", "over").agg(F.collect_list(F.struct("node", "fp", "n")).alias("members")), bits, similarity)
     for at in range(0, every, AT_ONCE):
         keyed = written(_keyed(worded, key_bits, at, min(every, at + AT_ONCE), 1), "keyed")
-        found = _links(gather(_met(keyed, nodes, 2, BUCKET)), bits, similarity)
-        hot = _met(keyed, nodes, BUCKET + 1, None).select("node", "fp", F.col("key").alias("over"))
-        again = written(_keyed(hot, MORE_BITS, 0, tables(MORE_BITS, similarity), 2), "again")
-        found = found.union(_links(gather(_met(again, nodes, 2, BUCKET)), bits, similarity))
-        found = found.union(_links(gather(_parted(_met(again, nodes, BUCKET + 1, None))), bits, similarity))
-        out.append(written(found, "links"))
+        met = _met(keyed, "met")
         dropped(keyed)
+        hot = met.where(F.col("m") > BUCKET).select("node", F.col("key").alias("over")).join(known, "node").select("node", "fp", "over")
+        keyed = written(_keyed(hot, MORE_BITS, 0, tables(MORE_BITS, similarity), 2), "keyed")
+        again = _met(keyed, "again")
+        dropped(keyed)
+        found = compared(met.where(F.col("m") <= BUCKET)).union(compared(again.where(F.col("m") <= BUCKET))).union(compared(_parted(again.where(F.col("m") > BUCKET))))
+        out.append(written(found, "links"))
+        dropped(met)
         dropped(again)
+        freed(nodes.sparkSession)
     return out
 
 
