@@ -27,10 +27,11 @@ def ranked_targets(targets: DataFrame, order: list[Column]) -> DataFrame:
     return targets.withColumn("lpr_rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
 
 
-def similarities(seeds: DataFrame, targets: DataFrame, most: int) -> DataFrame:
-    """(seed, lang, target, lpr_rank, cosine) of all seeds (seed, vec) with each language's best `most` targets (lang, target, lpr_rank, vec): bounded on both sides."""
+def similarities(seeds: DataFrame, targets: DataFrame, most: int | None) -> DataFrame:
+    """(seed, lang, target, lpr_rank, cosine) of all seeds (seed, vec) with each language's best `most` targets (lang, target, lpr_rank, vec), or with all of them."""
     left = seeds.select("seed", unit(F.col("vec")).alias("u"))
-    right = targets.where(F.col("lpr_rank") <= most).select("lang", "target", "lpr_rank", unit(F.col("vec")).alias("v"))
+    within = targets if most is None else targets.where(F.col("lpr_rank") <= most)
+    right = within.select("lang", "target", "lpr_rank", unit(F.col("vec")).alias("v"))
     if left.limit(SEEDS_BROADCAST + 1).count() <= SEEDS_BROADCAST:
         left = F.broadcast(left)
     met = right.crossJoin(left)

@@ -133,11 +133,11 @@ def concept_panel(spark, sf):
 _KS = [10, 50]
 
 
-def _matches(spark, sf):
+def _matches(spark, sf, most=max(_KS)):
     own = vectors(spark, sf)
     seeds = selection.top(own.where("label = 0"), 20, [F.col("vec_id")]).select(F.col("vec_id").alias("seed"), "vec")
     targets = align.ranked_targets(own.where("label > 0").select(F.col("label").alias("lang"), F.col("vec_id").alias("target"), "vec"), [F.col("target")])
-    return seeds, targets, align.similarities(seeds, targets, max(_KS))
+    return seeds, targets, align.similarities(seeds, targets, most)
 
 
 _COS = "list_dot_product(s.v, t.v) / (sqrt(list_dot_product(s.v, s.v)) * sqrt(list_dot_product(t.v, t.v)))"
@@ -156,7 +156,7 @@ def align_restricted(spark, sf):
 
 @query(f"WITH {_ALIGN} SELECT seed, lang, CASE WHEN cosine >= 0.3 THEN matched END AS matched, round(cosine, 6) AS cosine, CASE WHEN cosine >= 0.3 THEN lpr_rank END AS lpr_rank, (cosine >= 0.3 AND lpr_rank <= 10)::INT AS hit_at_10, (cosine >= 0.3 AND lpr_rank <= 50)::INT AS hit_at_50 FROM best")
 def align_unrestricted(spark, sf):
-    own = align.unrestricted(_matches(spark, sf)[2], _KS, 0.3)
+    own = align.unrestricted(_matches(spark, sf, None)[2], _KS, 0.3)  # the whole vocabulary; the SQL stops at rank 50
     return own.withColumn("cosine", F.round("cosine", 6))
 
 
