@@ -4,7 +4,8 @@ The test items are the indexed texts; every passage of every training text is a
 own full score, so one threshold (a share of that score) holds for all items. Items lie in blocks, each with the greatest
 impact of every term in it. A passage is looked at only if it has an essential term (the others can't reach the threshold
 together); a block of items is scored only if its greatest impacts reach the threshold; hits are then verified by the
-overlap of the item's question and answer with the passage, as word 5-grams.
+overlap of the item's question and answer with the passage: the share of their word 5-grams found, or of their words that
+need no edit to stand in the passage in order. Items without an answer column are also found by the second as a whole.
 """
 
 from __future__ import annotations
@@ -34,11 +35,34 @@ def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def least_edits(part: list[int], own: list[int]) -> int:
+    """The least word edits (replaced, added, dropped) that turn part into some run of own: Myers' bit vectors."""
+    n = len(part)
+    full, last = (1 << n) - 1, 1 << n - 1
+    at: dict[int, int] = {}
+    for i, t in enumerate(part):
+        at[t] = at.get(t, 0) | 1 << i
+    up, down, score, best = full, 0, n, n
+    for t in own:
+        eq = at.get(t, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = (down | ~(xh | up)) & full, up & xh
+        if ph & last:
+            score += 1
+        elif mh & last:
+            score -= 1
+            best = min(best, score)
+        ph, mh = ph << 1, mh << 1
+        up, down = (mh | ~(xv | ph)) & full, ph & xv
+    return best
+
+
 class Index:
-    """items: (id, question words, answer words), at most ITEMS of them."""
+    """items: (id, question words, answer words), at most ITEMS of them. whole: the two are parts of one text, which may be found as such."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]], threshold: float = THRESHOLD):
-        self.threshold = threshold
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], threshold: float = THRESHOLD, whole: bool = True):
+        self.threshold, self.whole = threshold, whole
         self.ids = [i for i, _, _ in items]
         both = [q + a for _, q, a in items]
         self.longest = max(map(len, both), default=0)
@@ -73,7 +97,8 @@ class Index:
             self.rows.append(row)
             self.impact.append(table)
         self.essential = max(least_essential, default=-1)
-        self.grams: list[list[set[int]]] = [[self._grams([self.terms[w] for w in part]) for part in (q, a)] for _, q, a in items]
+        self.parts: list[list[list[int]]] = [[[self.terms[w] for w in part] for part in (q, a)] for _, q, a in items]
+        self.grams: list[list[set[int]]] = [[self._grams(part) for part in parts] for parts in self.parts]
 
     @staticmethod
     def _grams(terms: list[int]) -> set:
@@ -123,7 +148,13 @@ class Index:
                     if k not in seen:
                         seen[k] = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)} if k else set()
                     share.append(len(grams & seen[k]) / len(grams) if grams else 1.0)
-                if min(share) >= OVERLAP and (item not in best or score > best[item][1]):
+                if min(share) < OVERLAP:
+                    parts = self.parts[item]
+                    share = [s if s >= OVERLAP else max(s, 1 - least_edits(p, own) / len(p)) for s, p in zip(share, parts)]
+                    both = parts[0] + parts[1]
+                    if min(share) < OVERLAP and not (self.whole and least_edits(both, own) <= (1 - OVERLAP) * len(both) + 1e-9):
+                        continue
+                if item not in best or score > best[item][1]:
                     best[item] = (self.ids[item], score, *share, at)
         return [best[k] for k in sorted(best)]
 
@@ -147,10 +178,10 @@ def indexes(items: DataFrame, threshold: float = THRESHOLD):
             held.append((r.item_id, q, a))
             size += len(q) + len(a)
         if len(held) == ITEMS or size >= INDEX_WORDS:
-            yield Index(held, threshold)
+            yield Index(held, threshold, not has_answer)
             held, size = [], 0
     if held:
-        yield Index(held, threshold)
+        yield Index(held, threshold, not has_answer)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

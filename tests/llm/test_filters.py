@@ -70,6 +70,26 @@ def test_planted_items_are_found(spark, make, bench):
     assert D.contaminated(make(half), bench_df).count() == 0
 
 
+def test_one_edit_anywhere_is_found(bench):
+    """An item with one word replaced, added or dropped at any place, or without its last word, is found where the scores reach the threshold."""
+    _, items = bench
+    index = D.Index([(i, *D._split(type("R", (), {"text": t}), False)) for i, t in items])
+    around = words(random.Random(4), 30)
+    for i, t in items[::10]:
+        own = t.split()
+        for k in range(len(own)):
+            for put in (["changedword"], [own[k], "addedword"], []):
+                text = " ".join(around + own[:k] + put + own[k + 1 :] + around)
+                assert i in {h[0] for h in index.hits(text)}, (i, k, put)
+
+
+def test_least_edits():
+    rng = random.Random(8)
+    for _ in range(500):
+        part, own = rng.choices(range(4), k=rng.randint(1, 9)), rng.choices(range(5), k=rng.randint(0, 14))
+        assert D.least_edits(part, own) == min(distance(part, own[a:b]) for a in range(len(own) + 1) for b in range(a, len(own) + 1))
+
+
 def test_more_items_than_an_index_holds(spark, make, bench, monkeypatch):
     monkeypatch.setattr(D, "ITEMS", 40)
     _, items = bench
