@@ -1,11 +1,11 @@
-"""Near-duplicates by similarity: SimHash of five-word shingles, block keys, and verified Hamming distance.
-
-The fingerprints of operator 9 are exact at 3 of 64 bits, which is a similarity of about 0.98. Texts that share 0.8 of their
-five-word shingles differ in 15 % of SimHash bits, where blocks that no difference can miss would be a few bits long and hold
-everything. So a longer fingerprint (512 bits over the distinct shingles) is cut into keys of sampled bits instead, three bits
-longer than it takes to tell all fingerprints apart, in so many tables that two texts at a similarity of 0.8 share a key with a
-probability of RECALL, at 0.85 and more of over 0.99, whatever the size of the corpus. Links are then verified on all bits, and by
-the shingle counts.
+"""Near-duplicates by similarity: every pair of texts that share 0.8 of their distinct five-word shingles, and no other.
+
+Candidates are complete: with all shingles in one order, two texts at the similarity or above share one of the first
+n - ceil(0.8 n) + 1 of each (prefix filter). Any order will do, so shingles that a sample shows to be common come last, and
+few texts meet without cause. Texts that meet are linked coarsely by what can't be wrong: sizes, and the parities of their
+shingles in 512 cells, which differ in no more cells than the texts do in shingles. Each text is then in one coarse group, and
+within groups links are verified on the shingle hashes themselves. What is larger than a task may be is compared block against
+block, every block with every other.
 """
 
 from __future__ import annotations
@@ -15,19 +15,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import dropped, freed, map_texts, texts, written
+from .shared import dropped, freed, map_texts, sampled, texts, written
 from .simhash import shingle_hashes
 
 BITS, WORDS, SIMILARITY, RECALL = 512, 5, 0.8, 0.95
-#: Tables that are keyed at once: what lies on disk grows with them, not with their number.
-AT_ONCE = 48
-#: Members of a bucket that are compared in one task, and more bits that larger buckets are keyed by. Of what is larger still, texts all
-#: alike, each task compares a part with so many members (on average) that all parts share.
-BUCKET, MORE_BITS, PIVOTS = 4096, 8, 256
+#: Texts sampled for common shingles, occurrences there that make one common, and the most of them that are held.
+SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 200_000
+#: Members of a bucket that are compared in one task; larger ones are cut to blocks of about half as many.
+BUCKET = 4096
+#: Shingles of a coarse group that are compared in one task; larger ones are cut to blocks of about half as many.
+SHINGLES = 2_000_000
+#: Of the sampled keys that came before; nothing reads them but tests.
+AT_ONCE, PIVOTS = 48, 256
 
 
 def agreement(similarity: float) -> float:
@@ -40,71 +44,82 @@ def tables(bits: int, similarity: float, recall: float = RECALL) -> int:
     return math.ceil(math.log(1 - recall) / math.log1p(-agreement(similarity) ** bits))
 
 
-def most_bits(similarity: float, bits: int = BITS) -> int:
-    """Differing bits up to which two fingerprints are linked: the mean at this similarity and two standard deviations, so that 97 % of such pairs are."""
-    p = 1 - agreement(similarity)
-    return round(bits * p + 2 * math.sqrt(bits * p * (1 - p)))
+def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
+    """The distinct shingle hashes, ascending."""
+    parts = [*shingle_hashes(text, words)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
 
 
-def wide_fingerprint(text: str, words: int = WORDS) -> tuple[bytes, int]:
-    """BITS bits by majority over the distinct shingle hashes, and how many there are."""
-    parts = [*shingle_hashes(text, words)]
-    if not parts:
-        return bytes(BITS // 8), 0
-    h = np.unique(np.concatenate(parts))
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(h), 1 << 15):
-        x = h[at : at + (1 << 15)]
-        more = [x]
-        for k in range(1, BITS // 64):
-            y = (x + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
-            y ^= y >> np.uint64(32)
-            y *= np.uint64(0xD6E8FEB86659FD93)
-            more.append(y ^ (y >> np.uint64(32)))
-        ones += np.unpackbits(np.stack(more, axis=1).view(np.uint8), axis=1).sum(axis=0, dtype=np.uint16)  # a block has under 2**16 rows
-    return np.packbits(2 * ones > len(h)).tobytes(), len(h)
-
-
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def parities(h: np.ndarray) -> bytes:
+    """BITS cells, each the parity of the shingles that fall into it."""
+    return np.packbits((np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def prefix(h: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """As many first shingles as a text at the similarity must share one of: by hash, then those in common (ascending) by rank."""
+    n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
+    if not len(common) or not len(h):
+        return h[:n]
+    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+    known = common[at] == h
+    return np.concatenate([h[~known], h[known][np.argsort(rank[at[known]], kind="stable")]])[:n]
+
+
+def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a bounded sample shows to be common, ascending, and their ranks from the rarest."""
+
     def run(batch: pa.RecordBatch, values: list[str]):
-        fp, n = zip(*(wide_fingerprint(v, words) for v in values))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp, pa.binary()), pa.array(n, pa.int64())], names=["doc_id", "fp", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, dtype=np.uint64), *(shingle_set(v, words) for v in values)]).view(np.int64))], names=["h"])
 
-    return map_texts(texts(docs), run, "doc_id long, fp binary, n long")
+    found = map_texts(texts(sampled(docs, SAMPLE)), run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    top = found.orderBy(F.desc("count"), "h").limit(MOST_COMMON).toPandas()
+    h = top["h"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.arange(len(h), 0, -1)[order]
 
 
-def _keyed(df: DataFrame, bits: int, first: int, last: int, seed: int) -> DataFrame:
-    """df (node, fp, and a column over) with a row for each table from first to last and its key, as (key, over, node)."""
+def fingerprints(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, node (a hash of the shingle set), n, fp (parities) and keys (prefix), a row a row of docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
 
-    def run(batches):
-        places = [np.sort(np.random.default_rng((seed, t)).choice(BITS, bits, replace=False)) for t in range(first, last)]
-        weights = (1 << np.arange(bits)).astype(np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                fp = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8)
-                on = np.unpackbits(fp, axis=1)
-                for t, own in enumerate(places, first):
-                    key = on[:, own] @ weights << np.int64(14) | np.int64(t)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), part.column(2), part.column(0)], names=["key", "over", "node"])
+    def run(batch: pa.RecordBatch, values: list[str]):
+        common, rank = shared.value
+        sets = [shingle_set(v, words) for v in values]
+        keys = [prefix(h, common, rank, similarity).view(np.int64) for h in sets]
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64).view(np.int64)
+        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(h) for h in sets], pa.int64()), pa.array([parities(h) for h in sets], pa.binary()), keys], names=["doc_id", "node", "n", "fp", "keys"])
 
-    return df.select("node", "fp", "over").mapInArrow(run, "key long, over long, node long")
+    return map_texts(texts(docs), run, "doc_id long, node long, n long, fp binary, keys array<long>")
 
 
-def forest(fp: np.ndarray, n: np.ndarray, bits: int, similarity: float) -> list[tuple[int, int]]:
-    """Index pairs that join what verified links connect. fp: rows of 64-bit words; n: shingle counts.
+def forest(fp: np.ndarray, n: np.ndarray, similarity: float, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Index pairs that join what links connect. fp: rows of 64-bit words (parities); n: shingle counts.
 
-    A link needs few enough differing bits and counts as near as the similarity demands; below 9 shingles, where one shingle is more than the
-    difference allowed, only equal fingerprints.
+    Without sets a link is a pair that could be at the similarity: its counts allow it, and so do the cells that differ. With sets (shingle
+    hashes of each) it is a pair that is.
     """
     left, out = np.arange(len(fp)), []
+    if sets is not None:
+        size = np.array([len(x) for x in sets])
+        start = np.cumsum(size) - size
+        _, ids = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), return_inverse=True)
+        mark = np.zeros(len(ids) + 1, dtype=bool)
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             i = queue.pop()
-            differ = np.bitwise_count(fp[left] ^ fp[i]).sum(axis=1)
+            differ = np.bitwise_count(fp[left] ^ fp[i]).sum(axis=1, dtype=np.int64)
             low, high = np.minimum(n[left], n[i]), np.maximum(n[left], n[i])
-            near = (differ <= np.where(high < 9, 0, bits)) & (low >= similarity * high)
+            near = (differ * (1 + similarity) <= (n[left] + n[i]) * (1 - similarity) + 1e-6) & (low >= similarity * high - 1e-6)
+            if sets is not None and near.any():
+                own = ids[start[i] : start[i] + size[i]]
+                mark[own] = True
+                at = np.nonzero(near)[0]
+                both = np.array([np.count_nonzero(mark[ids[start[j] : start[j] + size[j]]]) for j in left[at].tolist()])
+                mark[own] = False
+                near[at] = both >= similarity * (size[left[at]] + size[i] - both) - 1e-6
             for j in left[near].tolist():
                 out.append((i, j))
                 queue.append(j)
@@ -112,77 +127,88 @@ def forest(fp: np.ndarray, n: np.ndarray, bits: int, similarity: float) -> list[
     return out
 
 
-def _links(members: DataFrame, bits: int, similarity: float) -> DataFrame:
+def _links(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of each row's forest; members are structs of node, n, fp and, where links are to be verified, h."""
+    exact = "h" in members.schema["members"].dataType.elementType.names
+
     def run(batches):
         for batch in batches:
-            a, b = [], []
             col = batch.column(0)
             for i in range(batch.num_rows):
                 v = col[i].values
-                node = v.field(0).to_numpy(zero_copy_only=False)
-                node, first = np.unique(node, return_index=True)
-                fp = np.frombuffer(b"".join(v.field(1).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)[first]
-                for x, y in forest(fp, v.field(2).to_numpy(zero_copy_only=False)[first], bits, similarity):
-                    a.append(node[x])
-                    b.append(node[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                node, first = np.unique(v.field(0).to_numpy(zero_copy_only=False), return_index=True)
+                if len(node) < 2:
+                    continue
+                n = v.field(1).to_numpy(zero_copy_only=False)[first]
+                fp = np.frombuffer(b"".join(v.field(2).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)[first]
+                sets = [np.frombuffer(v.field(3)[k].as_py(), dtype=np.uint64) for k in first.tolist()] if exact else None
+                a, b = zip(*found) if (found := forest(fp, n, similarity, sets)) else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array(node[list(x)], pa.int64()) for x in (a, b)], names=["a", "b"])
 
     return members.select("members").mapInArrow(run, "a long, b long")
 
 
-def _met(keyed: DataFrame, what: str) -> DataFrame:
-    """(key, over, m, node) of the buckets that have m members, two or more: most keys have one, and only these rows travel on.
+def _blocked(df: DataFrame, by: str, blocks) -> DataFrame:
+    """df with columns x and y, a row for each pair of blocks of its group that its node's block is in: all pairs of blocks meet."""
+    p = F.greatest(F.lit(1).cast("long"), blocks)
+    own = F.pmod(F.xxhash64("node", by), p)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), p - 1)).alias("other")
+    dealt = df.select("*", p.alias("p"), own.alias("own"), other)
+    # a block meets itself in each pair it is in; alone it stands only where it is the only one
+    return dealt.where("own != other or p = 1").withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("p", "own", "other")
 
-    Counts are combined before they are shuffled, and a large bucket's rows are a skewed side of a join, which Spark can split.
-    """
-    size = written(keyed.groupBy("key", "over").agg(F.count("*").alias("m")).where("m > 1"), what)
-    met = written(keyed.join(size, ["key", "over"]).select("key", "over", "m", "node"), what)
+
+def _halves(size, most: int):
+    """Blocks of about most / 2 for what is larger than most, else one."""
+    return F.when(size > most, F.ceil(2 * size / most)).otherwise(F.lit(1)).cast("long")
+
+
+def coarse(own: DataFrame, similarity: float) -> DataFrame:
+    """(node, root): groups that hold every pair of nodes at the similarity, from a written table of fingerprints of different nodes."""
+    keyed = own.select(F.explode("keys").alias("key"), "node")
+    size = written(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    met = keyed.join(size, "key")
+    dealt = _blocked(met, "key", _halves(F.col("m"), BUCKET))
+    members = dealt.join(own.select("node", "n", "fp"), "node").groupBy("key", "x", "y").agg(F.collect_list(F.struct("node", "n", "fp")).alias("members"))
+    found = written(_links(members, similarity).distinct(), "coarse")
     dropped(size)
-    return met
-
-
-def _parted(met: DataFrame) -> DataFrame:
-    """Buckets of any size dealt to parts of about BUCKET members, each with the members that all parts share."""
-    parts = F.ceil(F.col("m") / BUCKET)
-    own = F.pmod(F.xxhash64("node", "key"), parts)
-    shared = F.pmod(F.xxhash64("key", "node", "over"), F.col("m")) < PIVOTS
-    dealt = F.when(shared, F.sequence(F.lit(0).cast("long"), parts - 1)).otherwise(F.array(own))
-    return met.withColumn("part", F.explode(dealt)).select("key", F.xxhash64("over", "part").alias("over"), "node")
-
-
-def links(nodes: DataFrame, similarity: float = SIMILARITY) -> list[DataFrame]:
-    """(a, b) tables of verified links between nodes (node, fp, n), of a written table: each bucket's forest, so their number stays linear."""
-    bits = most_bits(similarity)
-    key_bits = min(48, max(12, math.ceil(math.log2(nodes.count() + 2)) + 3))
-    every, out = tables(key_bits, similarity), []
-    worded = nodes.where("n > 0").withColumn("over", F.lit(0).cast("long"))
-    known = nodes.select("node", "fp", "n")
-    compared = lambda met: _links(met.join(known, "node").groupBy("key", "over").agg(F.collect_list(F.struct("node", "fp", "n")).alias("members")), bits, similarity)
-    for at in range(0, every, AT_ONCE):
-        keyed = written(_keyed(worded, key_bits, at, min(every, at + AT_ONCE), 1), "keyed")
-        met = _met(keyed, "met")
-        dropped(keyed)
-        hot = met.where(F.col("m") > BUCKET).select("node", F.col("key").alias("over")).join(known, "node").select("node", "fp", "over")
-        keyed = written(_keyed(hot, MORE_BITS, 0, tables(MORE_BITS, similarity), 2), "keyed")
-        again = _met(keyed, "again")
-        dropped(keyed)
-        found = compared(met.where(F.col("m") <= BUCKET)).union(compared(again.where(F.col("m") <= BUCKET))).union(compared(_parted(again.where(F.col("m") > BUCKET))))
-        out.append(written(found, "links"))
-        dropped(met)
-        dropped(again)
-        freed(nodes.sparkSession)
-    return out
+    freed(own.sparkSession)
+    return components(found)
+
+
+def links(docs: DataFrame, own: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """(a, b): verified links that connect all nodes of own (written, one row a node, with doc_id and a text of docs) that pairs at the similarity connect."""
+    grouped = written(coarse(own, similarity).join(own.select("node", "n", "doc_id"), "node"), "grouped")
+    total = grouped.groupBy("root").agg(F.sum("n").alias("total"))
+    wanted = grouped.join(total, "root").select("doc_id", "node", "root", "total")
+
+    def run(batch: pa.RecordBatch, values: list[str]):
+        sets = [shingle_set(v, words) for v in values]
+        node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64).view(np.int64)
+        cols = [pa.array(node), pa.array([len(h) for h in sets], pa.int64()), pa.array([parities(h) for h in sets], pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())]
+        return pa.RecordBatch.from_arrays(cols, names=["node", "n", "fp", "h"])
+
+    few = texts(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = map_texts(few, run, "node long, n long, fp binary, h binary")
+    dealt = _blocked(sets.join(wanted.select("node", "root", "total"), "node"), "root", _halves(F.col("total"), SHINGLES))
+    members = dealt.groupBy("root", "x", "y").agg(F.collect_list(F.struct("node", "n", "fp", "h")).alias("members"))
+    found = written(_links(members, similarity), "links")
+    dropped(grouped)
+    freed(own.sparkSession)
+    return found
 
 
 def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id (the least doc_id of the group), one row a distinct doc_id; rows without a doc_id are left out.
 
-    Null and empty texts are equal to one another. A doc_id with several texts joins the groups of all of them. Equal fingerprints are one node.
+    Null and empty texts are equal to one another. A doc_id with several texts joins the groups of all of them. Equal shingle sets are one node.
     """
-    own = written(fingerprints(docs.where("doc_id is not null"), words), "wide")
-    nodes = written(own.groupBy("fp", "n").agg(F.min("doc_id").alias("least")).withColumn("node", F.xxhash64("fp", "n")), "nodes")
-    found = links(nodes, similarity)
-    same = own.join(nodes.select("fp", "n", "node"), ["fp", "n"]).select("doc_id", "node").distinct()
+    docs = docs.where("doc_id is not null")
+    own = written(fingerprints(docs, words, similarity), "wide")
+    nodes = written(own.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
+    once = own.join(nodes.select("node", F.col("least").alias("doc_id")), ["node", "doc_id"], "left_semi").where("n > 0").dropDuplicates(["node"])
+    found = [links(docs, written(once, "once"), similarity, words)]
+    same = own.select("doc_id", "node").distinct()
     many = same.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     found.append(same.join(many, "doc_id").select("a", F.col("node").alias("b")))
     found = written(components(reduce(DataFrame.union, found)), "groups")

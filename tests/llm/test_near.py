@@ -134,6 +134,33 @@ def test_similar_large_groups(spark, make, monkeypatch):
     assert {got[i] for i in range(200)} == {0} and all(got[d] >= 1000 for d in got if d >= 1000)
 
 
+def exact_groups(rows):
+    sh = {d: shingles(t) for d, t in rows}
+    return closure(sorted(sh), lambda a, b: 5 * len(sh[a] & sh[b]) >= 4 * len(sh[a] | sh[b]))
+
+
+def got_groups(make, rows):
+    return {r.doc_id: r.component_id for r in similar.groups(make(rows)).collect()}
+
+
+def test_similar_small_groups_in_a_large_bucket(spark, make, monkeypatch):
+    """Texts of one template, below the similarity to one another, with many small groups of copies among them."""
+    monkeypatch.setattr(similar, "BUCKET", 12)
+    monkeypatch.setattr(similar, "SHINGLES", 1500, raising=False)
+    monkeypatch.setattr(similar, "PIVOTS", 2, raising=False)
+    rng = random.Random(21)
+    base = [f"t{i}" for i in range(80)]
+    rows = []
+    for i in range(120):
+        own = base + [f"u{i}x{k}" for k in range(24)]
+        rows.append((2 * i, " ".join(own)))
+        if i % 3 == 0:
+            at = rng.randrange(len(own))
+            rows.append((2 * i + 1, " ".join(own[:at] + [f"c{i}"] + own[at + 1 :])))
+    want = exact_groups(rows)
+    assert len(set(want.values())) == 120 and got_groups(make, rows) == want
+
+
 def test_one_of_each(spark, make):
     rows = [(4, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "quite another text of many words here now"), (2, "a b c d e f g h i j"), (None, "x"), (9, None), (8, "")]
     got = similar.one_of_each(make(rows)).select("doc_id").collect()
