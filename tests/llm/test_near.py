@@ -161,6 +161,16 @@ def test_similar_small_groups_in_a_large_bucket(spark, make, monkeypatch):
     assert len(set(want.values())) == 120 and got_groups(make, rows) == want
 
 
+def test_similar_short_texts(spark, make):
+    """Texts of 9 to 12 words less their first or last word are at 0.8 or more; of 8 words and less they are not."""
+    rows = []
+    for i in range(40):
+        own = [f"s{i}x{k}" for k in range(3 + i % 10)]
+        rows += [(3 * i, " ".join(own)), (3 * i + 1, " ".join(own[1:])), (3 * i + 2, " ".join(own[:-1]))]
+    want = exact_groups(rows)
+    assert len(set(want.values())) < len(rows) - 20 and got_groups(make, rows) == want
+
+
 def test_one_of_each(spark, make):
     rows = [(4, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "quite another text of many words here now"), (2, "a b c d e f g h i j"), (None, "x"), (9, None), (8, "")]
     got = similar.one_of_each(make(rows)).select("doc_id").collect()
