@@ -3,7 +3,8 @@
 Candidates are complete: with all shingles in one order, two texts at the similarity or above share one of the first
 n - ceil(0.8 n) + 1 of each (prefix filter). Any order will do, so shingles that a sample shows to be common come last, and
 few texts meet without cause. Texts that meet are linked coarsely by what can't be wrong: sizes, and the parities of their
-shingles in 512 cells, which differ in no more cells than the texts do in shingles. Each text is then in one coarse group, and
+shingles in 512 cells, which differ in no more cells than the texts do in shingles (long texts: in a sample of them, and so by
+a bound that one true pair in 10**10 breaks). Each text is then in one coarse group, and
 within groups links are verified on the shingle hashes themselves. What is larger than a task may be is compared block against
 block, every block with every other.
 """
@@ -30,6 +31,10 @@ SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 200_000
 BUCKET = 4096
 #: Shingles of a coarse group that are compared in one task; larger ones are cut to blocks of about half as many.
 SHINGLES = 2_000_000
+#: Standard deviations above the mean that a sampled difference may have (texts of 512 shingles or more): one true pair in 10**10 has more.
+DEVIATIONS = 8
+#: Slices of the keys, handled one after another: what lies on disk is that of one. All keys are in one.
+SLICES = 6
 #: Of the sampled keys that came before; nothing reads them but tests.
 AT_ONCE, PIVOTS = 48, 256
 
@@ -50,9 +55,18 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
 
 
+def level(n):
+    """Long texts' cells hold one shingle in 2**level, so that 256 to 512 of them fall into cells."""
+    return np.maximum(0, np.floor(np.log2(np.maximum(n, 1) / 256))).astype(np.int64)
+
+
 def parities(h: np.ndarray) -> bytes:
-    """BITS cells, each the parity of the shingles that fall into it."""
-    return np.packbits((np.bincount((h % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    """BITS cells, each the parity of the shingles that fall into it, at the text's level and at the one below."""
+    out = b""
+    for k in (int(level(len(h))), max(0, int(level(len(h))) - 1)):
+        x = h[h >> np.uint64(40) & np.uint64((1 << k) - 1) == 0]
+        out += np.packbits((np.bincount((x % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    return out
 
 
 def prefix(h: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
@@ -106,13 +120,19 @@ def forest(fp: np.ndarray, n: np.ndarray, similarity: float, sets: list[np.ndarr
         start = np.cumsum(size) - size
         _, ids = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), return_inverse=True)
         mark = np.zeros(len(ids) + 1, dtype=bool)
+    k = level(n)
+    main, below = fp[:, : BITS // 64], fp[:, BITS // 64 :]
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             i = queue.pop()
-            differ = np.bitwise_count(fp[left] ^ fp[i]).sum(axis=1, dtype=np.int64)
+            own_k, least = k[left], np.minimum(k[left], k[i])
+            cells = np.where((own_k > k[i])[:, None], below[left], main[left]) ^ np.where((own_k < k[i])[:, None], below[i], main[i])
+            differ = np.bitwise_count(cells).sum(axis=1, dtype=np.int64)
+            allowed = (n[left] + n[i]) * (1 - similarity) / (1 + similarity) / (1 << least)
+            allowed += np.where(least > 0, DEVIATIONS * np.sqrt(allowed), 0)
             low, high = np.minimum(n[left], n[i]), np.maximum(n[left], n[i])
-            near = (differ * (1 + similarity) <= (n[left] + n[i]) * (1 - similarity) + 1e-6) & (low >= similarity * high - 1e-6)
+            near = (differ <= allowed + 1e-6) & (low >= similarity * high - 1e-6)
             if sets is not None and near.any():
                 own = ids[start[i] : start[i] + size[i]]
                 mark[own] = True
@@ -140,7 +160,7 @@ def _links(members: DataFrame, similarity: float) -> DataFrame:
                 if len(node) < 2:
                     continue
                 n = v.field(1).to_numpy(zero_copy_only=False)[first]
-                fp = np.frombuffer(b"".join(v.field(2).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)[first]
+                fp = np.frombuffer(b"".join(v.field(2).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 32)[first]
                 sets = [np.frombuffer(v.field(3)[k].as_py(), dtype=np.uint64) for k in first.tolist()] if exact else None
                 a, b = zip(*found) if (found := forest(fp, n, similarity, sets)) else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(node[list(x)], pa.int64()) for x in (a, b)], names=["a", "b"])
@@ -165,15 +185,19 @@ def _halves(size, most: int):
 
 def coarse(own: DataFrame, similarity: float) -> DataFrame:
     """(node, root): groups that hold every pair of nodes at the similarity, from a written table of fingerprints of different nodes."""
-    keyed = own.select(F.explode("keys").alias("key"), "node")
-    size = written(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-    met = keyed.join(size, "key")
-    dealt = _blocked(met, "key", _halves(F.col("m"), BUCKET))
-    members = dealt.join(own.select("node", "n", "fp"), "node").groupBy("key", "x", "y").agg(F.collect_list(F.struct("node", "n", "fp")).alias("members"))
-    found = written(_links(members, similarity).distinct(), "coarse")
-    dropped(size)
-    freed(own.sparkSession)
-    return components(found)
+    every = []
+    for at in range(SLICES):
+        keyed = own.select(F.explode("keys").alias("key"), "node").where(F.pmod("key", F.lit(SLICES)) == at)
+        size = written(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+        met = written(keyed.join(size, "key"), "met")
+        dropped(size)
+        freed(own.sparkSession)
+        dealt = _blocked(met, "key", _halves(F.col("m"), BUCKET))
+        members = dealt.join(own.select("node", "n", "fp"), "node").groupBy("key", "x", "y").agg(F.collect_list(F.struct("node", "n", "fp")).alias("members"))
+        every.append(written(_links(members, similarity).distinct(), "coarse"))
+        dropped(met)
+        freed(own.sparkSession)
+    return components(reduce(DataFrame.union, every))
 
 
 def links(docs: DataFrame, own: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
@@ -206,9 +230,12 @@ def groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY)
     docs = docs.where("doc_id is not null")
     own = written(fingerprints(docs, words, similarity), "wide")
     nodes = written(own.groupBy("node").agg(F.min("doc_id").alias("least")), "nodes")
-    once = own.join(nodes.select("node", F.col("least").alias("doc_id")), ["node", "doc_id"], "left_semi").where("n > 0").dropDuplicates(["node"])
-    found = [links(docs, written(once, "once"), similarity, words)]
-    same = own.select("doc_id", "node").distinct()
+    same = written(own.select("doc_id", "node").distinct(), "same")
+    once = written(own.join(nodes, "node").where("doc_id = least and n > 0").drop("least").dropDuplicates(["node"]), "once")
+    dropped(own)
+    freed(docs.sparkSession)
+    found = [links(docs, once, similarity, words)]
+    dropped(once)
     many = same.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
     found.append(same.join(many, "doc_id").select("a", F.col("node").alias("b")))
     found = written(components(reduce(DataFrame.union, found)), "groups")

@@ -171,6 +171,20 @@ def test_similar_short_texts(spark, make):
     assert len(set(want.values())) < len(rows) - 20 and got_groups(make, rows) == want
 
 
+def test_similar_is_the_definition(spark, make):
+    """Pairs on both sides of 0.8 are joined or left apart by their exact similarity."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(200):
+        own = [f"d{i}x{k}" for k in range(rng.randint(20, 150) if i % 10 else rng.randint(400, 1500))]
+        other = list(own)
+        for k in rng.sample(range(len(own)), rng.randint(1, max(1, len(own) // 35 + 1))):
+            other[k] = f"e{i}x{k}"
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(other))]
+    want = exact_groups(rows)
+    assert 220 < len(set(want.values())) < 380 and got_groups(make, rows) == want
+
+
 def test_one_of_each(spark, make):
     rows = [(4, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "quite another text of many words here now"), (2, "a b c d e f g h i j"), (None, "x"), (9, None), (8, "")]
     got = similar.one_of_each(make(rows)).select("doc_id").collect()
