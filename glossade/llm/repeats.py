@@ -24,7 +24,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sais import permuted_lcp, suffix_array
@@ -59,11 +59,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def contexts(raw: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context hash, first string, number of strings) of each context of some bytes; a context ends size - 1 bytes after its last string's start."""
+    """(anchor hash, two context hashes, first string, number of strings) of each context of some bytes; a context ends size - 1 bytes after its last string's start."""
     n = len(raw) - size + 1
     if n <= 0:
         none = np.zeros(0, dtype=np.uint64)
-        return none, none, none.astype(np.int64), none.astype(np.int64)
+        return none, none, none, none.astype(np.int64), none.astype(np.int64)
     sums = []
     for base in _BASE:
         up, down = _power(base)
@@ -82,41 +82,78 @@ def contexts(raw: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.nd
     first = np.concatenate([[0], np.nonzero(anchor[1:] != anchor[:-1])[0] + 1])
     count = np.diff(np.append(first, n))
     end = first + count + size - 1
-    own = [_mix((c[end] - c[first]) * down[first]) for c, down in sums]
-    return grams[anchor[first]], _mix(own[0] + (own[1] << np.uint64(1)) + count.astype(np.uint64)), first, count
+    own = [_mix(_mix((c[end] - c[first]) * down[first]) + count.astype(np.uint64)) for c, down in sums]
+    return grams[anchor[first]], *own, first, count
 
 
-def _docs(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and a row's key: o orders documents (no doc_id comes last), h tells rows of one doc_id apart."""
+def _docs(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, text, more, and a row's key (o, h): o orders documents (no doc_id comes last), h tells the different texts of one doc_id apart.
+
+    h is a number dealt to the different texts of a doc_id that has several, in order of a 128-bit hash of them and their length, and 0 elsewhere;
+    only rows that are equal share a key.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc = F.col("doc_id").cast("long")
-    return docs.select(doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, F.lit((1 << 63) - 1)).alias("o"), F.hash(text).alias("h"))
+    own = docs.select(doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, F.lit((1 << 63) - 1)).alias("o"), *more)
+    told = {"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(SIZE), "text"), "k3": F.octet_length("text")}
+    own = own.withColumns(told)
+    kinds = own.select("o", *told).distinct()
+    several = kinds.groupBy("o").agg(F.count("*").alias("n")).where("n > 1").select("o")
+    dealt = kinds.join(several, "o", "left_semi").repartitionByRange("o", *told).sortWithinPartitions("o", *told).withColumn("h", F.monotonically_increasing_id() + 1)
+    return own.join(written(dealt, "texts"), ["o", *told], "left").withColumn("h", F.coalesce("h", F.lit(0).cast("long"))).drop(*told)
 
 
-#: kind of a context: to be compared, done with (repeated within its task), or of a common anchor.
-_ANCHORS = "a long, c long, o long, h int, pos long, kind byte"
+#: kind of a context: to be compared, done with (repeated within its task; a span of several such), or of a common anchor.
 OPEN, DONE, WIDE = 0, 1, 2
+#: A context's strings start at lo and end n bytes further.
+_ANCHORS = "a long, c long, d long, o long, h long, lo long, n long, kind byte"
+
+
+def _runs(o: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans put together, document by document, where they overlap or touch."""
+    if not len(o):
+        return o, h, lo, hi
+    order = np.lexsort((lo, h, o))
+    o, h, lo, hi = (x[order] for x in (o, h, lo, hi))
+    fresh = np.concatenate([[True], (o[1:] != o[:-1]) | (h[1:] != h[:-1])])
+    # tops within a document: documents are told apart by an offset that no end reaches
+    wide = int(hi.max()) + 1
+    doc = np.cumsum(fresh) - 1
+    top = np.maximum.accumulate(hi + doc * wide) - doc * wide
+    new = fresh | np.concatenate([[False], lo[1:] > top[:-1]])
+    last = np.append(np.nonzero(new)[0][1:] - 1, len(lo) - 1)
+    return o[new], h[new], lo[new], top[last]
 
 
 def _anchors(common: np.ndarray):
-    """Every context of every text, as (anchor, context, document, place, kind). common: anchors, sorted, whose contexts don't meet by anchor alone."""
+    """Every context of every text, as (anchor, context hashes, document, place, kind). common: anchors, sorted, whose contexts don't meet by anchor alone.
+
+    Contexts that the task itself shows to be repeated travel no further than to their document, as spans.
+    """
 
     def met(parts: list[tuple]):
-        a, c, o, h, pos = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((pos, h, o, c, a))
-        a, c, o, h, pos = (x[order] for x in (a, c, o, h, pos))
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
+        a, c, d, o, h, pos = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((pos, h, o, d, c, a))
+        a, c, d, o, h, pos = (x[order] for x in (a, c, d, o, h, pos))
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
         head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
         same = (o == o[head]) & (h == h[head]) & (pos == pos[head])  # a row that repeats is not earlier than itself
         done = ~new & ~same
-        kind = done.astype(np.int8)
+        lo, n = pos >> 8, (pos & 255) + SIZE - 1
+        x, y, z, w = _runs(o[done], h[done], lo[done], (lo + n)[done])
+        a, c, d, o, h, lo, n = (v[~done] for v in (a, c, d, o, h, lo, n))
+        kind = np.zeros(len(a) + len(x), dtype=np.int8)
         if len(common):
             wide = common[np.minimum(np.searchsorted(common, a), len(common) - 1)] == a
-            kind[wide & ~done] = WIDE
+            kind[: len(a)][wide] = WIDE
             a = np.where(wide, _mix(a ^ c), a)
-        a = np.where(done, _mix(np.arange(len(a), dtype=np.uint64) + a), a)  # what is done with need not meet
-        for k in range(0, len(a), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 20_000]) for x in (a.view(np.int64), c.view(np.int64), o, h, pos, kind)], names=["a", "c", "o", "h", "pos", "kind"])
+        kind[len(a) :] = DONE
+        spread = _mix(np.arange(len(x), dtype=np.uint64) + x.view(np.uint64) * np.uint64(_BASE[0]))  # what is done with need not meet
+        zero = np.zeros(len(x), dtype=np.uint64)
+        cols = [np.append(*v) for v in ((a, spread), (c, zero), (d, zero), (o, x), (h, y), (lo, z), (n, w - z))]
+        cols[:3] = [v.view(np.int64) for v in cols[:3]]
+        for k in range(0, len(kind), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(v[k : k + 20_000]) for v in (*cols, kind)], names=["a", "c", "d", "o", "h", "lo", "n", "kind"])
 
     def run(batches):
         parts: list[tuple] = []
@@ -127,12 +164,12 @@ def _anchors(common: np.ndarray):
             for i, v in enumerate(values):
                 raw = np.frombuffer(v.encode(), dtype=np.uint8)
                 for at in range(0, max(0, len(raw) - SIZE + 1), SEGMENT):
-                    a, c, first, count = contexts(raw[at : at + SEGMENT + SIZE - 1])
-                    parts.append((a, c, np.full(len(a), o[i]), np.full(len(a), h[i]), first + at << 8 | count))
+                    a, c, d, first, count = contexts(raw[at : at + SEGMENT + SIZE - 1])
+                    parts.append((a, c, d, np.full(len(a), o[i]), np.full(len(a), h[i]), first + at << 8 | count))
                     size += len(a)
-            if size >= HELD:
-                yield from met(parts)
-                parts, size = [], 0
+                    if size >= HELD:
+                        yield from met(parts)
+                        parts, size = [], 0
         if parts:
             yield from met(parts)
 
@@ -140,42 +177,45 @@ def _anchors(common: np.ndarray):
 
 
 #: need: 0 repeated as a whole, 1 to be looked at with others of its anchor, 2 to be looked at string by string.
-_DECIDED = "o long, h int, pos long, a long, need byte"
+_DECIDED = "o long, h long, lo long, hi long, a long, need byte"
 
 
 def _decide(batches):
-    """Rows in order of (a, c, o, h, pos): contexts that are repeated as a whole, those whose anchor has other contexts too, and all of common anchors."""
+    """Rows in order of (a, c, d, o, h, lo): contexts that are repeated as a whole, those whose anchor has other contexts too, and all of common anchors."""
     last = None  # the first row of the last run, and whether its anchor had a run before
 
-    def out(o, h, pos, a, need):
-        return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(h, pa.int32()), pa.array(pos, pa.int64()), pa.array(a, pa.int64()), pa.array(need, pa.int8())], names=["o", "h", "pos", "a", "need"])
+    def out(o, h, lo, hi, a, need):
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (o, h, lo, hi, a)), pa.array(need, pa.int8())], names=["o", "h", "lo", "hi", "a", "need"])
 
     for batch in batches:
-        a, c, o, h, pos, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        a, c, d, o, h, lo, n, kind = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(8))
+        hi = lo + n
         done = kind == DONE
         if done.any():
-            yield out(o[done], h[done], pos[done], a[done], np.zeros(done.sum(), dtype=np.int8))
-            a, c, o, h, pos, kind = (x[~done] for x in (a, c, o, h, pos, kind))
+            yield out(o[done], h[done], lo[done], hi[done], a[done], np.zeros(done.sum(), dtype=np.int8))
+            a, c, d, o, h, lo, hi, kind = (x[~done] for x in (a, c, d, o, h, lo, hi, kind))
         if not len(a):
             continue
         if last is not None:
-            a, c, o, h, pos, kind = (np.concatenate([[y], x]) for x, y in zip((a, c, o, h, pos, kind), last[:6]))
-        new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])])
+            a, c, d, o, h, lo, hi, kind = (np.concatenate([[y], x]) for x, y in zip((a, c, d, o, h, lo, hi, kind), last[:8]))
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
         runs = np.nonzero(new)[0]
         head = runs[np.cumsum(new) - 1]
-        gone = ~new & ~((o == o[head]) & (h == h[head]) & (pos == pos[head]))
+        gone = ~new & ~((o == o[head]) & (h == h[head]) & (lo == lo[head]))
         alike = np.concatenate([[False], a[runs][1:] == a[runs][:-1], [False]])  # whether a run and the one before share the anchor
         if last is not None:
-            alike[0] = last[6]
+            alike[0] = last[8]
         closed = len(runs) - 1
         need = np.zeros(len(a), dtype=np.int8)
         need[runs[:closed]] = np.where(kind[runs[:closed]] == WIDE, 2, alike[:closed] | alike[1 : closed + 1])
-        tell = gone | (need > 0)
-        yield out(o[tell], h[tell], pos[tell], a[tell], need[tell])
+        x, y, z, w = _runs(o[gone], h[gone], lo[gone], hi[gone])
+        yield out(x, y, z, w, np.zeros(len(x), dtype=np.int64), np.zeros(len(x), dtype=np.int8))
+        tell = need > 0
+        yield out(o[tell], h[tell], lo[tell], hi[tell], a[tell], need[tell])
         k = runs[-1]
-        last = (a[k], c[k], o[k], h[k], pos[k], kind[k], bool(alike[closed]))
-    if last is not None and (last[6] or last[5] == WIDE):
-        yield out(*([x] for x in (last[2], last[3], last[4], last[0])), [2 if last[5] == WIDE else 1])
+        last = (a[k], c[k], d[k], o[k], h[k], lo[k], hi[k], kind[k], bool(alike[closed]))
+    if last is not None and (last[8] or last[7] == WIDE):
+        yield out(*([x] for x in (last[3], last[4], last[5], last[6], last[0])), [2 if last[7] == WIDE else 1])
 
 
 def _common(own: DataFrame) -> np.ndarray:
@@ -184,7 +224,7 @@ def _common(own: DataFrame) -> np.ndarray:
     It only balances tasks: results don't depend on it.
     """
     some = own.where(F.pmod(F.xxhash64("o", "h"), F.lit(100)) == 0).select("text", "o", "h").mapInArrow(_anchors(np.zeros(0, dtype=np.uint64)), _ANCHORS).where(f"kind = {OPEN}")
-    counted = written(some.select("a", "c").distinct().groupBy("a").agg(F.count("*").alias("n")), "anchors")
+    counted = written(some.select("a", "c", "d").distinct().groupBy("a").agg(F.count("*").alias("n")), "anchors")
     total = counted.agg(F.sum("n")).first()[0] or 0
     found = [r.a for r in counted.where(F.col("n") > max(HOT / 100, total / COMMON)).select("a").collect()]
     dropped(counted)
@@ -198,19 +238,19 @@ def _fetch(batches):
             raw = batch.column(0)[i].as_py().encode()
             o, h = batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
             need = batch.column(3)[i].values
-            pos, a, hot = (need.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            for k in range(0, len(pos), 5000):
-                at, n = pos[k : k + 5000] >> 8, pos[k : k + 5000] & 255
-                own = [raw[x : x + y + SIZE - 1] for x, y in zip(at.tolist(), n.tolist())]
+            lo, hi, a, hot = (need.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            for k in range(0, len(lo), 5000):
+                at = lo[k : k + 5000]
+                own = [raw[x:y] for x, y in zip(at.tolist(), hi[k : k + 5000].tolist())]
                 m = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(a[k : k + m]), pa.array([o] * m, pa.int64()), pa.array([h] * m, pa.int32()), pa.array(at), pa.array(own, pa.binary()), pa.array(hot[k : k + m].astype(bool))], names=["a", "o", "h", "at", "own", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[k : k + m]), pa.array([o] * m, pa.int64()), pa.array([h] * m, pa.int64()), pa.array(at), pa.array(own, pa.binary()), pa.array(hot[k : k + m].astype(bool))], names=["a", "o", "h", "at", "own", "hot"])
 
 
-_SPANS = "o long, h int, lo long, hi long"
+_SPANS = "o long, h long, lo long, hi long"
 
 
 def _spans(o, h, lo, hi) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(h, pa.int32()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["o", "h", "lo", "hi"])
+    return pa.RecordBatch.from_arrays([pa.array(o, pa.int64()), pa.array(h, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], names=["o", "h", "lo", "hi"])
 
 
 def _hashed(flat: np.ndarray, base: int = _BASE[0]) -> np.ndarray:
@@ -310,7 +350,7 @@ def _shards(batches):
         yield flush()
 
 
-_STRINGS = "w1 long, w2 long, o long, h int, lo long, hi long, done boolean"
+_STRINGS = "w1 long, w2 long, o long, h long, lo long, hi long, done boolean"
 
 
 def _strings(batches):
@@ -323,17 +363,12 @@ def _strings(batches):
         new = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
         head = np.nonzero(new)[0][np.cumsum(new) - 1]
         gone = ~new & ~((o == o[head]) & (h == h[head]) & (at == at[head]))
-        order = np.nonzero(gone)[0]
-        order = order[np.lexsort((at[order], h[order], o[order]))]
-        x, y, z = o[order], h[order], at[order]
-        first = np.ones(len(z), dtype=bool)
-        first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] > z[:-1] + 1)
-        last = np.append(np.nonzero(first)[0][1:] - 1, len(z) - 1) if len(z) else np.zeros(0, dtype=np.int64)
-        spread = _mix(np.arange(len(last), dtype=np.uint64) + w1[0]).view(np.int64)
-        zero = np.zeros(len(last), dtype=np.int64)
+        x, y, z, to = _runs(o[gone], h[gone], at[gone], at[gone] + SIZE)
+        spread = _mix(np.arange(len(x), dtype=np.uint64) + w1[0]).view(np.int64)
+        zero = np.zeros(len(x), dtype=np.int64)
         keep = ~gone
-        cols = (np.append(w1.view(np.int64)[keep], spread), np.append(w2.view(np.int64)[keep], zero), np.append(o[keep], x[first]), np.append(h[keep], y[first]), np.append(at[keep], z[first]), np.append(at[keep] + SIZE, z[last] + SIZE))
-        done = np.append(np.zeros(int(keep.sum()), dtype=bool), np.ones(len(last), dtype=bool))
+        cols = (np.append(w1.view(np.int64)[keep], spread), np.append(w2.view(np.int64)[keep], zero), np.append(o[keep], x), np.append(h[keep], y), np.append(at[keep], z), np.append(at[keep] + SIZE, to))
+        done = np.append(np.zeros(int(keep.sum()), dtype=bool), np.ones(len(x), dtype=bool))
         for k in range(0, len(done), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 20_000]) for c in (*cols, done)], names=["w1", "w2", "o", "h", "lo", "hi", "done"])
 
@@ -370,39 +405,65 @@ def _later(batches):
         new = np.concatenate([[True], (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])])
         head = np.nonzero(new)[0][np.cumsum(new) - 1]
         gone = ~new & ~((o == o[head]) & (h == h[head]) & (at == at[head]))
-        yield _spans(o[gone], h[gone], at[gone], at[gone] + SIZE)
+        yield _spans(*_runs(o[gone], h[gone], at[gone], at[gone] + SIZE))
         last = [x[head[-1]] for x in cols]
 
 
-def merged(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spans put together where they overlap or touch."""
-    if not len(lo):
-        return lo, hi
-    order = np.argsort(lo, kind="stable")
-    lo, top = lo[order], np.maximum.accumulate(hi[order])
-    new = np.concatenate([[True], lo[1:] > top[:-1]])
-    return lo[new], top[np.append(np.nonzero(new)[0][1:] - 1, len(lo) - 1)]
+_BY_DOC = "o long, h long, spans array<struct<lo: long, hi: long>>"
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(o, h, spans): by row key, all spans of repeated strings, unordered and overlapping."""
-    spark = docs.sparkSession
-    own = _docs(docs)
+def _by_document(batches):
+    """Spans in order of (o, h, lo): a row a document, its spans put together as they come."""
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
+    held: list[tuple] = []  # the runs of the document that may go on
+    key = None
+
+    def out(keys, lists):
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(lists, kind)], names=["o", "h", "spans"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        o, h, lo, hi = _runs(*(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)))
+        starts = np.nonzero(np.concatenate([[True], (o[1:] != o[:-1]) | (h[1:] != h[:-1])]))[0].tolist()
+        keys, lists = [], []
+        for a, b in zip(starts, [*starts[1:], len(o)]):
+            own, now = [*zip(lo[a:b].tolist(), hi[a:b].tolist())], (int(o[a]), int(h[a]))
+            if now == key:
+                for x, y in own:
+                    if x <= held[-1][1]:
+                        held[-1] = (held[-1][0], max(held[-1][1], y))
+                    else:
+                        held.append((x, y))
+            else:
+                if key is not None:
+                    keys.append(key)
+                    lists.append([{"lo": x, "hi": y} for x, y in held])
+                key, held = now, own
+        if keys:
+            yield out(keys, lists)
+    if key is not None:
+        yield out([key], [[{"lo": x, "hi": y} for x, y in held]])
+
+
+def repeated_spans(own: DataFrame) -> DataFrame:
+    """(o, h, spans) from rows of _docs(): by row key, the spans of repeated strings, in order and apart."""
+    spark = own.sparkSession
     met = own.select("text", "o", "h").mapInArrow(_anchors(_common(own)), _ANCHORS)
-    met = met.repartition(F.col("a")).sortWithinPartitions("a", "c", "o", "h", "pos")
+    met = met.repartition(F.col("a")).sortWithinPartitions("a", "c", "d", "o", "h", "lo")
     decided = written(met.mapInArrow(_decide, _DECIDED), "decided")
     freed(spark)
     need = decided.where("need > 0")
     hot = need.where("need = 1").groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("a", F.lit(True).alias("hot"))
-    need = need.join(hot, "a", "left").select("o", "h", F.struct("pos", "a", (F.coalesce("hot", F.lit(False)) | (F.col("need") == 2)).alias("hot")).alias("x")).groupBy("o", "h").agg(F.collect_list("x").alias("need"))
-    fetched = written(own.drop("doc_id").dropDuplicates(["o", "h"]).join(need, ["o", "h"]).select("text", "o", "h", "need").mapInArrow(_fetch, "a long, o long, h int, at long, own binary, hot boolean"), "contexts")
+    need = need.join(hot, "a", "left").select("o", "h", F.struct("lo", "hi", "a", (F.coalesce("hot", F.lit(False)) | (F.col("need") == 2)).alias("hot")).alias("x")).groupBy("o", "h").agg(F.collect_list("x").alias("need"))
+    fetched = written(own.select("text", "o", "h").dropDuplicates(["o", "h"]).join(need, ["o", "h"]).select("text", "o", "h", "need").mapInArrow(_fetch, "a long, o long, h long, at long, own binary, hot boolean"), "contexts")
     freed(spark)
     cold = fetched.where("not hot").select("a", "o", "h", "at", "own").repartition(F.col("a")).sortWithinPartitions("a").mapInArrow(_shards, _SPANS)
     strings = fetched.where("hot").select("o", "h", "at", "own").mapInArrow(_strings, _STRINGS)
     warm = strings.repartition(F.col("w1"), F.col("w2")).sortWithinPartitions("w1", "w2", "o", "h", "lo").mapInArrow(_later, _SPANS)
-    whole = decided.where("need = 0").select("o", "h", F.shiftright("pos", 8).alias("lo"), (F.shiftright("pos", 8) + F.col("pos").bitwiseAND(F.lit(255).cast("long")) + F.lit(SIZE - 1)).alias("hi"))
-    return written(whole.union(cold).union(warm).groupBy("o", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
-
+    whole = decided.where("need = 0").select("o", "h", "lo", "hi")
+    every = whole.union(cold).union(warm)
+    return written(every.repartition(F.col("o"), F.col("h")).sortWithinPartitions("o", "h", "lo").mapInArrow(_by_document, _BY_DOC), "spans")
 
 
 def cut(docs: DataFrame, with_text: bool = True) -> DataFrame:
@@ -411,9 +472,10 @@ def cut(docs: DataFrame, with_text: bool = True) -> DataFrame:
     A null or empty text, or one of fewer than 100 bytes, loses nothing. Rows that repeat as a whole are one document: none is earlier than
     the other. Rows that share a doc_id with other texts are ordered by a hash of the text. A null doc_id comes after all others.
     """
-    spans = repeated_spans(docs)
+    keyed = _docs(docs)
+    spans = repeated_spans(keyed)
     freed(docs.sparkSession)
-    own = _docs(docs).join(spans, ["o", "h"], "left").select("doc_id", "text", "spans")
+    own = keyed.join(spans, ["o", "h"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in batches:
@@ -423,7 +485,7 @@ def cut(docs: DataFrame, with_text: bool = True) -> DataFrame:
                 raw = batch.column(1)[i].as_py().encode()
                 lo = hi = np.zeros(0, dtype=np.int64)
                 if col[i].is_valid:
-                    lo, hi = merged(*(col[i].values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+                    lo, hi = (col[i].values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 parts, at = [], 0
                 for a, b in zip(lo.tolist(), hi.tolist()):
                     parts.append(raw[at:a])
@@ -441,8 +503,6 @@ def cut(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 def trimmed(docs: DataFrame) -> DataFrame:
     """docs with repeated strings cut from text; all other columns stay. A character that a cut divides goes with it. A null text stays null."""
-    spans = repeated_spans(docs)
-    freed(docs.sparkSession)
 
     @F.pandas_udf("string")
     def left(text: pd.Series, spans: pd.Series) -> pd.Series:
@@ -450,16 +510,17 @@ def trimmed(docs: DataFrame) -> DataFrame:
         for t, s in zip(text, spans):
             if s is not None and len(s):
                 raw, at, parts = t.encode(), 0, []
-                lo, hi = merged(np.array([x["lo"] for x in s]), np.array([x["hi"] for x in s]))
-                for a, b in zip(lo.tolist(), hi.tolist()):
-                    parts.append(raw[at:a].decode(errors="ignore"))
-                    at = b
+                for x in s:
+                    parts.append(raw[at : x["lo"]].decode(errors="ignore"))
+                    at = x["hi"]
                 t = "".join([*parts, raw[at:].decode(errors="ignore")])
             out.append(t)
         return pd.Series(out)
 
-    o, h, found = (unused(docs, c) for c in ("span_o", "span_h", "span_list"))
-    keyed = docs.withColumns({o: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), h: F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    met = keyed.join(spans.select(F.col("o").alias(o), F.col("h").alias(h), F.col("spans").alias(found)), [o, h], "left")
-    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(left("text", found))
-    return met.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    row = unused(docs, "whole_row")
+    keyed = _docs(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row))
+    spans = repeated_spans(keyed)
+    freed(docs.sparkSession)
+    met = keyed.select("o", "h", row).join(spans, ["o", "h"], "left")
+    cut = F.when(F.col("spans").isNull(), F.col(f"{row}.text")).otherwise(left(F.col(f"{row}.text"), "spans"))
+    return met.select(*(cut.alias("text") if c == "text" else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns))
