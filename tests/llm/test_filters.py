@@ -197,6 +197,63 @@ def test_language_held_out(spark, make):
     assert marked.columns == [*df.columns, "p", "s"] and marked.where("p = lang").count() >= 850
 
 
+def plain_language(rows, texts):
+    """Language and posterior of each text by the definition, with counts in dictionaries and every language looked up."""
+    import math
+    import unicodedata
+    from collections import Counter
+
+    def split(t):
+        return "".join(c if unicodedata.category(c)[0] == "L" else " " for c in t.lower()).split()
+
+    learn = [(k, split(t)) for d, t, k in rows if not held(d)]
+    langs = sorted({k for k, _ in learn})
+    words = {k: Counter(w for j, ws in learn if j == k for w in ws) for k in langs}
+    grams = {k: Counter() for k in langs}
+    for k in langs:
+        for w, n in words[k].items():
+            for g in L.grams_of(w):
+                grams[k][g] += n
+    known = {w for w, n in sum(words.values(), Counter()).items() if n >= 2}
+    seen = {g for g, n in sum(grams.values(), Counter()).items() if n >= 3 or len(g) == 1}
+    total = {k: sum(words[k].values()) + 1 for k in langs}
+    mass = {(k, n): sum(c for g, c in grams[k].items() if len(g) == n) + 1 for k in langs for n in range(1, 5)}
+
+    def score(w, k):
+        if w in known:
+            return math.log((words[k][w] + 0.5) / total[k])
+        s, got = f"^{w}$", []
+        for end in range(2, len(s) + 1):
+            for g in (s[max(0, end - n) : end] for n in (4, 3, 2, 1) if n <= end):
+                if g in seen:
+                    got.append(math.log((grams[k][g] + 0.5) / mass[k, len(g)]) + (4 - len(g)) * math.log(0.4))
+                    break
+        return sum(got) / len(got) if got else 0.0
+
+    out = []
+    for t in texts:
+        of = {k: sum(score(w, k) for w in split(t or "")) for k in langs}
+        best = max(langs, key=lambda k: (of[k], [-ord(c) for c in k]))
+        out.append((best, 1 / sum(math.exp(max(-700, x - of[best])) for x in of.values())) if split(t or "") else ("und", 0.0))
+    return out
+
+
+def test_language_is_the_definition(spark, make, monkeypatch):
+    rng = random.Random(21)
+    alphabets = {"aa": "abcdeé", "bb": "abcxyz", "cc": "xyzuvwß", "dd": "abuvд"}
+    rows = [(d, " ".join(words(rng, rng.randint(0, 30), alphabets[k]) + rng.choices(["½", "x²y", "12", "Ⅷ", "abc"], k=2)), k) for d, k in ((d, rng.choice([*alphabets])) for d in range(250))]
+    model = L.fit(make(rows))
+    extra = [(1000 + i, t, None) for i, t in enumerate([None, "", "½", "²³", "①②", "Ⅷ", "12", "q", "qqq日本", "a½b abc"])]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(make([*rows, *extra]), model).collect()}
+    want = plain_language(rows, [t for _, t, _ in rows + extra])
+    for (d, _, _), (k, s) in zip(rows + extra, want):
+        assert got[d][0] == k and abs(got[d][1] - s) < 1e-9, d
+    monkeypatch.setattr(L, "CELLS", 8)  # few texts at once
+    again = model.predict([t or "" for _, t, _ in rows + extra])
+    assert [k for k, _ in again] == [k for k, _ in want] and all(abs(x - y) < 1e-9 for (_, x), (_, y) in zip(again, want))
+    assert [got[1000 + i][0] for i in range(7)] == ["und"] * 7
+
+
 def test_language_without_labels(spark, make):
     got = L.identify(make(ODD), L.fit(make(ODD))).collect()
     assert len(got) == len(ODD) and {r.lang_pred for r in got} == {"und"}
