@@ -1,17 +1,24 @@
-"""Operator 6: benchmark decontamination by a BM25 index of the test items and block-max WAND.
-
-The test items are the indexed texts; every passage of every training text is a query. Impacts are divided by the item's
-own full score, so one threshold (a share of that score) holds for all items. Items lie in blocks, each with the greatest
-impact of every term in it. A passage is looked at only if it has an essential term (the others can't reach the threshold
-together); a block of items is scored only if its greatest impacts reach the threshold; hits are then verified by the
-overlap of the item's question and answer with the passage: the share of their word 5-grams found, or of their words that
-need no edit to stand in the passage in order. Items without an answer column are also found by the second as a whole.
+"""Operator 6: benchmark decontamination by a BM25 inverted index of the test items and block-max WAND.
+
+The test items are the indexed texts; every passage of every training text is a query. Document frequencies, the number of
+items, their mean and greatest length are counted once over all items, so a score does not depend on which items share an
+index. Impacts are divided by the item's own full score, so one threshold (a share of that score) holds for all items.
+
+An index holds, for every term, its postings (item, impact) in order of items, cut to blocks with the last item and the
+greatest impact of each. A passage is looked at only if it has an essential term (the others can't reach the threshold
+together). Cursors then run over the postings of its terms: the first prefix of them, in order of items, whose greatest
+impacts reach the threshold ends at the pivot; where the blocks at the pivot can't reach it, the cursors skip to the end of
+the nearest block. Hits are verified by the overlap of the item's question and answer with the passage: the share of their
+word 5-grams found, or of their words that need no edit to stand in the passage in order. Items without an answer column are
+also found by the second as a whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -20,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_texts, texts
+from .shared import map_texts, texts, written
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
-#: Items in a block, and items and words in an index: more are more indexes, each a pass over the corpus.
-BLOCK, ITEMS, INDEX_WORDS = 64, 4096, 2_000_000
+#: Postings in a block; words of the items in an index: more are more indexes, each a pass over the corpus, with the same results.
+BLOCK, INDEX_WORDS = 64, 1_000_000
 THRESHOLD, OVERLAP, GRAM = 0.6, 0.8, 5
+#: Scores this near the threshold reach it, whatever the order in which they were summed.
+SLACK = 1e-9
 #: Share of an item's words, at its end, that count as the answer where the items have no answer column.
 ANSWER = 0.25
 
@@ -58,137 +67,198 @@ def least_edits(part: list[int], own: list[int]) -> int:
     return best
 
 
+def _grams(terms: list[int]) -> set:
+    k = min(GRAM, len(terms))
+    return {tuple(terms[i : i + k]) for i in range(len(terms) - k + 1)} if k else set()
+
+
+class Stats:
+    """Of all items: how many, their mean and greatest number of words."""
+
+    def __init__(self, n: int, words: int, longest: int):
+        self.n, self.mean, self.longest = n, words / max(1, n), longest
+
+    def impacts(self, words: list[str], df: dict[str, int]) -> dict[str, float]:
+        """An item's BM25 weight of each of its terms, as a share of their sum."""
+        size = len(words)
+        raw = {t: math.log(1 + (self.n - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / self.mean)) for t, tf in Counter(words).items()}
+        full = math.fsum(raw.values())
+        return {t: v / full for t, v in raw.items()}
+
+
 class Index:
-    """items: (id, question words, answer words), at most ITEMS of them. whole: the two are parts of one text, which may be found as such."""
+    """items: (id, question words, answer words), df: in how many of all items each of their terms is. whole: the two are parts of one text, which may be found as such."""
 
-    def __init__(self, items: list[tuple[int, list[str], list[str]]], threshold: float = THRESHOLD, whole: bool = True):
-        self.threshold, self.whole = threshold, whole
+    def __init__(self, items: list[tuple[int, list[str], list[str]]], df: dict[str, int], stats: Stats, threshold: float = THRESHOLD, whole: bool = True):
+        self.threshold, self.whole, self.longest = threshold, whole, stats.longest
         self.ids = [i for i, _, _ in items]
-        both = [q + a for _, q, a in items]
-        self.longest = max(map(len, both), default=0)
-        counts = [Counter(w) for w in both]
-        df = Counter(t for c in counts for t in c)
-        n, mean = len(items), sum(map(len, both)) / max(1, len(items))
-        idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
         # rare terms have the low numbers: they are the essential ones
-        self.terms = {t: i for i, t in enumerate(sorted(df, key=lambda t: (df[t], t)))}
-        blocks = -(-n // BLOCK)
-        self.greatest = np.zeros((len(self.terms) + 1, blocks), dtype=np.float32)
-        self.rows: list[dict[int, int]] = []
-        self.impact: list[np.ndarray] = []
-        least_essential = [0] * n
-        for b in range(blocks):
-            mine = counts[b * BLOCK : (b + 1) * BLOCK]
-            row = {t: i for i, t in enumerate(sorted({self.terms[t] for c in mine for t in c}))}
-            table = np.zeros((len(row) + 1, len(mine)), dtype=np.float32)
-            for j, c in enumerate(mine):
-                size = sum(c.values())
-                raw = {self.terms[t]: idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean)) for t, tf in c.items()}
-                full = sum(raw.values())
-                rest = 0.0
-                for t in sorted(raw, reverse=True):  # from the commonest: what they reach together stays below the threshold
-                    if rest + raw[t] / full >= threshold - 1e-6:
-                        least_essential[b * BLOCK + j] = t
-                        break
-                    rest += raw[t] / full
-                for t, v in raw.items():
-                    table[row[t], j] = v / full
-                    self.greatest[t, b] = max(self.greatest[t, b], v / full)
-            self.rows.append(row)
-            self.impact.append(table)
-        self.essential = max(least_essential, default=-1)
-        self.parts: list[list[list[int]]] = [[[self.terms[w] for w in part] for part in (q, a)] for _, q, a in items]
-        self.grams: list[list[set[int]]] = [[self._grams(part) for part in parts] for parts in self.parts]
-
-    @staticmethod
-    def _grams(terms: list[int]) -> set:
-        k = min(GRAM, len(terms))
-        return {tuple(terms[i : i + k]) for i in range(len(terms) - k + 1)} if k else set()
+        self.terms = {t: i for i, t in enumerate(sorted({w for _, q, a in items for w in (*q, *a)}, key=lambda t: (df[t], t)))}
+        self.essential = -1
+        found: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+        for j, (_, q, a) in enumerate(items):
+            own = sorted(((self.terms[t], v) for t, v in stats.impacts(q + a, df).items()), reverse=True)
+            for t, v in own:
+                found[t].append((j, v))
+            rest = 0.0
+            for t, v in own:  # from the commonest: what they reach together stays below the threshold
+                if rest + v >= threshold - SLACK:
+                    self.essential = max(self.essential, t)
+                    break
+                rest += v
+        self.start = array("q", np.cumsum([0, *map(len, found)]).tolist())
+        self.item = array("i", (j for of in found for j, _ in of))
+        self.impact = array("d", (v for of in found for _, v in of))
+        #: Of each posting's block: where it ends, and its greatest impact. Blocks don't cross terms.
+        self.first = array("q", np.cumsum([0, *(-(-len(of) // BLOCK) for of in found)]).tolist())
+        self.last = array("i", (of[min(k + BLOCK, len(of)) - 1][0] for of in found for k in range(0, len(of), BLOCK)))
+        self.peak = array("d", (max(v for _, v in of[k : k + BLOCK]) for of in found for k in range(0, len(of), BLOCK)))
+        self.most = np.array([max(v for _, v in of) for of in found] or [0.0])
+        self.parts: list[list[array]] = [[array("i", (self.terms[w] for w in part)) for part in (q, a)] for _, q, a in items]
 
     def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """(item's place, score) of all items that the query's distinct terms score at or above the threshold."""
-        bound = self.greatest[terms].sum(axis=0)
+        """(item's place, score) of all items that the query's distinct terms, ascending, score at or above the threshold: block-max WAND."""
+        least = self.threshold - SLACK
+        most = self.most[terms]
+        if most.sum() < least:
+            return []
+        item, start, first, last, peak = self.item, self.start, self.first, self.last, self.peak
+        # a cursor: item it stands on, term, greatest impact, place, end
+        cursors = sorted([item[start[t]], t, m, start[t], start[t + 1]] for t, m in zip(terms.tolist(), most.tolist()))
         out = []
-        for b in np.nonzero(bound >= self.threshold - 1e-5)[0].tolist():
-            row = self.rows[b]
-            own = [r for t in terms.tolist() if (r := row.get(t)) is not None]
-            score = self.impact[b][own].sum(axis=0)
-            out += [(b * BLOCK + j, float(score[j])) for j in np.nonzero(score >= self.threshold - 1e-5)[0].tolist()]
-        return out
+
+        def forward(upto: int, to: int) -> None:
+            """Moves the first cursors, upto of them, to the first item from `to` on; those that end go."""
+            for c in cursors[:upto]:
+                if c[0] < to:
+                    c[3] = bisect_left(item, to, c[3], c[4])
+                    c[0] = item[c[3]] if c[3] < c[4] else -1
+            cursors[:] = [c for c in cursors if c[0] >= 0]
+            cursors.sort()
+
+        while True:
+            bound, pivot = 0.0, -1
+            for k, c in enumerate(cursors):
+                bound += c[2]
+                if bound >= least:
+                    pivot = k
+                    break
+            if pivot < 0:
+                return out
+            at, n = cursors[pivot][0], pivot + 1
+            while n < len(cursors) and cursors[n][0] == at:
+                n += 1
+            bound, to = 0.0, 1 << 31
+            for c in cursors[:n]:
+                b = bisect_left(last, at, first[c[1]], first[c[1] + 1])
+                if b < first[c[1] + 1]:  # else its postings end before the pivot
+                    bound += peak[b]
+                    to = min(to, last[b])
+            if bound < least:
+                to += 1
+                forward(n, min(to, cursors[n][0]) if n < len(cursors) else to)
+            elif cursors[0][0] < at:
+                forward(pivot, at)
+            else:
+                score = math.fsum(self.impact[c[3]] for c in cursors[:n])
+                if score >= least:
+                    out.append((at, score))
+                forward(n, at + 1)
 
     def passages(self, text: str):
         """(first word, term numbers, -1 for words of no item) of every passage that has an essential term.
 
-        Passages are twice as long as the longest item and overlap by half, so an item lies whole in one of them.
+        Passages are twice as long as the longest of all items and overlap by half, so an item lies whole in one of them.
         """
         get = self.terms.get
         ids = np.fromiter((get(w, -1) for w in words_of(text)), dtype=np.int64)
         stride = max(1, self.longest)
-        marked = np.nonzero((ids >= 0) & (ids <= self.essential))[0]
-        half = np.unique(marked // stride)
+        half = np.unique(np.nonzero((ids >= 0) & (ids <= self.essential))[0] // stride)
         for k in np.unique(np.concatenate([half, half - 1])).tolist():
-            if k >= 0 or len(ids) <= stride:
-                at = max(0, k) * stride
-                yield at, ids[at : at + 2 * stride]
+            if 0 <= k and (k + 1 < -(-len(ids) // stride) or not k):  # the last half is in the passage before
+                yield k * stride, ids[k * stride : (k + 2) * stride]
+
+    def verified(self, j: int, own: list[int], seen: dict[int, set]) -> list[float] | None:
+        """The overlaps of the item's question and answer with a passage, or None if they are too small. seen: the passage's n-grams by length, found when asked for."""
+        share = []
+        for part in self.parts[j]:
+            grams = _grams(part.tolist())
+            k = min(GRAM, len(part))
+            if k and k not in seen:
+                seen[k] = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)}
+            share.append(len(grams & seen[k]) / len(grams) if grams else 1.0)
+        if min(share) < OVERLAP:
+            parts = [p.tolist() for p in self.parts[j]]
+            share = [s if s >= OVERLAP else max(s, 1 - least_edits(p, own) / len(p)) for s, p in zip(share, parts)]
+            both = parts[0] + parts[1]
+            if min(share) < OVERLAP and not (self.whole and least_edits(both, own) <= (1 - OVERLAP) * len(both) + 1e-9):
+                return None
+        return share
 
     def hits(self, text: str) -> list[tuple[int, float, float, float, int]]:
-        """(item id, score, question overlap, answer overlap, first word of the passage): the best verified passage of each item."""
+        """(item id, score, question overlap, answer overlap, first word of the passage): the best verified passage of each item, the first of equally good ones."""
         best: dict[int, tuple] = {}
         for at, ids in self.passages(text):
-            known = np.unique(ids[ids >= 0])
-            found = self.search(known)
+            found = self.search(np.unique(ids[ids >= 0]))
             if not found:
                 continue
-            own = ids.tolist()
-            seen: dict[int, set] = {}
+            own, seen = ids.tolist(), {}
             for item, score in found:
-                share = []
-                for grams in self.grams[item]:
-                    k = len(next(iter(grams))) if grams else 0
-                    if k not in seen:
-                        seen[k] = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)} if k else set()
-                    share.append(len(grams & seen[k]) / len(grams) if grams else 1.0)
-                if min(share) < OVERLAP:
-                    parts = self.parts[item]
-                    share = [s if s >= OVERLAP else max(s, 1 - least_edits(p, own) / len(p)) for s, p in zip(share, parts)]
-                    both = parts[0] + parts[1]
-                    if min(share) < OVERLAP and not (self.whole and least_edits(both, own) <= (1 - OVERLAP) * len(both) + 1e-9):
-                        continue
-                if item not in best or score > best[item][1]:
+                if item in best and score <= best[item][1] + SLACK:
+                    continue
+                if share := self.verified(item, own, seen):
                     best[item] = (self.ids[item], score, *share, at)
         return [best[k] for k in sorted(best)]
 
 
-def _split(row, has_answer: bool) -> tuple[list[str], list[str]]:
-    own = words_of(row.text or "")
+def _parts(text: str | None, answer: str | None, has_answer: bool) -> tuple[list[str], list[str]]:
+    own = words_of(text or "")
     if has_answer:
-        return own, words_of(row.answer or "")
+        return own, words_of(answer or "")
     cut = len(own) - max(1, int(len(own) * ANSWER)) if len(own) > 1 else len(own)
     return own[:cut], own[cut:]
 
 
-def indexes(items: DataFrame, threshold: float = THRESHOLD):
-    """Indexes of at most ITEMS items and, but for the last item, INDEX_WORDS words each, by id; items come one block at a time, so the driver and each broadcast hold a bounded number."""
+def prepared(items: DataFrame) -> tuple[DataFrame, Stats]:
+    """(item_id, question, answer, terms: structs of term and df) of each different item with words, and what holds for all of them."""
     has_answer = "answer" in items.columns
-    own = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), *[F.col("answer").cast("string").alias("answer")] * has_answer)
-    held, size = [], 0
-    for r in own.orderBy("item_id").toLocalIterator():
-        q, a = _split(r, has_answer)
-        if q or a:
-            held.append((r.item_id, q, a))
-            size += len(q) + len(a)
-        if len(held) == ITEMS or size >= INDEX_WORDS:
-            yield Index(held, threshold, not has_answer)
-            held, size = [], 0
+    own = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), (F.col("answer").cast("string") if has_answer else F.lit(None).cast("string")).alias("answer"))
+
+    def split(batches):
+        for b in batches:
+            rows = [_parts(t, a, has_answer) for t, a in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], pa.list_(pa.string())) for k in (0, 1))], names=["item_id", "question", "answer"])
+
+    cut = written(own.mapInArrow(split, "item_id long, question array<string>, answer array<string>").where("size(question) + size(answer) > 0").distinct(), "items")
+    size = F.size("question") + F.size("answer")
+    n, words, longest = cut.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    each = cut.select("*", F.explode(F.array_distinct(F.concat("question", "answer"))).alias("term"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    return each.join(df, "term").groupBy("item_id", "question", "answer").agg(F.collect_list(F.struct("term", "df")).alias("terms")), Stats(n, words, longest)
+
+
+def indexes(items: DataFrame, threshold: float = THRESHOLD):
+    """Indexes of at most INDEX_WORDS words each, but for the last item of one; items come by id, one at a time, so the driver and each broadcast hold a bounded number."""
+    rows, stats = prepared(items)
+    held, df, size = [], {}, 0
+    for r in rows.orderBy("item_id", "question", "answer").toLocalIterator():
+        held.append((r.item_id, r.question, r.answer))
+        df.update(map(tuple, r.terms))
+        size += len(r.question) + len(r.answer)
+        if size >= INDEX_WORDS:
+            yield Index(held, df, stats, threshold, "answer" not in items.columns)
+            held, df, size = [], {}, 0
     if held:
-        yield Index(held, threshold, not has_answer)
+        yield Index(held, df, stats, threshold, "answer" not in items.columns)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap, first_word: a row for each contaminated row of docs and item in it.
 
-    Null and empty texts are clean, as are items without words. Rows that repeat give their rows each. No items: no rows. A null doc_id is
-    judged and stays null. No shuffle: each index is broadcast, bounded by ITEMS.
+    Null and empty texts are clean. Items without an id or without words are left out; rows of items that repeat count once, and different texts
+    of one item_id are items of their own, each with rows of its own. A column named answer in items makes text the question alone; without it the
+    last quarter of the text counts as the answer. Of passages of a text that score equally the first is told. Rows of docs that repeat give their
+    rows each. No items: no rows. A null doc_id is judged and stays null. No shuffle of docs: each index is broadcast, bounded by INDEX_WORDS.
     """
     own, out = texts(docs), None
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
@@ -207,15 +277,18 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
+def _finder(shared):
+    @F.pandas_udf("boolean")
+    def found(v: pd.Series) -> pd.Series:
+        return pd.Series([bool(t) and bool(shared.value.hits(t)) for t in v], dtype=bool)
+
+    return found
+
+
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows in which an item is found, by the same search; all columns stay. A null text is clean."""
+    """docs without the rows in which an item is found, by the same search as contaminated(); all columns stay, as do null and empty texts."""
     out = docs
     for index in indexes(items, threshold):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def found(v: pd.Series) -> pd.Series:
-            return pd.Series([bool(t) and bool(shared.value.hits(t)) for t in v], dtype=bool)
-
+        found = _finder(docs.sparkSession.sparkContext.broadcast(index))
         out = out.where(~found(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     return out

@@ -22,14 +22,34 @@ def bench():
     return common, [(i, " ".join(rng.sample(w, len(w)))) for i, w in items]
 
 
-def dense(index, items, terms):
-    """Scores of all items without any bound."""
-    return {b * D.BLOCK + j: float(sum(index.impact[b][index.rows[b][t], j] for t in terms if t in index.rows[b])) for b in range(len(index.rows)) for j in range(min(D.BLOCK, len(items) - b * D.BLOCK))}
+def index_of(items, **more):
+    """An index of (id, text) items, with the counts of those alone."""
+    cut = [(i, *D._parts(t, None, False)) for i, t in items]
+    df = D.Counter(w for _, q, a in cut for w in {*q, *a})
+    sizes = [len(q) + len(a) for _, q, a in cut]
+    return D.Index(cut, df, D.Stats(len(cut), sum(sizes), max(sizes)), **more)
 
 
-def test_search_is_exact(bench):
+def plain_scores(items):
+    """By item: BM25 weights of its terms as shares of their sum, from the definition."""
+    import math
+
+    own = {i: D.words_of(t) for i, t in items}
+    n, mean = len(own), sum(map(len, own.values())) / len(own)
+    df = {w: sum(w in v for v in own.values()) for v in own.values() for w in v}
+    out = {}
+    for i, v in own.items():
+        raw = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * v.count(w) * 2.2 / (v.count(w) + 1.2 * (0.25 + 0.75 * len(v) / mean)) for w in v}
+        out[i] = {w: x / sum(raw.values()) for w, x in raw.items()}
+    return out
+
+
+def test_search_is_exact(bench, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK", 4)  # many blocks a term
     common, items = bench
-    index = D.Index([(i, *D._split(type("R", (), {"text": t}), False)) for i, t in items])
+    index = index_of(items)
+    assert len(index.last) > len(index.terms) and max(map(len, (index.item[index.start[t] : index.start[t + 1]] for t in range(len(index.terms))))) > 16
+    scores = plain_scores(items)
     rng = random.Random(1)
     hits = 0
     for _ in range(300):
@@ -37,13 +57,46 @@ def test_search_is_exact(bench):
         own = D.words_of(items[i][1])
         passage = rng.sample(own, int(len(own) * rng.random())) + rng.sample(common, 10) + words(rng, 5)
         terms = D.np.unique([index.terms[w] for w in passage if w in index.terms])
-        want = {k for k, s in dense(index, items, terms.tolist()).items() if s >= index.threshold - 1e-5}
-        got = {k for k, _ in index.search(terms)}
-        assert got == want
+        want = {k: s for k, v in scores.items() if (s := sum(v.get(w, 0) for w in set(passage))) >= index.threshold}
+        got = dict(index.search(terms))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
         if want:  # a passage over the threshold always has an essential term
             assert (terms <= index.essential).any()
             hits += 1
     assert hits > 30
+    assert index.search(D.np.zeros(0, dtype=int)) == []
+
+
+def test_query_is_the_definition(spark, make, bench, monkeypatch):
+    """All passages of all texts against all items, in one index and in several: rows, scores and overlaps are those of a plain loop."""
+    common, items = bench
+    items = [*items, (500, " ".join(common[:12])), (501, "single"), (502, items[3][1])]
+    rng = random.Random(31)
+    rows = []
+    for d in range(120):
+        own = D.words_of(items[rng.randrange(len(items))][1])
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(len(own))] = "changed"
+        rows.append((d, " ".join(words(rng, rng.randint(0, 200)) + own + rng.choices(common, k=rng.randint(0, 80)))))
+    scores, stride = plain_scores(items), max(len(D.words_of(t)) for _, t in items)
+    index = index_of(items)
+    want = {}
+    for d, t in rows:
+        ids = [index.terms.get(w, -1) for w in D.words_of(t)]
+        for at in range(0, max(1, len(ids) - stride), stride) if len(ids) > stride else [0]:
+            here = set(D.words_of(t)[at : at + 2 * stride])
+            for j, (i, _) in enumerate(items):
+                s = sum(x for w, x in scores[i].items() if w in here)
+                if s >= 0.6 and (share := index.verified(j, ids[at : at + 2 * stride], {})) and s > want.get((d, i), (0,))[0] + 1e-9:
+                    want[d, i] = (s, *share, at)
+    df = spark.createDataFrame(items, "item_id long, text string")
+    assert 60 < len(want)
+    for most in (D.INDEX_WORDS, 900):
+        monkeypatch.setattr(D, "INDEX_WORDS", most)
+        assert (sum(1 for _ in D.indexes(df)) > 3) == (most == 900)
+        got = {(r.doc_id, r.item_id): r[2:] for r in D.contaminated(make(rows), df).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(x - y) < 1e-9 for k in got for x, y in zip(got[k], want[k]))
 
 
 def test_planted_items_are_found(spark, make, bench):
@@ -73,7 +126,7 @@ def test_planted_items_are_found(spark, make, bench):
 def test_one_edit_anywhere_is_found(bench):
     """An item with one word replaced, added or dropped at any place, or without its last word, is found where the scores reach the threshold."""
     _, items = bench
-    index = D.Index([(i, *D._split(type("R", (), {"text": t}), False)) for i, t in items])
+    index = index_of(items)
     around = words(random.Random(4), 30)
     for i, t in items[::10]:
         own = t.split()
@@ -91,7 +144,7 @@ def test_least_edits():
 
 
 def test_more_items_than_an_index_holds(spark, make, bench, monkeypatch):
-    monkeypatch.setattr(D, "ITEMS", 40)
+    monkeypatch.setattr(D, "INDEX_WORDS", 1500)
     _, items = bench
     df = spark.createDataFrame(items, "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in D.contaminated(make(items), df).collect()} >= {(i, i) for i, _ in items}
