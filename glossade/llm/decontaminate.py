@@ -4,12 +4,12 @@ The test items are the indexed texts; every passage of every training text is a
 items, their mean and greatest length are counted once over all items, so a score does not depend on which items share an
 index. Impacts are divided by the item's own full score, so one threshold (a share of that score) holds for all items.
 
-An index holds, for every term, its postings (item, impact) in order of items, cut to blocks with the last item and the
-greatest impact of each. A passage is looked at only if it has an essential term (the others can't reach the threshold
-together). Cursors then run over the postings of its terms: the first prefix of them, in order of items, whose greatest
-impacts reach the threshold ends at the pivot; where the blocks at the pivot can't reach it, the cursors skip to the end of
-the nearest block. Hits are verified by the overlap of the item's question and answer with the passage: the share of their
-word 5-grams found, or of their words that need no edit to stand in the passage in order. Items without an answer column are
+An index holds, for every term, its postings (item, impact) in order of items, cut to blocks of BLOCK neighbouring items
+with the greatest impact of each. A passage is looked at only if it has an essential term (the others can't reach the
+threshold together). Its weak AND, the sum of its terms' greatest impacts, is told for all blocks at once, where cursors
+would go from pivot to pivot; only the postings of the blocks that reach the threshold are then read and summed by item.
+Hits are verified by the overlap of the item's question and answer with the passage: the share of their word 5-grams found,
+or of their words that need no edit to stand in the passage in order. Items without an answer column are
 also found by the second as a whole.
 """
 
@@ -18,7 +18,6 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -27,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_texts, texts, written
+from .shared import in_pieces, map_texts, texts, written
 
 WORD = re.compile(r"\w+")
 K1, B = 1.2, 0.75
-#: Postings in a block; words of the items in an index: more are more indexes, each a pass over the corpus, with the same results.
-BLOCK, INDEX_WORDS = 64, 1_000_000
+#: Items in a block; words of the items in an index: more are more indexes, each a pass over the corpus, with the same results.
+BLOCK, INDEX_WORDS = 8, 1_000_000
+#: Sums of passages by block that are held at once.
+CELLS = 1 << 20
 THRESHOLD, OVERLAP, GRAM = 0.6, 0.8, 5
 #: Scores this near the threshold reach it, whatever the order in which they were summed.
 SLACK = 1e-9
@@ -67,6 +68,12 @@ def least_edits(part: list[int], own: list[int]) -> int:
     return best
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers start[i] to start[i] + size[i] - 1 of every i, one after another."""
+    before = np.cumsum(size) - size
+    return np.repeat(start - before, size) + np.arange(int(size.sum()))
+
+
 def _grams(terms: list[int]) -> set:
     k = min(GRAM, len(terms))
     return {tuple(terms[i : i + k]) for i in range(len(terms) - k + 1)} if k else set()
@@ -106,64 +113,34 @@ class Index:
                     self.essential = max(self.essential, t)
                     break
                 rest += v
-        self.start = array("q", np.cumsum([0, *map(len, found)]).tolist())
-        self.item = array("i", (j for of in found for j, _ in of))
-        self.impact = array("d", (v for of in found for _, v in of))
-        #: Of each posting's block: where it ends, and its greatest impact. Blocks don't cross terms.
-        self.first = array("q", np.cumsum([0, *(-(-len(of) // BLOCK) for of in found)]).tolist())
-        self.last = array("i", (of[min(k + BLOCK, len(of)) - 1][0] for of in found for k in range(0, len(of), BLOCK)))
-        self.peak = array("d", (max(v for _, v in of[k : k + BLOCK]) for of in found for k in range(0, len(of), BLOCK)))
-        self.most = np.array([max(v for _, v in of) for of in found] or [0.0])
+        term = np.repeat(np.arange(len(found)), [len(of) for of in found])
+        self.item = np.array([j for of in found for j, _ in of], dtype=np.int32)
+        self.impact = np.array([v for of in found for _, v in of], dtype=np.float64)
+        self.blocks = -(-len(items) // BLOCK)
+        # a row a term and block: its first posting, and its greatest impact
+        new = np.concatenate([[True], (term[1:] != term[:-1]) | (self.item[1:] // BLOCK != self.item[:-1] // BLOCK)]) if len(term) else np.zeros(0, dtype=bool)
+        begins = np.nonzero(new)[0]
+        self.begin = np.append(begins, len(term))
+        self.block = self.item[begins] // BLOCK
+        self.peak = np.maximum.reduceat(self.impact, begins) if len(begins) else np.zeros(0)
+        self.first = np.searchsorted(term[begins], np.arange(len(found) + 1))
         self.parts: list[list[array]] = [[array("i", (self.terms[w] for w in part)) for part in (q, a)] for _, q, a in items]
 
-    def search(self, terms: np.ndarray) -> list[tuple[int, float]]:
-        """(item's place, score) of all items that the query's distinct terms, ascending, score at or above the threshold: block-max WAND."""
+    def search(self, who: np.ndarray, terms: np.ndarray) -> list[tuple[int, int, float]]:
+        """(passage, item's place, score) of all items that a passage's terms score at or above the threshold. who, terms: passages from 0 and their distinct terms, in order."""
         least = self.threshold - SLACK
-        most = self.most[terms]
-        if most.sum() < least:
-            return []
-        item, start, first, last, peak = self.item, self.start, self.first, self.last, self.peak
-        # a cursor: item it stands on, term, greatest impact, place, end
-        cursors = sorted([item[start[t]], t, m, start[t], start[t + 1]] for t, m in zip(terms.tolist(), most.tolist()))
-        out = []
-
-        def forward(upto: int, to: int) -> None:
-            """Moves the first cursors, upto of them, to the first item from `to` on; those that end go."""
-            for c in cursors[:upto]:
-                if c[0] < to:
-                    c[3] = bisect_left(item, to, c[3], c[4])
-                    c[0] = item[c[3]] if c[3] < c[4] else -1
-            cursors[:] = [c for c in cursors if c[0] >= 0]
-            cursors.sort()
-
-        while True:
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                bound += c[2]
-                if bound >= least:
-                    pivot = k
-                    break
-            if pivot < 0:
-                return out
-            at, n = cursors[pivot][0], pivot + 1
-            while n < len(cursors) and cursors[n][0] == at:
-                n += 1
-            bound, to = 0.0, 1 << 31
-            for c in cursors[:n]:
-                b = bisect_left(last, at, first[c[1]], first[c[1] + 1])
-                if b < first[c[1] + 1]:  # else its postings end before the pivot
-                    bound += peak[b]
-                    to = min(to, last[b])
-            if bound < least:
-                to += 1
-                forward(n, min(to, cursors[n][0]) if n < len(cursors) else to)
-            elif cursors[0][0] < at:
-                forward(pivot, at)
-            else:
-                score = math.fsum(self.impact[c[3]] for c in cursors[:n])
-                if score >= least:
-                    out.append((at, score))
-                forward(n, at + 1)
+        size = self.first[terms + 1] - self.first[terms]
+        rows, owner = _ranges(self.first[terms], size), np.repeat(who, size)
+        cell = owner * self.blocks + self.block[rows]
+        reached = np.bincount(cell, self.peak[rows]) >= least
+        pivot = reached[cell]
+        rows, owner = rows[pivot], owner[pivot]
+        size = self.begin[rows + 1] - self.begin[rows]
+        at, owner = _ranges(self.begin[rows], size), np.repeat(owner, size)
+        key, back = np.unique(owner * len(self.ids) + self.item[at], return_inverse=True)
+        score = np.bincount(back, self.impact[at], minlength=len(key))
+        key, score = key[score >= least], score[score >= least]
+        return [*zip((key // len(self.ids)).tolist(), (key % len(self.ids)).tolist(), score.tolist())]
 
     def passages(self, text: str):
         """(first word, term numbers, -1 for words of no item) of every passage that has an essential term.
@@ -171,13 +148,33 @@ class Index:
         Passages are twice as long as the longest of all items and overlap by half, so an item lies whole in one of them.
         """
         get = self.terms.get
-        ids = np.fromiter((get(w, -1) for w in words_of(text)), dtype=np.int64)
+        ids = np.array([get(w, -1) for w in words_of(text)], dtype=np.int64)
         stride = max(1, self.longest)
         half = np.unique(np.nonzero((ids >= 0) & (ids <= self.essential))[0] // stride)
         for k in np.unique(np.concatenate([half, half - 1])).tolist():
             if 0 <= k and (k + 1 < -(-len(ids) // stride) or not k):  # the last half is in the passage before
                 yield k * stride, ids[k * stride : (k + 2) * stride]
 
+    def found(self, values: list[str]):
+        """(text, first word, term numbers, item's place, score) of what reaches the threshold, passage by passage."""
+        step = max(1, CELLS // max(1, self.blocks))
+        held: list[tuple] = []
+
+        def told():
+            size = np.array([len(ids) for _, _, ids in held])
+            flat, who = np.concatenate([ids for _, _, ids in held]), np.repeat(np.arange(len(held)), size)
+            key = np.unique((who * len(self.terms) + flat)[flat >= 0])
+            return [(*held[k], j, score) for k, j, score in self.search(key // len(self.terms), key % len(self.terms))]
+
+        for i, text in enumerate(values):
+            for at, ids in self.passages(text):
+                held.append((i, at, ids))
+                if len(held) == step:
+                    yield from told()
+                    held = []
+        if held:
+            yield from told()
+
     def verified(self, j: int, own: list[int], seen: dict[int, set]) -> list[float] | None:
         """The overlaps of the item's question and answer with a passage, or None if they are too small. seen: the passage's n-grams by length, found when asked for."""
         share = []
@@ -195,20 +192,18 @@ class Index:
                 return None
         return share
 
-    def hits(self, text: str) -> list[tuple[int, float, float, float, int]]:
-        """(item id, score, question overlap, answer overlap, first word of the passage): the best verified passage of each item, the first of equally good ones."""
-        best: dict[int, tuple] = {}
-        for at, ids in self.passages(text):
-            found = self.search(np.unique(ids[ids >= 0]))
-            if not found:
+    def hits(self, values: list[str]) -> list[list[tuple[int, float, float, float, int]]]:
+        """Of each text (item id, score, question overlap, answer overlap, first word of the passage): the best verified passage of each item, the first of equally good ones."""
+        best: list[dict[int, tuple]] = [{} for _ in values]
+        last, own, seen = None, [], {}
+        for i, at, ids, item, score in self.found(values):
+            if item in best[i] and score <= best[i][item][1] + SLACK:
                 continue
-            own, seen = ids.tolist(), {}
-            for item, score in found:
-                if item in best and score <= best[item][1] + SLACK:
-                    continue
-                if share := self.verified(item, own, seen):
-                    best[item] = (self.ids[item], score, *share, at)
-        return [best[k] for k in sorted(best)]
+            if (i, at) != last:
+                last, own, seen = (i, at), ids.tolist(), {}
+            if share := self.verified(item, own, seen):
+                best[i][item] = (self.ids[item], score, *share, at)
+        return [[of[k] for k in sorted(of)] for of in best]
 
 
 def _parts(text: str | None, answer: str | None, has_answer: bool) -> tuple[list[str], list[str]]:
@@ -267,7 +262,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
         def run(batch: pa.RecordBatch, values: list[str], shared=shared):
             x = shared.value
-            rows = [(i, *hit) for i, v in enumerate(values) for hit in x.hits(v)]
+            rows = [(i, *hit) for i, of in enumerate(x.hits(values)) for hit in of]
             cols = [*zip(*rows)] or [()] * 6
             kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
             return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], kinds))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"])
@@ -280,7 +275,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 def _finder(shared):
     @F.pandas_udf("boolean")
     def found(v: pd.Series) -> pd.Series:
-        return pd.Series([bool(t) and bool(shared.value.hits(t)) for t in v], dtype=bool)
+        return pd.Series([bool(of) for values in in_pieces(v) for of in shared.value.hits(values)], dtype=bool)
 
     return found
 
