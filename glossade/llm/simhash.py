@@ -44,15 +44,19 @@ def shingle_hashes(text: str, words: int = 3, seed: int = 42):
         yield np.fromiter((h(joined[a:b], seed) for a, b in zip(starts[at:to], ends[at + k - 1 : to + k - 1])), dtype=np.uint64, count=to - at)
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """A bit is 1 if it is set in over half the shingle hashes; 0 for a text without words."""
+def majority(hashes) -> int:
+    """The fingerprint of shingle hashes, which come in blocks: a bit is 1 if it is set in over half of them; 0 without any."""
     ones, n = np.zeros(BITS, dtype=np.int64), 0
-    for h in shingle_hashes(text, words, seed):
+    for h in hashes:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)  # a block has under 2**16 rows
         n += len(h)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    return majority(shingle_hashes(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long), a row a row of docs."""
 

@@ -1,12 +1,14 @@
 """Near-duplicates by similarity: every pair of texts that share 0.8 of their distinct five-word shingles, and no other.
 
-Candidates are complete: with all shingles in one order, two texts at the similarity or above share one of the first
-n - ceil(0.8 n) + 1 of each (prefix filter). Any order will do, so shingles that a sample shows to be common come last, and
-few texts meet without cause. Texts that meet are linked coarsely by what can't be wrong: sizes, and the parities of their
-shingles in 512 cells, which differ in no more cells than the texts do in shingles (long texts: in a sample of them, and so by
-a bound that one true pair in 10**10 breaks). Each text is then in one coarse group, and
-within groups links are verified on the shingle hashes themselves. What is larger than a task may be is compared block against
-block, every block with every other.
+First, SimHash fingerprints of the shingles by pigeonhole blocks (operator 9) bring close copies together, whole groups of
+them in a few links. A fingerprint of 64 bits can't tell 0.8 from less, nor find all pairs at 0.8, so the rest is found by a
+prefix filter, which is complete: with all shingles in one order, two texts at the similarity or above share one of the first
+n - ceil(0.8 n) + 1 of each. Any order will do, so shingles that a sample shows to be common come last, and few texts meet
+without cause. Texts that meet, and are in no group together yet, are linked coarsely by what can't be wrong: sizes, and the
+parities of their shingles in 512 cells, which differ in no more cells than the texts do in shingles (long texts: in a sample
+of them, and so by a bound that one true pair in 10**10 breaks). Each text is then in one coarse group, and within groups links
+are verified on the shingle hashes themselves. What is larger than a task may be is compared block against block, every block
+with every other.
 """
 
 from __future__ import annotations
@@ -22,31 +24,26 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import dropped, freed, map_texts, sampled, texts, written
-from .simhash import shingle_hashes
+from .simhash import links as simhash_links
+from .simhash import majority, shingle_hashes
 
-BITS, WORDS, SIMILARITY, RECALL = 512, 5, 0.8, 0.95
+BITS, WORDS, SIMILARITY = 512, 5, 0.8
 #: Texts sampled for common shingles, occurrences there that make one common, and the most of them that are held.
 SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 200_000
-#: Members of a bucket that are compared in one task; larger ones are cut to blocks of about half as many.
-BUCKET = 4096
+#: Tasks among which the texts of a common shingle are dealt.
+SALTS = 64
+#: Members of a bucket whose pairs are told one by one; of one that is compared in one task; larger ones are cut to blocks of about half as many.
+SMALL, BUCKET = 8, 4096
 #: Shingles of a coarse group that are compared in one task; larger ones are cut to blocks of about half as many.
 SHINGLES = 2_000_000
 #: Standard deviations above the mean that a sampled difference may have (texts of 512 shingles or more): one true pair in 10**10 has more.
 DEVIATIONS = 8
-#: Slices of the keys, handled one after another: what lies on disk is that of one. All keys are in one.
-SLICES = 6
-#: Of the sampled keys that came before; nothing reads them but tests.
-AT_ONCE, PIVOTS = 48, 256
 
 
-def agreement(similarity: float) -> float:
-    """The chance that a bit is equal in the fingerprints of two texts at this similarity."""
-    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def tables(bits: int, similarity: float, recall: float = RECALL) -> int:
-    """Keys of so many bits that two texts at this similarity need to share one with the probability `recall`."""
-    return math.ceil(math.log(1 - recall) / math.log1p(-agreement(similarity) ** bits))
+def hashes_of(text: str, words: int = WORDS) -> tuple[np.ndarray, int]:
+    """The distinct shingle hashes, ascending, and the SimHash fingerprint."""
+    parts = [*shingle_hashes(text, words)]
+    return (np.unique(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)), majority(parts)
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -69,14 +66,15 @@ def parities(h: np.ndarray) -> bytes:
     return out
 
 
-def prefix(h: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
-    """As many first shingles as a text at the similarity must share one of: by hash, then those in common (ascending) by rank."""
+def prefix(h: np.ndarray, common: np.ndarray, rank: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """As many first shingles as a text at the similarity must share one of, by hash, then those in common (ascending) by rank; and how many are not common."""
     n = len(h) - math.ceil(similarity * len(h) - 1e-9) + 1
     if not len(common) or not len(h):
-        return h[:n]
+        return h[:n], min(n, len(h))
     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
     known = common[at] == h
-    return np.concatenate([h[~known], h[known][np.argsort(rank[at[known]], kind="stable")]])[:n]
+    rare = h[~known]
+    return np.concatenate([rare, h[known][np.argsort(rank[at[known]], kind="stable")]])[:n], min(n, len(rare))
 
 
 def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,26 +91,36 @@ def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node (a hash of the shingle set), n, fp (parities) and keys (prefix), a row a row of docs."""
+    """doc_id, node (a hash of the shingle set), n, sim (SimHash), fp (parities), keys (prefix) and rare (so many of them are not common), a row a row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, words))
 
     def run(batch: pa.RecordBatch, values: list[str]):
         common, rank = shared.value
-        sets = [shingle_set(v, words) for v in values]
-        keys = [prefix(h, common, rank, similarity).view(np.int64) for h in sets]
+        sets, sims = zip(*(hashes_of(v, words) for v in values))
+        keys, rare = zip(*(prefix(h, common, rank, similarity) for h in sets))
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64).view(np.int64)
-        keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array([len(h) for h in sets], pa.int64()), pa.array([parities(h) for h in sets], pa.binary()), keys], names=["doc_id", "node", "n", "fp", "keys"])
+        cols = [pa.array(node), pa.array([len(h) for h in sets], pa.int64()), pa.array(np.array(sims, dtype=np.uint64).view(np.int64)), pa.array([parities(h) for h in sets], pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys).view(np.int64))), pa.array(rare, pa.int32())], names=["doc_id", "node", "n", "sim", "fp", "keys", "rare"])
+
+    return map_texts(texts(docs), run, "doc_id long, node long, n long, sim long, fp binary, keys array<long>, rare int")
 
-    return map_texts(texts(docs), run, "doc_id long, node long, n long, fp binary, keys array<long>")
 
+def could(n: np.ndarray, fp: np.ndarray, n2: np.ndarray, fp2: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts with these shingle counts and parities (rows of 64-bit words) could be at the similarity: their counts allow it, and so do the cells that differ."""
+    k, k2, half = level(n), level(n2), BITS // 64
+    cells = np.where((k > k2)[:, None], fp[:, half:], fp[:, :half]) ^ np.where((k2 > k)[:, None], fp2[:, half:], fp2[:, :half])
+    differ, least = np.bitwise_count(cells).sum(axis=1, dtype=np.int64), np.minimum(k, k2)
+    allowed = (n + n2) * (1 - similarity) / (1 + similarity) / (1 << least)
+    allowed = allowed + np.where(least > 0, DEVIATIONS * np.sqrt(allowed), 0)
+    return (differ <= allowed + 1e-6) & (np.minimum(n, n2) >= similarity * np.maximum(n, n2) - 1e-6)
 
-def forest(fp: np.ndarray, n: np.ndarray, similarity: float, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+
+def forest(fp: np.ndarray, n: np.ndarray, similarity: float, sets: list[np.ndarray] | None = None, root: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Index pairs that join what links connect. fp: rows of 64-bit words (parities); n: shingle counts.
 
-    Without sets a link is a pair that could be at the similarity: its counts allow it, and so do the cells that differ. With sets (shingle
-    hashes of each) it is a pair that is.
+    Without sets a link is a pair that could be at the similarity, and what shares a root is linked already. With sets (shingle hashes of each) it
+    is a pair that is at the similarity.
     """
     left, out = np.arange(len(fp)), []
     if sets is not None:
@@ -120,35 +128,34 @@ def forest(fp: np.ndarray, n: np.ndarray, similarity: float, sets: list[np.ndarr
         start = np.cumsum(size) - size
         _, ids = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), return_inverse=True)
         mark = np.zeros(len(ids) + 1, dtype=bool)
-    k = level(n)
-    main, below = fp[:, : BITS // 64], fp[:, BITS // 64 :]
     while len(left):
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             i = queue.pop()
-            own_k, least = k[left], np.minimum(k[left], k[i])
-            cells = np.where((own_k > k[i])[:, None], below[left], main[left]) ^ np.where((own_k < k[i])[:, None], below[i], main[i])
-            differ = np.bitwise_count(cells).sum(axis=1, dtype=np.int64)
-            allowed = (n[left] + n[i]) * (1 - similarity) / (1 + similarity) / (1 << least)
-            allowed += np.where(least > 0, DEVIATIONS * np.sqrt(allowed), 0)
-            low, high = np.minimum(n[left], n[i]), np.maximum(n[left], n[i])
-            near = (differ <= allowed + 1e-6) & (low >= similarity * high - 1e-6)
+            own = np.full(len(left), i)
+            near = could(n[left], fp[left], n[own], fp[own], similarity)
             if sets is not None and near.any():
-                own = ids[start[i] : start[i] + size[i]]
-                mark[own] = True
+                mine = ids[start[i] : start[i] + size[i]]
+                mark[mine] = True
                 at = np.nonzero(near)[0]
                 both = np.array([np.count_nonzero(mark[ids[start[j] : start[j] + size[j]]]) for j in left[at].tolist()])
-                mark[own] = False
+                mark[mine] = False
                 near[at] = both >= similarity * (size[left[at]] + size[i] - both) - 1e-6
-            for j in left[near].tolist():
-                out.append((i, j))
-                queue.append(j)
+            out += [(i, j) for j in left[near].tolist() if root is None or root[i] != root[j]]
+            if root is not None:
+                near |= root[left] == root[i]
+            queue += left[near].tolist()
             left = left[~near]
     return out
 
 
+def _words(column) -> np.ndarray:
+    """Parities as rows of 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITS // 32)
+
+
 def _links(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of each row's forest; members are structs of node, n, fp and, where links are to be verified, h."""
+    """(a, b) of each row's forest; members are structs of node, n, fp and, where links are to be verified, h, else root."""
     exact = "h" in members.schema["members"].dataType.elementType.names
 
     def run(batches):
@@ -160,14 +167,29 @@ def _links(members: DataFrame, similarity: float) -> DataFrame:
                 if len(node) < 2:
                     continue
                 n = v.field(1).to_numpy(zero_copy_only=False)[first]
-                fp = np.frombuffer(b"".join(v.field(2).to_pylist()), dtype=np.uint64).reshape(-1, BITS // 32)[first]
-                sets = [np.frombuffer(v.field(3)[k].as_py(), dtype=np.uint64) for k in first.tolist()] if exact else None
-                a, b = zip(*found) if (found := forest(fp, n, similarity, sets)) else ((), ())
+                if exact:
+                    more = {"sets": [np.frombuffer(v.field(3)[k].as_py(), dtype=np.uint64) for k in first.tolist()]}
+                else:
+                    more = {"root": v.field(3).to_numpy(zero_copy_only=False)[first]}
+                a, b = zip(*found) if (found := forest(_words(v.field(2))[first], n, similarity, **more)) else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array(node[list(x)], pa.int64()) for x in (a, b)], names=["a", "b"])
 
     return members.select("members").mapInArrow(run, "a long, b long")
 
 
+def _tested(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes that could be at the similarity."""
+    side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("fp").alias(f"fp_{x}"))
+
+    def run(batches):
+        for t in batches:
+            if t.num_rows:
+                n, n2 = (t.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
+                yield t.select(["a", "b"]).filter(pa.array(could(n, _words(t.column(3)), n2, _words(t.column(5)), similarity)))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "fp_a", "n_b", "fp_b").mapInArrow(run, "a long, b long")
+
+
 def _blocked(df: DataFrame, by: str, blocks) -> DataFrame:
     """df with columns x and y, a row for each pair of blocks of its group that its node's block is in: all pairs of blocks meet."""
     p = F.greatest(F.lit(1).cast("long"), blocks)
@@ -183,21 +205,61 @@ def _halves(size, most: int):
     return F.when(size > most, F.ceil(2 * size / most)).otherwise(F.lit(1)).cast("long")
 
 
+def _close(own: DataFrame) -> DataFrame:
+    """(a, b): nodes whose SimHash fingerprints are equal or linked by pigeonhole blocks."""
+    distinct = written(own.groupBy("sim").agg(F.min("node").alias("least")), "sims")
+    equal = own.select("sim", "node").join(distinct, "sim").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    of = lambda x: distinct.select(F.col("sim").alias(x), F.col("least").alias(f"least_{x}"))
+    apart = simhash_links(distinct.select(F.col("sim").alias("fp"))).join(of("a"), "a").join(of("b"), "b")
+    return equal.union(apart.select("least_a", "least_b"))
+
+
+def _meeting(batches):
+    """Rows (key, node, common) in order of key: those of keys that several rows have, and of all common ones."""
+    last = None  # the last row, and whether the row before shares its key
+
+    def out(key, node, tell):
+        return pa.RecordBatch.from_arrays([pa.array(key[tell], pa.int64()), pa.array(node[tell], pa.int64())], names=["key", "node"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, node, common = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        before = False
+        if last is not None:
+            key, node, common = (np.append(x, y) for x, y in zip(last, (key, node, common)))
+            before = last[3]
+        same = np.concatenate([[before], key[1:] == key[:-1]])
+        tell = same | np.append(same[1:], False) | common
+        yield out(key[:-1], node[:-1], tell[:-1])
+        last = (key[-1], node[-1], common[-1], same[-1])
+    if last is not None:
+        yield out(*(np.array([x]) for x in last[:2]), np.array([bool(last[2] or last[3])]))
+
+
 def coarse(own: DataFrame, similarity: float) -> DataFrame:
     """(node, root): groups that hold every pair of nodes at the similarity, from a written table of fingerprints of different nodes."""
-    every = []
-    for at in range(SLICES):
-        keyed = own.select(F.explode("keys").alias("key"), "node").where(F.pmod("key", F.lit(SLICES)) == at)
-        size = written(keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-        met = written(keyed.join(size, "key"), "met")
-        dropped(size)
-        freed(own.sparkSession)
-        dealt = _blocked(met, "key", _halves(F.col("m"), BUCKET))
-        members = dealt.join(own.select("node", "n", "fp"), "node").groupBy("key", "x", "y").agg(F.collect_list(F.struct("node", "n", "fp")).alias("members"))
-        every.append(written(_links(members, similarity).distinct(), "coarse"))
-        dropped(met)
-        freed(own.sparkSession)
-    return components(reduce(DataFrame.union, every))
+    spark = own.sparkSession
+    close = written(_tested(_close(own), own, similarity), "close")
+    roots = written(components(close), "close-roots")
+    keyed = own.select("node", "rare", F.posexplode("keys").alias("pos", "key")).select("key", "node", (F.col("pos") >= F.col("rare")).alias("common"))
+    salt = F.when(F.col("common"), F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    met = written(keyed.repartition(F.col("key"), salt).sortWithinPartitions("key").mapInArrow(_meeting, "key long, node long"), "met")
+    freed(spark)
+    rooted = written(met.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    dropped(met)
+    size = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m")
+    left = written(rooted.join(size, "key"), "apart")  # keys of texts that are in no group together yet
+    dropped(rooted)
+    freed(spark)
+    few = left.where(F.col("m") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("s"))
+    pairs = few.select(F.explode(F.expr("flatten(transform(s, (x, i) -> transform(filter(slice(s, 1, i), y -> y.root != x.root), y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))")).alias("p")).select("p.*").distinct()
+    dealt = _blocked(left.where(F.col("m") > SMALL), "key", _halves(F.col("m"), BUCKET))
+    members = dealt.join(own.select("node", "n", "fp"), "node").groupBy("key", "x", "y").agg(F.collect_list(F.struct("node", "n", "fp", "root")).alias("members"))
+    found = written(_tested(pairs, own, similarity).union(_links(members, similarity)).distinct(), "coarse")
+    dropped(left)
+    freed(spark)
+    return components(close.union(found))
 
 
 def links(docs: DataFrame, own: DataFrame, similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:

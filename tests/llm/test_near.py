@@ -2,6 +2,7 @@ import random
 import re
 
 import xxhash
+from pyspark.sql import functions as F
 
 from glossade.llm import repeats, similar, simhash
 from glossade.llm.graph import components
@@ -110,18 +111,9 @@ def test_similar_recall_and_rest(spark, make):
     assert all(got[d] // 3 == d // 3 for d in ids)  # nothing unrelated is joined
 
 
-def test_similar_tables():
-    """The chance that two texts at the similarity share a key holds whatever the key's length."""
-    for bits in (12, 20, 30):
-        n = similar.tables(bits, 0.8)
-        assert 0.95 <= 1 - (1 - similar.agreement(0.8) ** bits) ** n < 0.97
-
-
 def test_similar_large_groups(spark, make, monkeypatch):
     """A group of close copies far larger than a bucket may be comes out whole, and takes nothing else in."""
     monkeypatch.setattr(similar, "BUCKET", 12)
-    monkeypatch.setattr(similar, "PIVOTS", 4)
-    monkeypatch.setattr(similar, "AT_ONCE", 16)
     rng = random.Random(11)
     base = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
     rows = []
@@ -146,8 +138,7 @@ def got_groups(make, rows):
 def test_similar_small_groups_in_a_large_bucket(spark, make, monkeypatch):
     """Texts of one template, below the similarity to one another, with many small groups of copies among them."""
     monkeypatch.setattr(similar, "BUCKET", 12)
-    monkeypatch.setattr(similar, "SHINGLES", 1500, raising=False)
-    monkeypatch.setattr(similar, "PIVOTS", 2, raising=False)
+    monkeypatch.setattr(similar, "SHINGLES", 1500)
     rng = random.Random(21)
     base = [f"t{i}" for i in range(80)]
     rows = []
@@ -185,6 +176,42 @@ def test_similar_is_the_definition(spark, make):
     assert 220 < len(set(want.values())) < 380 and got_groups(make, rows) == want
 
 
+def test_similar_without_simhash(spark, make, monkeypatch):
+    """The prefix filter alone finds the same groups, with all buckets large and no shingle known to be common."""
+    rng = random.Random(41)
+    shared = [f"p{k}" for k in range(40)]
+    rows = []
+    for i in range(60):
+        own = [f"d{i}x{k}" for k in range(rng.randint(30, 90))]
+        own[5:5] = shared * (i % 2)
+        rows.append((10 * i, " ".join(own)))
+        for c in range(rng.randint(0, 5)):
+            other = list(own)
+            for k in rng.sample(range(len(own)), rng.randint(1, 3)):
+                other[k] = f"e{i}x{c}x{k}"
+            rows.append((10 * i + 1 + c, " ".join(other)))
+    want = exact_groups(rows)
+    assert 60 < len(set(want.values())) < len(rows) - 30
+    assert got_groups(make, rows) == want
+    monkeypatch.setattr(similar, "_close", lambda own: own.select(F.col("node").alias("a"), F.col("node").alias("b")).where("1 = 0"))
+    monkeypatch.setattr(similar, "SMALL", 0)
+    monkeypatch.setattr(similar, "COMMON", 1000)
+    assert got_groups(make, rows) == want
+
+
+def test_meeting_over_batches():
+    """Keys whose rows lie in several batches are told as in one."""
+    rng = random.Random(3)
+    key = sorted(rng.choices(range(60), k=70))
+    rows = [(k, i, k % 17 == 0) for i, k in enumerate(key)]
+    want = [(k, i) for k, i, c in rows if key.count(k) > 1 or c]
+    for step in (1, 2, 3, 50, 100):
+        batches = [similar.pa.RecordBatch.from_arrays([similar.pa.array(x) for x in zip(*rows[at : at + step])], names=["key", "node", "common"]) for at in range(0, len(rows), step)]
+        got = [(k, i) for out in similar._meeting(iter(batches)) for k, i in zip(out.column(0).to_pylist(), out.column(1).to_pylist())]
+        assert got == want, step
+    assert [*similar._meeting(iter([]))] == []
+
+
 def test_one_of_each(spark, make):
     rows = [(4, "a b c d e f g h i j"), (2, "a b c d e f g h i j"), (3, "quite another text of many words here now"), (2, "a b c d e f g h i j"), (None, "x"), (9, None), (8, "")]
     got = similar.one_of_each(make(rows)).select("doc_id").collect()
