@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter, defaultdict
 from itertools import groupby
 
 import numpy as np
@@ -166,11 +167,17 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
     def cut(batches):
         for b in batches:
-            out = [(lang, g, n) for lang, w, n in zip(*(b.column(k).to_pylist() for k in range(3))) for g in grams_of(w)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([*zip(*out)] or [()] * 3, (pa.string(), pa.string(), pa.int64()))], names=["lang", "gram", "n"])
+            by: dict[str, Counter] = defaultdict(Counter)
+            for lang, w, n in zip(*(b.column(k).to_pylist() for k in range(3))):
+                own = by[lang]
+                for g in grams_of(w):
+                    own[g] += n
+            for lang, own in by.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array([*own], pa.string()), pa.array([*own.values()], pa.int64())], names=["lang", "gram", "n"])
 
     counted = written(sample.mapInArrow(split, "lang string, word string").groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
-    grams = written(counted.select("lang", "word", "n").mapInArrow(cut, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
+    dealt = counted.select("lang", "word", "n").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+    grams = written(dealt.mapInArrow(cut, "lang string, gram string, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "grams")
     often = lambda df, of, least: df.join(df.groupBy(of).agg(F.sum("n").alias("every")).where(least), of, "left_semi").select(of, "lang", "n")
     pairs = lambda df: {(a, b): n for a, b, n in zip(*(c.to_pylist() for c in df.toArrow().columns))}
     totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
