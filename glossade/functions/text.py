@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 #: White space as CPython splits on it, for Java's regular expressions.
 UNICODE_SPACE = r"(?U)[\s\x1c-\x1f]+"
 ASCII_SPACE = r"[ \n\t\r]+"
-#: ASCII punctuation, then curly double quotes, guillemets, dashes and the ellipsis.
+# Punctuation (ASCII, then curly double quotes, guillemets, dashes and the ellipsis), quotes, and the patterns of code and tags.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + "“”„«»—–…"
 DOUBLE_QUOTES, SINGLE_QUOTES = "“”„‟«»", "‘’‚‛"
-CODE = r"(?iU)(```|</?code>|(def|function)\s+\w+\s*\(|class\s+\w+|var\s+\w+\s*=)"
-MARKUP = r"</?[A-Za-z][^>]*>"
+CODE = r"(?iU)```|<code>|</code>|def\s+\w+\s*\(|class\s+\w+|function\s+\w+\s*\(|var\s+\w+\s*="
+MARKUP = r"</?[a-zA-Z][^>]*>"
 
 
 def words(text: Column, space: str = UNICODE_SPACE) -> Column:

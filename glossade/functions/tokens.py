@@ -76,7 +76,17 @@ def parsed_sentence_id(sid: Column) -> Column:
     )
 
 
-STOPWORDS_EN = frozenset("a an and are as at be been but by for from had has have he her his i in is it its not of on or our she so that the their them they this to was we were which will with you your".split())
+# The English stop words.
+STOPWORDS_EN = frozenset(
+    """
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their
+    theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the
+    and but if or because as until while of at by for with about against between into through during before after above below to from up down in
+    out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only
+    own same so than too very s t can will just don should now ll re ve y ain aren couldn didn doesn hadn hasn haven isn ma mightn mustn needn
+    shan shouldn wasn weren won wouldn
+    """.split()
+)
 
 
 def is_stopword(lemma: Column, form: Column, stopwords=STOPWORDS_EN) -> Column:

@@ -27,6 +27,16 @@ def ranked_targets(targets: DataFrame, order: list[Column]) -> DataFrame:
     return targets.withColumn("lpr_rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
 
 
+# Languages that are no targets (the seeds' own, and one left out).
+NO_TARGETS = ("en", "hu")
+
+
+def guarded_targets(tables: DataFrame, excluded: tuple[str, ...] = NO_TARGETS) -> DataFrame:
+    """Rows of word tables (lang, key, lpr_guard_ok, count_ratio_MH) that can be targets, with lpr_rank: what passes the guard, by log ratio, in all languages but the excluded."""
+    own = tables.where((F.col("lpr_guard_ok") == 1) & ~F.col("lang").cast("string").isin(*excluded))
+    return ranked_targets(own, [F.desc("count_ratio_MH"), F.col("key")])
+
+
 def similarities(seeds: DataFrame, targets: DataFrame, most: int | None) -> DataFrame:
     """(seed, lang, target, lpr_rank, cosine) of all seeds (seed, vec) with each language's best `most` targets (lang, target, lpr_rank, vec), or with all of them."""
     left = seeds.select("seed", unit(F.col("vec")).alias("u"))
@@ -38,11 +48,12 @@ def similarities(seeds: DataFrame, targets: DataFrame, most: int | None) -> Data
     return met.select("seed", "lang", "target", "lpr_rank", dot(F.col("u"), F.col("v")).alias("cosine"))
 
 
-def restricted(pairs: DataFrame, ks: list[int]) -> DataFrame:
-    """(seed, lang, matched, cosine, lpr_rank, max_cos_<k>...): the best target, ties to the best rank, and the best cosine within each k."""
+def restricted(pairs: DataFrame, ks: list[int], floor: float = 0.3) -> DataFrame:
+    """(seed, lang, matched, cosine, lpr_rank, max_cos_<k>..., hit_at_<k>...): the best target, ties to the best rank, the best cosine within each k, and whether that reaches the floor."""
     best = F.max_by(F.struct("target", "cosine", "lpr_rank"), F.struct(F.col("cosine"), -F.col("lpr_rank")))
     own = pairs.groupBy("seed", "lang").agg(best.alias("best"), *(F.max(F.when(F.col("lpr_rank") <= k, F.col("cosine"))).alias(f"max_cos_{k}") for k in ks))
-    return own.select("seed", "lang", F.col("best.target").alias("matched"), F.col("best.cosine").alias("cosine"), F.col("best.lpr_rank").alias("lpr_rank"), *(f"max_cos_{k}" for k in ks))
+    hits = [F.coalesce(F.col(f"max_cos_{k}") >= floor, F.lit(False)).cast("int").alias(f"hit_at_{k}") for k in ks]
+    return own.select("seed", "lang", F.col("best.target").alias("matched"), F.col("best.cosine").alias("cosine"), F.col("best.lpr_rank").alias("lpr_rank"), *(f"max_cos_{k}" for k in ks), *hits)
 
 
 def unrestricted(pairs: DataFrame, ks: list[int], floor: float) -> DataFrame:
@@ -54,28 +65,42 @@ def unrestricted(pairs: DataFrame, ks: list[int], floor: float) -> DataFrame:
 
 
 def seed_summary(matches: DataFrame, ks: list[int], examples: int = 3) -> DataFrame:
-    """By seed: mean best cosine and languages with one at each k, and its best matches as lang:target."""
-    top = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("cosine", "lang", "matched")))), 1, examples)
-    return matches.groupBy("seed").agg(*(F.avg(f"max_cos_{k}").alias(f"mean_max_cos_{k}") for k in ks), F.array_join(F.transform(top, lambda x: F.concat(x["lang"].cast("string"), F.lit(":"), x["matched"].cast("string"))), "; ").alias("example_matches"))
+    """By seed: mean best cosine at each k (of restricted matches), the number of languages with a hit at each k, and its best matches as lang:target."""
+    top = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("matched").isNotNull(), F.struct("cosine", "lang", "matched"))))), 1, examples)
+    means = [F.avg(f"max_cos_{k}").alias(f"mean_max_cos_{k}") for k in ks if f"max_cos_{k}" in matches.columns]
+    hits = [F.sum(f"hit_at_{k}").alias(f"n_langs_hit_{k}") for k in ks]
+    return matches.groupBy("seed").agg(*means, *hits, F.array_join(F.transform(top, lambda x: F.concat(x["lang"].cast("string"), F.lit(":"), x["matched"].cast("string"))), "; ").alias("example_matches"))
 
 
 def lang_summary(matches: DataFrame, ks: list[int]) -> DataFrame:
     return matches.groupBy("lang").agg(F.count("*").alias("n_seeds"), *(F.avg(f"max_cos_{k}").alias(f"mean_max_cos_{k}") for k in ks))
 
 
-def permutation_null(words: DataFrame, quota: DataFrame, permutations: int, seed: int, value: str) -> DataFrame:
-    """(perm, mean): each permutation draws, of every part of speech, as many words as quota says, and takes the mean of their value.
+def word_values(matches: DataFrame, ks: list[int]) -> DataFrame:
+    """(seed, mean_cos_<k>..., hit_at_<k>...): means over languages of the best cosine (unrestricted matches: the same at each k) and of hits."""
+    cos = lambda k: f"max_cos_{k}" if f"max_cos_{k}" in matches.columns else "cosine"
+    return matches.groupBy("seed").agg(*(F.avg(cos(k)).alias(f"mean_cos_{k}") for k in ks), *(F.avg(f"hit_at_{k}").alias(f"hit_at_{k}") for k in ks))
 
-    A word's best cosine does not depend on the permutation, so it is a column of words (word, upos, value), computed once.
+
+def permutation_null(words: DataFrame, quota: DataFrame, permutations: int, seed: int, values: list[str]) -> DataFrame:
+    """(perm, values...): each permutation draws, of every part of speech, as many words as quota says (all, if there are no more), and takes the mean of each value.
+
+    A word's values do not depend on the permutation, so they are columns of words (word, upos, values), computed once.
     """
     perms = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")
-    drawn = words.select("word", "upos", value, perms)
+    drawn = words.select("word", "upos", *values, perms)
     w = Window.partitionBy("perm", "upos").orderBy(draw(seed, "perm", "word"), "word")
     picked = drawn.withColumn("_n", F.row_number().over(w)).join(quota, "upos").where(F.col("_n") <= F.col("quota"))
-    return picked.groupBy("perm").agg(F.avg(value).alias("mean"))
+    return picked.groupBy("perm").agg(*(F.avg(v).alias(v) for v in values))
 
 
-def null_summary(null: DataFrame, observed: DataFrame) -> DataFrame:
-    """One row: observed, null_mean, null_std, p_value = (number at or above + 1) / (n + 1)."""
-    met = null.crossJoin(F.broadcast(observed))  # one row
-    return met.agg(F.first("observed").alias("observed"), F.avg("mean").alias("null_mean"), F.stddev_pop("mean").alias("null_std"), ((F.count_if(F.col("mean") >= F.col("observed")) + 1) / (F.count("*") + 1)).alias("p_value"))
+def null_summary(null: DataFrame, observed: DataFrame, values: list[str]) -> DataFrame:
+    """(metric, observed, null_mean, null_std, z, p_value), a row a value: p_value = (number at or above + 1) / (n + 1); z is infinite where the null does not vary.
+
+    observed has a row with the same columns.
+    """
+    met = null.crossJoin(F.broadcast(observed.select(*(F.col(v).alias(f"seen_{v}") for v in values))))  # one row
+    each = met.select(F.explode(F.array(*(F.struct(F.lit(v).alias("metric"), F.col(v).alias("drawn"), F.col(f"seen_{v}").alias("seen")) for v in values))).alias("x")).select("x.*")
+    own = each.groupBy("metric").agg(F.first("seen").alias("observed"), F.avg("drawn").alias("null_mean"), F.stddev_pop("drawn").alias("null_std"), ((F.count_if(F.col("drawn") >= F.col("seen")) + 1) / (F.count("*") + 1)).alias("p_value"))
+    z = F.when(F.col("null_std") > 1e-12, (F.col("observed") - F.col("null_mean")) / F.col("null_std")).otherwise(F.lit(float("inf")))
+    return own.select("metric", "observed", "null_mean", "null_std", z.alias("z"), "p_value")

@@ -28,10 +28,9 @@ def by_item(halves: DataFrame, generations: DataFrame, order: str | None = None)
 
 
 def documents(sentences: DataFrame, file: str = "file") -> DataFrame:
-    """(file, place, doc_id, tokens): a file's documents from 1, sentences put together in order. sentences: as the column source gives them."""
-    own = sentences.groupBy(F.col(file).alias("file"), "doc_no").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("sent_no", "tokens"))).alias("s"))
-    place = F.row_number().over(Window.partitionBy("file").orderBy("doc_no"))
-    return own.select("file", place.alias("place"), "doc_id", F.flatten(F.col("s.tokens")).alias("tokens"))
+    """(file, place, doc_id, tokens): a file's documents from 1, sentences put together in order; one without sentences keeps its place. sentences: as the column source gives them."""
+    own = sentences.groupBy(F.col(file).alias("file"), F.col("doc_no").alias("place")).agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("sent_no", "tokens"))).alias("s"))
+    return own.select("file", "place", "doc_id", F.flatten(F.col("s.tokens")).alias("tokens"))
 
 
 def by_place(human: DataFrame, model: DataFrame, label: str = "file") -> DataFrame:

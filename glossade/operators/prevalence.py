@@ -122,7 +122,7 @@ def quality(pairs: DataFrame, table: DataFrame, k: int = 12) -> DataFrame:
 
 def macro(tables: DataFrame) -> DataFrame:
     """tables has a row a model and key: the mean prevalences over the models that have the key."""
-    own = tables.groupBy("key").agg(F.avg("ell_H").alias("ell_H"), F.avg("ell_M").alias("ell_M"), F.round(F.avg("n_pairs")).cast("int").alias("n_pairs"), F.count("*").alias("n_models"))
+    own = tables.groupBy("key").agg(F.avg("ell_H").alias("ell_H"), F.avg("ell_M").alias("ell_M"), F.bround(F.avg("n_pairs")).cast("int").alias("n_pairs"), F.count("*").alias("n_models"))
     own = own.withColumn("LAS", F.col("ell_M") - F.col("ell_H"))
     return own.withColumns({"pp_MH": F.col("LAS") * 100, "relpct_MH": F.col("LAS") * 100 / F.greatest(F.col("ell_H"), F.lit(1e-3))})
 

@@ -18,6 +18,9 @@ def sample_per(df: DataFrame, by: list[str], rows: int, seed: int, *identity: st
 
 
 def top(df: DataFrame, n: int, order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """The first n rows of each group, or of all; every task keeps its own first n."""
+    if not by:
+        return df.orderBy(*order).limit(n)
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
@@ -50,6 +53,22 @@ def matched_baseline(table: DataFrame, chosen: DataFrame, by: tuple[str, ...] =
     return rest.join(quota, on).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.col("quota")).drop("_n", "quota")
 
 
+# The parts of speech of content words.
+CONTENT_UPOS = ("NOUN", "VERB", "ADJ", "ADV")
+
+
+def content(table: DataFrame, tags: tuple[str, ...] = CONTENT_UPOS) -> DataFrame:
+    """Content words whose log ratio passes the guard."""
+    return table.where((F.col("lpr_guard_ok") == 1) & F.col("upos").isin(*tags))
+
+
+def seeds(table: DataFrame, n: int, tags: tuple[str, ...] = CONTENT_UPOS, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of content() with a seed_type: ai, the n of the highest guarded log ratio, and baseline, as many others of each part of speech, nearest to neutral first."""
+    own = content(table, tags)
+    chosen = top(own, n, [F.desc("count_ratio_MH"), F.col("key")], by)  # the ratio orders as its logarithm does
+    return chosen.withColumn("seed_type", F.lit("ai")).unionByName(matched_baseline(own, chosen, by).withColumn("seed_type", F.lit("baseline")).select(*chosen.columns, "seed_type"))
+
+
 def distribution(chosen: DataFrame, by: str = "upos") -> DataFrame:
     """How many chosen keys there are of each part of speech."""
     return chosen.groupBy(by).agg(F.count("*").alias("count"))

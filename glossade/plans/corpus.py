@@ -9,7 +9,7 @@ from ..functions.tokens import parsed_sentence_id, rule_tokens, sentence_id
 from ..operators import counts, generation, halves, selection, tagging
 from ..operators import lines as ln
 from . import sql
-from .inputs import ASCII_SPACE, doc_keys, lines, period, table
+from .inputs import ASCII_SPACE, key_counts, lines, period, table
 from .registry import query
 
 
@@ -93,12 +93,12 @@ def markup_flags(spark, sf):
 
 @query(f"WITH {sql.DOC_KEYS} SELECT lang, key, count(*) AS count FROM doc_keys GROUP BY lang, key")
 def token_key_counts(spark, sf):
-    return counts.count_keys(doc_keys(spark, sf), ["lang"])
+    return key_counts(spark, sf, lang=F.col("lang"))
 
 
 @query(f"WITH {sql.DOC_KEYS} SELECT key, count(*) FILTER (period = 'pre') AS count_pre, count(*) FILTER (period = 'post') AS count_post FROM doc_keys GROUP BY key")
 def period_counts(spark, sf):
-    own = counts.count_keys(doc_keys(spark, sf).withColumn("period", period()), ["period"])
+    own = key_counts(spark, sf, period=period())
     return counts.pivoted(own, ["key"], "period", ["pre", "post"])
 
 

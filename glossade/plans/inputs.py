@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ASCII_SPACE, words
-from ..functions.tokens import count_key, key, rule_tokens
+from ..functions.tokens import count_key, key, rule_tokens, rule_upos
+from ..operators import counts
 from ..operators import lines as ln
 from ..operators import prevalence
 
@@ -34,6 +35,12 @@ def doc_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lang", "source", F.explode(rule_tokens(F.col("text"))).alias("t")).select("doc_id", "lang", "source", count_key(F.col("t")).alias("key"))
 
 
+def key_counts(spark: SparkSession, sf_dir: str, **by) -> DataFrame:
+    """(by..., key, count) of all words of documents; by: names and expressions."""
+    docs = table(spark, sf_dir, "documents").select(*(c.alias(n) for n, c in by.items()), "text")
+    return counts.count_words(docs, [*by], words(F.col("text"), ASCII_SPACE), lambda w: count_key(F.struct(w.alias("form"), F.lower(w).alias("lemma"), rule_upos(w).alias("upos"))))
+
+
 def line_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, key): a row a word of each line; a null key for a line without words."""
     own = lines(spark, sf_dir).select("doc_id", "line_no", F.explode_outer(rule_tokens(F.col("text"))).alias("t"))

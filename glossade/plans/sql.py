@@ -81,7 +81,7 @@ def punctuation_share(x: str) -> str:
 
 
 def markup(x: str) -> str:
-    return rf"(regexp_matches({x}, '(?i)(```|</?code>|(def|function)\s+\w+\s*\(|class\s+\w+|var\s+\w+\s*=)') OR regexp_matches({x}, '</?[A-Za-z][^>]*>'))"
+    return rf"(regexp_matches({x}, '(?i)```|<code>|</code>|def\s+\w+\s*\(|class\s+\w+|function\s+\w+\s*\(|var\s+\w+\s*=') OR regexp_matches({x}, '</?[A-Za-z][^>]*>'))"
 
 
 def chi2(a: str, b: str, c: str, d: str) -> str:

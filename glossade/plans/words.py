@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.tokens import STOPWORDS_EN
 from ..operators import explorer, prevalence, scoring, selection, similarity
 from . import sql
 from .inputs import discovered, line_keys, pairs
@@ -79,6 +80,11 @@ def output_exclusions_topk(spark, sf):
     return prevalence.output(discovered(spark, sf), ("PUNCT", "NUM"), top=100).select("key", "rank_LAS", "LAS")
 
 
+@query(f"WITH {sql.DISCOVERED} SELECT key, rank_LAS FROM ranked WHERE lower(regexp_extract(key, '^(.*)_[^_]*$', 1)) NOT IN ({', '.join(map(sql.q, sorted(STOPWORDS_EN)))})")
+def output_without_stopwords(spark, sf):
+    return prevalence.output(discovered(spark, sf), stopwords=True).select("key", "rank_LAS")
+
+
 _FIRST = f"""{sql.PAIRS}, e AS (SELECT conv_id, turn, s.n AS side, CASE s.n WHEN 0 THEN h ELSE m END AS ws FROM pairs, (VALUES (0), (1)) s(n) WHERE len(h) >= 12 AND len(m) >= 12),
 p AS (SELECT conv_id, turn, side, list_slice(ws, floor((len(ws) - 12) * 0.5)::INT + 1, floor((len(ws) - 12) * 0.5)::INT + 12) AS c FROM e),
 t AS (SELECT conv_id, turn, side, i, c[i] AS form FROM (SELECT *, unnest(range(1, 13)) AS i FROM p))"""
@@ -97,7 +103,7 @@ def _by_model(spark, sf):
 _BY_MODEL = f"{sql.PAIRS}, {sql.wlas(by='model')}"
 
 
-@query(f"WITH {_BY_MODEL}, a AS (SELECT key, avg(ell_H) AS h, avg(ell_M) AS m, round(avg(n_pairs))::INT AS n_pairs, count(*) AS n_models FROM t GROUP BY key) SELECT key, n_pairs, n_models, round(h, 9) AS ell_H, round(m, 9) AS ell_M, round(m - h, 9) AS LAS FROM a")
+@query(f"WITH {_BY_MODEL}, a AS (SELECT key, avg(ell_H) AS h, avg(ell_M) AS m, round_even(avg(n_pairs), 0)::INT AS n_pairs, count(*) AS n_models FROM t GROUP BY key) SELECT key, n_pairs, n_models, round(h, 9) AS ell_H, round(m, 9) AS ell_M, round(m - h, 9) AS LAS FROM a")
 def las_macro(spark, sf):
     own = prevalence.macro(_by_model(spark, sf))
     return own.select("key", "n_pairs", "n_models", *(F.round(c, 9).alias(c) for c in ("ell_H", "ell_M", "LAS")))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +14,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TOKENS = "array<struct<form:string,lemma:string,upos:string>>"
 SCHEMA = f"file string, doc_no long, doc_id string, sent_no long, sent_id string, text string, tokens {TOKENS}"
-_DOC = re.compile(r"#\s*newdoc(?:\s+id\s*=\s*(.*))?$", re.I)
-_SENT = re.compile(r"#\s*sent_id\s*=\s*(.*)$", re.I)
+# Fixed formats: the comments that name documents and sentences.
+_DOC = re.compile(r"#\s*newdoc id\s*=\s*(.+)$", re.I)
+_SENT = re.compile(r"#\s*sent_id\s*=\s*(.+)$", re.I)
 
 
 def basic_sentences(lines: Iterator[str]):
@@ -40,36 +43,50 @@ def basic_sentences(lines: Iterator[str]):
         yield sid, text, tokens
 
 
-def conllu_sentences(lines: Iterator[str], stem: str):
-    """(doc_no, doc_id, sent_id, text, tokens): whole-number ids of ten columns only; sentences before the first of several documents go, a file without documents is one."""
-    doc_no, doc_id, sid, text, tokens, n = 0, None, None, None, [], 0
-    early: list = []
-
-    def row():
-        return doc_no, doc_id or stem, sid or f"sent-{n}", text, tokens
-
-    for line in [*lines, ""]:
+def has_documents(lines: Iterator[str]) -> bool:
+    return any(line[:1] == "#" and _DOC.match(line.rstrip("\n")) for line in lines)
+
+
+def conllu_sentences(lines: Iterator[str], stem: str, documents: bool):
+    """(doc_no, doc_id, sent_id, text, tokens), line by line: whole-number ids of ten columns only.
+
+    documents: whether any document is named. If so, sentences that end before the first go (one that is open there goes on in it), and a document
+    without sentences gives a row without tokens; else the file is one document. Sentences without an id are sent-0, sent-1, ... by document.
+    """
+    doc_no, doc_id = (0, None) if documents else (1, stem)
+    sid, text, tokens, n = None, None, [], 0  # n: sentences of the document that ended
+    for line in chain(lines, [None]):
+        named = _DOC.match(line.rstrip("\n")) if line and line[0] == "#" else None
+        ends = line is None or (named is not None and doc_no > 0)
+        if tokens and (ends or line in ("\n", "")):
+            if doc_no:
+                yield doc_no, doc_id, sid or f"sent-{n}", text, tokens
+            sid, text, tokens, n = None, None, [], n + 1
+        if ends and documents and doc_no and not n:
+            yield doc_no, doc_id, None, None, []
+        if line is None:
+            return
         line = line.rstrip("\n")
-        if line.strip() == "":
-            if tokens:
-                n += 1
-                if doc_no:
-                    yield row()
-                else:
-                    early.append(row())
-            sid, text, tokens = None, None, []
-        elif m := _DOC.match(line):
-            doc_no, doc_id = doc_no + 1, (m[1] or "").strip() or None
-        elif m := _SENT.match(line):
-            sid = m[1].strip()
-        elif line.startswith("# text ="):
-            text = line.partition("=")[2].strip()
-        elif not line.startswith("#"):
+        if named:
+            doc_no, doc_id, n = doc_no + 1, named[1].strip(), 0
+        elif line[:1] == "#":
+            if m := _SENT.match(line):
+                sid = m[1].strip()
+            elif line.startswith("# text ="):
+                text = line.partition("=")[2].strip()
+        else:
             c = line.split("\t")
-            if len(c) >= 10 and c[0].isdigit():
+            if len(c) >= 10 and c[0].isascii() and c[0].isdigit():
                 tokens.append((c[1], c[2], c[3]))
-    if not doc_no:
-        yield from early
+
+
+def _rows(f, stem: str, layout: str):
+    """(doc_no, doc_id, sent_id, text, tokens) of a file that can be read twice."""
+    if layout != "conllu":
+        return ((1, stem, *x) for x in basic_sentences(f))
+    documents = has_documents(f)
+    f.seek(0)
+    return conllu_sentences(f, stem, documents)
 
 
 class _File(InputPartition):
@@ -89,8 +106,7 @@ class _Reader(DataSourceReader):
     def read(self, partition):
         stem = os.path.splitext(os.path.basename(partition.path))[0]
         with open(partition.path, encoding="utf-8", errors="replace") as f:
-            found = conllu_sentences(f, stem) if self.layout == "conllu" else ((1, stem, *x) for x in basic_sentences(f))
-            for k, (doc_no, doc_id, sid, text, tokens) in enumerate(found):
+            for k, (doc_no, doc_id, sid, text, tokens) in enumerate(_rows(f, stem, self.layout)):
                 yield partition.path, doc_no, doc_id, k, sid, text, tokens
 
 
@@ -122,10 +138,9 @@ def read_store(spark: SparkSession, path: str, layout: str = "basic") -> DataFra
         for pdf in batches:
             for p, raw in zip(pdf["path"], pdf["content"]):
                 stem = os.path.splitext(os.path.basename(p))[0]
-                lines = iter(raw.decode("utf-8", "replace").splitlines(keepends=True))
-                found = conllu_sentences(lines, stem) if layout == "conllu" else ((1, stem, *x) for x in basic_sentences(lines))
-                rows = [(p, a, b, k, c, d, [{"form": f, "lemma": le, "upos": u} for f, le, u in e]) for k, (a, b, c, d, e) in enumerate(found)]
-                yield pd.DataFrame(rows, columns=["file", "doc_no", "doc_id", "sent_no", "sent_id", "text", "tokens"])
+                found = enumerate(_rows(io.TextIOWrapper(io.BytesIO(raw), encoding="utf-8", errors="replace"), stem, layout))
+                while rows := [(p, a, b, k, c, d, [{"form": f, "lemma": le, "upos": u} for f, le, u in e]) for k, (a, b, c, d, e) in islice(found, 10_000)]:
+                    yield pd.DataFrame(rows, columns=["file", "doc_no", "doc_id", "sent_no", "sent_id", "text", "tokens"])
 
     return files.mapInPandas(run, SCHEMA)
 
@@ -137,13 +152,29 @@ def basic_block(sent_id: Column, text: Column, tokens: Column) -> Column:
     return F.concat(F.lit("# sent_id = "), F.coalesce(sent_id, F.lit("")), F.lit("\n# text = "), F.coalesce(text, F.lit("")), F.lit("\n"), F.array_join(rows, "\n"), F.lit("\n"))
 
 
-def conllu_block(sent_id: Column, text: Column, tokens: Column) -> Column:
-    """Ten columns; what a token does not carry is `_`, its head 0."""
-    dash = lambda c: F.coalesce(c, F.lit("_"))
-    rows = F.transform(tokens, lambda t, i: F.concat_ws("\t", (i + 1).cast("string"), dash(t["form"]), dash(t["lemma"]), dash(t["upos"]), F.lit("_"), F.lit("_"), F.lit("0"), F.lit("_"), F.lit("_"), F.lit("_")))
-    return F.concat(F.lit("# sent_id = "), F.coalesce(sent_id, F.lit("")), F.lit("\n# text = "), F.coalesce(text, F.lit("")), F.lit("\n"), F.array_join(rows, "\n"), F.lit("\n"))
+#: Columns 5 to 10, and what stands where a token has none.
+MORE = {"xpos": "_", "feats": "_", "head": "0", "deprel": "_", "deps": "_", "misc": "_"}
+
+
+def conllu_block(sent_id: Column, text: Column, tokens: Column, fields: tuple[str, ...] = (), ranges: Column | None = None) -> Column:
+    """Ten columns; fields: those of MORE that the tokens have. ranges: structs (first, last, form) of multi-word tokens, written before their first word."""
+    cell = lambda t, name, none="_": F.coalesce(t[name].cast("string"), F.lit(none))
+
+    def row(t: Column, i: Column) -> Column:
+        line = F.concat_ws("\t", (i + 1).cast("string"), cell(t, "form"), cell(t, "lemma"), cell(t, "upos"), *(cell(t, c, none) if c in fields else F.lit(none) for c, none in MORE.items()))
+        if ranges is None:
+            return line
+        before = F.transform(F.filter(ranges, lambda r: r["first"] == i + 1), lambda r: F.concat(F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string")), F.lit("\t"), r["form"], F.lit("\t_" * 8 + "\n")))
+        return F.concat(F.coalesce(F.array_join(before, ""), F.lit("")), line)
+
+    return F.concat(F.lit("# sent_id = "), F.coalesce(sent_id, F.lit("")), F.lit("\n# text = "), F.coalesce(text, F.lit("")), F.lit("\n"), F.array_join(F.transform(tokens, row), "\n"), F.lit("\n"))
 
 
 def write(sentences: DataFrame, path: str, layout: str = "basic") -> None:
-    block = basic_block if layout == "basic" else conllu_block
-    sentences.sortWithinPartitions("file", "sent_no").select(block(F.col("sent_id"), F.col("text"), F.col("tokens")).alias("value")).write.text(path)
+    """Sentences by file and place. conllu: tokens may carry fields of MORE, and sentences a column ranges."""
+    if layout == "basic":
+        block = basic_block(F.col("sent_id"), F.col("text"), F.col("tokens"))
+    else:
+        names = sentences.schema["tokens"].dataType.elementType.names
+        block = conllu_block(F.col("sent_id"), F.col("text"), F.col("tokens"), tuple(n for n in names if n in MORE), F.col("ranges") if "ranges" in sentences.columns else None)
+    sentences.sortWithinPartitions("file", "sent_no").select(block.alias("value")).write.text(path)

@@ -90,7 +90,7 @@ def counts(spark: SparkSession, path: str) -> DataFrame:
 
 def write_counts(df: DataFrame, path: str) -> None:
     """Most frequent first, ties by key."""
-    df.orderBy(F.desc("count"), "key").select("key", "count").write.option("sep", "\t").option("escape", '"').csv(path)
+    df.orderBy(F.desc("count"), "key").select(F.concat_ws("\t", "key", F.col("count").cast("string")).alias("value")).write.text(path)
 
 
 def table(spark: SparkSession, path: str, schema: str = WLAS) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ def append_rows(df: DataFrame, path: str) -> None:
 
 
 def write_halves(items: DataFrame, path: str) -> None:
-    """Split halves as JSON lines by language, in order of year, file and sentence where these are given."""
-    order = [F.col(f"id.{c}") for c in ("year", "file", "sent_id", "sent_idx") if c in items.schema["id"].dataType.names]
+    """Split halves as JSON lines by language, in order of year, file and the sentence's number, as far as these are given; the id decides between equals."""
+    order = [F.col(f"id.{c}") for c in ("year", "file", "sent_idx", "sent_id") if c in items.schema["id"].dataType.names]
     own = items.withColumn("lang", F.col("id.lang"))
     own.repartition("lang").sortWithinPartitions("lang", *order).write.partitionBy("lang").json(path)
 
@@ -53,8 +55,10 @@ def append_generations(requests: DataFrame, done_path: str, process, on: str = "
     return spark.read.schema(made.schema).json(done_path)
 
 
-def run_summary(records: DataFrame, parameters: dict) -> DataFrame:
-    """One row, json: parameters, totals over all records, and by language. records: as generation.run_stats() reads them."""
+def run_summary(records: DataFrame, parameters: dict, prompt: str | None = None) -> DataFrame:
+    """One row, json: parameters (with the prompt's sha256, if there is one), totals over all records, and by language. records: as generation.run_stats() reads them."""
+    if prompt is not None:
+        parameters = parameters | {"prompt_sha256": hashlib.sha256(prompt.encode()).hexdigest()}
     cols = ("items", "requests", "input_tokens", "output_tokens")
     by = records.groupBy("lang").agg(F.count("*").alias("items"), F.sum("num_attempts").alias("requests"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
     told = F.struct(*(F.lit(v).alias(k) for k, v in parameters.items())) if parameters else F.struct(F.lit(None).alias("none"))

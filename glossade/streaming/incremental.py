@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ASCII_SPACE, words
+from ..session import scratch
+from ..sources.outputs import exists
 
 
 def running_counts(stream: DataFrame, by: list[str], text: str = "text"):
@@ -34,7 +36,11 @@ def resume(stream: DataFrame, done_path: str, process, checkpoint: str, on: str
 
 
 def drained(spark: SparkSession, df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a bounded streaming frame to its end into a table in memory."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    """Runs a bounded streaming frame to its end into files of the shared folder: complete results replace one another, others are added."""
+    path, done = scratch(spark, name), scratch(spark, f"{name}-checkpoint")
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", done).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(df.schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], df.schema)

@@ -9,11 +9,52 @@ CONLLU = "# sent_id = lost\n1\ta\ta\tNOUN\t_\t_\t0\t_\t_\t_\n\n# NEWDOC id = d1\
 
 
 def test_conllu(spark, tmp_path):
+    """Sentences are counted from 0 in each document; what ends before the first document goes."""
     (tmp_path / "a.conllu").write_text(CONLLU)
     conll.register(spark)
     got = spark.read.format("conll").option("layout", "conllu").load(str(tmp_path)).orderBy("sent_no").collect()
-    assert [(r.doc_id, r.sent_id, [t.form for t in r.tokens]) for r in got] == [("d1", "s1", ["de", "le"]), ("d1", "sent-3", ["x"])]
-    assert [r.sent_id for r in conll.read_store(spark, str(tmp_path), "conllu").orderBy("sent_no").collect()] == ["s1", "sent-3"]
+    assert [(r.doc_id, r.sent_id, [t.form for t in r.tokens]) for r in got] == [("d1", "s1", ["de", "le"]), ("d1", "sent-1", ["x"])]
+    assert [r.sent_id for r in conll.read_store(spark, str(tmp_path), "conllu").orderBy("sent_no").collect()] == ["s1", "sent-1"]
+
+
+def token_row(n, form):
+    return f"{n}\t{form}\t{form}\tX\t_\t_\t0\t_\t_\t_\n"
+
+
+def test_conllu_documents():
+    """Empty documents keep their place, a document ends the sentence before it, only an empty line ends one otherwise, and a document needs an id."""
+    read = lambda text: [(no, d, s, [t[0] for t in tokens]) for no, d, s, _, tokens in conll.conllu_sentences(iter(text.splitlines(keepends=True)), "stem", conll.has_documents(iter(text.splitlines())))]
+    a, b, c = (token_row(1, x) for x in "abc")
+    assert read("# newdoc id = d1\n" + a + "# newdoc id = d2\n# newdoc id = d3\n" + b + "\n" + c) == [(1, "d1", "sent-0", ["a"]), (2, "d2", None, []), (3, "d3", "sent-0", ["b"]), (3, "d3", "sent-1", ["c"])]
+    assert read(a + "# newdoc\n" + b + " \n" + c + "\n" + a) == [(1, "stem", "sent-0", ["a", "b", "c"]), (1, "stem", "sent-1", ["a"])]
+    assert read("# sent_id = open\n" + a + "# newdoc id = d1\n" + b) == [(1, "d1", "open", ["a", "b"])]  # open when the first document begins
+    assert read("# newdoc id = d1\n# sent_id = s\n\n" + a) == [(1, "d1", "s", ["a"])]
+    assert read("") == [] and read("# newdoc id = d\n") == [(1, "d", None, [])]
+
+
+def test_empty_documents_keep_their_place(spark, tmp_path):
+    from glossade.operators import pairing
+
+    for name, docs in (("human", ["a", "", "b"]), ("model", ["x", "y", "z"])):
+        (tmp_path / f"{name}.conllu").write_text("".join(f"# newdoc id = {name}{k}\n" + (token_row(1, f) + "\n" if f else "") for k, f in enumerate(docs)))
+    docs = pairing.documents(conll.read_store(spark, str(tmp_path), "conllu"))
+    human, model = (docs.where(f"file like '%{n}.conllu'") for n in ("human", "model"))
+    got = pairing.by_place(human, model).orderBy("pair_id").collect()
+    assert [([t.form for t in r.h], [t.form for t in r.m]) for r in got] == [(["a"], ["x"]), ([], ["y"]), (["b"], ["z"])]
+
+
+def test_conllu_round_trip(spark, tmp_path):
+    """All ten columns and multi-word tokens are written; the reader gives the words back."""
+    tok = "array<struct<form:string,lemma:string,upos:string,xpos:string,feats:string,head:int,deprel:string,deps:string,misc:string>>"
+    rows = [("f", 0, "s1", "du pain", [("de", "de", "ADP", "P", None, 3, "case", None, "SpaceAfter=No"), ("le", "le", "DET", None, "Number=Sing", 3, "det", None, None), ("pain", None, "NOUN", None, None, 0, "root", "0:root", None)], [(1, 2, "du")])]
+    df = spark.createDataFrame(rows, f"file string, sent_no int, sent_id string, text string, tokens {tok}, ranges array<struct<first:int,last:int,form:string>>")
+    conll.write(df, str(tmp_path / "out"), "conllu")
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*.txt")))
+    assert text == "# sent_id = s1\n# text = du pain\n1-2\tdu\t_\t_\t_\t_\t_\t_\t_\t_\n1\tde\tde\tADP\tP\t_\t3\tcase\t_\tSpaceAfter=No\n2\tle\tle\tDET\t_\tNumber=Sing\t3\tdet\t_\t_\n3\tpain\t_\tNOUN\t_\t_\t0\troot\t0:root\t_\n\n"
+    conll.write(df.drop("ranges"), str(tmp_path / "plain"), "conllu")
+    assert "1-2" not in "".join(p.read_text() for p in (tmp_path / "plain").glob("part-*.txt"))
+    (tmp_path / "again.conllu").write_text(text)
+    assert [[t.form for t in r.tokens] for r in conll.read_store(spark, str(tmp_path / "again.conllu"), "conllu").collect()] == [["de", "le", "pain"]]
 
 
 def test_basic_round_trip(spark, tmp_path):
@@ -86,6 +127,14 @@ def test_seam_and_rebuilt():
     assert halves.split_text("a b c d e f g h i j k l", forms, "en", 4, 2)[:2] == (2 + 1, "seam_search") or halves.split_text("a b c d e f g h i j k l", forms, "en", 3, 2)[1] == "seam_search"
     assert halves.rebuilt(["Well", ",", "it", "'", "s", "(", "not", ")", "bad", "."], "en") == "Well, it 's (not) bad."  # an apostrophe that stands alone opens a quote
     assert halves.rebuilt(["l'", "eau", "-", "de", '"', "vie", '"', "."], "fr") == "l'eau-de \"vie\"."
+    cases = {
+        "en": [("a - b", "a-b"), ("a - b - c", "a-b -c"), ("aa - bb - cc", "aa-bb-cc"), ("- a", "-a"), ("a -", "a-"), ("a - -", "a- -"), ("( - a )", "(- a)"), ('" a " , b', '"a", b'), ('say " x . "', 'say "x. "'), ("( ' a ' )", "(' a ')"), ("l' a' b", "l'a' b"), ("l' ab' b", "l'ab'b"), ("a ! ?", "a!?"), ("x [ y ] { z }", "x [y] { z}"), ("a '. b", "a'. b"), ("", "")],
+        "ar": [("و كتب", "وكتب"), ("و ف كتب", "وف كتب"), ("قال و", "قال و")],
+        "mr": [("घर ची", "घरची"), ("घर ची त", "घरची त"), ("घर ची त ही", "घरची तही"), ("ची घर", "ची घर"), ("घर ची .", "घर ची.")],
+    }
+    for lang, pairs in cases.items():
+        for given, want in pairs:
+            assert halves.rebuilt(given.split(), lang) == want, given
     assert halves.rebuilt(["日", "本"], "ja") == "日本"
     assert halves.seam("x y x y", ["x", "y"], 1) is None
 
