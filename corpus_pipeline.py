@@ -33,7 +33,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (SimHash of five-word shingles, a similarity of 0.8 or more)."""
+    """Keeps one document of each group of near copies (five-word shingles, a similarity of 0.8 or more): that of the least doc_id.
+
+    Close copies meet by SimHash blocks, the rest by a prefix filter, and links are verified (see similar.py). Null and empty texts are copies of one
+    another; of rows that share a doc_id the first by text stays, if any does; rows without a doc_id stay. No rows give none.
+    """
     ship(spark)
     return similar.one_of_each(docs)
 
@@ -48,13 +52,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which a benchmark item is found."""
+    """Drops documents in which a benchmark item is found. Null and empty texts stay, as does everything where there are no items; rows that repeat share their fate."""
     ship(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences of powers of two."""
+    """Packs what is left into sequences of powers of two, a row a piece. A null or empty text is the closing id alone; rows that repeat are packed each; no rows give none."""
     ship(spark)
     return packing.pack(docs, vocabulary(), with_ids=False)
 
