@@ -157,8 +157,11 @@ def write(pages: DataFrame, folder: str, least: int = 1000, archive_bytes: int =
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     own = own.withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    first = own.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null").select("digest", "top")
-    told = own.join(first, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("top")), F.col("top")).alias("refers_to"))
+    large = own.where(F.octet_length("html") >= least)
+    first = large.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1 and top is not null").select("digest", "top")
+    other = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("top")), F.col("top"))
+    told = large.join(first, "digest", "left").select("page_id", "url", "html", "digest", other.alias("refers_to"))
+    told = told.unionByName(own.where(F.octet_length("html") < least).withColumn("refers_to", F.lit(None).cast("long")))  # no other page can matter to these
 
     def run(batches):
         held, size = [], 0

@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CHUNK, OVERLAP = 1 << 16, 1 << 9
+CHUNK, OVERLAP = 1 << 12, 1 << 8
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Python counts U+001C to U+001F as white space, the pattern does not.
 STABLE = re.compile(r"(?<=[\S\x1c-\x1f])(?=[^\S\x1c-\x1f])")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -62,6 +62,7 @@ class Model:
         self.langs, self.floors, self.ends, self.lang, self.value = langs, floors, ends, lang, value
         self.words = {w: i for i, w in enumerate(words)}
         self.grams = {g: len(words) + i for i, g in enumerate(grams)}
+        self.length = np.array([0] * len(words) + [len(g) for g in grams], dtype=np.int64)
 
     def state(self) -> tuple:
         return self.langs, [*self.words], [*self.grams], self.floors, self.ends, self.lang, self.value
@@ -88,31 +89,27 @@ class Model:
         flat = [x for c in counts for x in c]
         return cls(langs, *names, floors, ends, np.array([i for i, _ in flat], dtype=np.int32), np.array([v for _, v in flat], dtype=np.float64))
 
-    def _places(self, word: str) -> list[tuple[int, int]]:
-        """(row, length) of the longest known n-gram that ends at each place of an unseen word."""
+    def _places(self, word: str) -> list[int]:
+        """The row of the longest known n-gram that ends at each place of an unseen word."""
         s, of, out = f"^{word}$", self.grams, []
         for end in range(2, len(s) + 1):
             for start in range(max(0, end - LONGEST), end):
                 if (row := of.get(s[start:end])) is not None:
-                    out.append((row, end - start))
+                    out.append(row)
                     break
         return out
 
     def _backed(self, unseen: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For words that are not known: floors (a weight for each row of floors), and ends, languages and values as of known ones."""
-        levels, rows, weights, which = np.zeros((len(unseen), LONGEST + 1)), [], [], []
-        for i, w in enumerate(unseen):
-            found = self._places(w)
-            for row, n in found:
-                rows.append(row)
-                which.append(i)
-                weights.append(1 / len(found))
-                levels[i, n] += 1 / len(found)
-        rows, weights, which = np.array(rows, dtype=np.int64), np.array(weights), np.array(which, dtype=np.int64)
+        places = [self._places(w) for w in unseen]
+        n = np.fromiter(map(len, places), dtype=np.int64, count=len(places))
+        rows = np.fromiter(chain.from_iterable(places), dtype=np.int64, count=int(n.sum()))
+        which, weight = np.repeat(np.arange(len(unseen)), n), np.repeat(1 / np.maximum(n, 1), n)
+        levels = np.bincount(which * (LONGEST + 1) + self.length[rows], weight, minlength=len(unseen) * (LONGEST + 1)).reshape(-1, LONGEST + 1)
         size = self.ends[rows + 1] - self.ends[rows]
         flat = _ranges(self.ends[rows], size)
         key, back = np.unique(np.repeat(which, size) * len(self.langs) + self.lang[flat], return_inverse=True)
-        value = np.bincount(back, self.value[flat] * np.repeat(weights, size), minlength=len(key))
+        value = np.bincount(back, self.value[flat] * np.repeat(weight, size), minlength=len(key))
         ends = np.searchsorted(key, np.arange(len(unseen) + 1) * len(self.langs))
         return levels, ends, (key % len(self.langs)).astype(np.int32), value
 
@@ -126,12 +123,11 @@ class Model:
 
     def _predict(self, found: list[list[str]]) -> list[tuple[str, float]]:
         n_langs, n_known, at = len(self.langs), len(self.words), self.words
-        unseen = sorted(set().union(*map(set, found)).difference(at))
+        unseen = [*set(chain.from_iterable(found)).difference(at)]
         levels, ends, lang, value = self._backed(unseen)
-        new = {w: n_known + i for i, w in enumerate(unseen)}
+        at = at | {w: n_known + i for i, w in enumerate(unseen)}
         size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        get = at.get
-        ids = np.fromiter((i if (i := get(w)) is not None else new[w] for words in found for w in words), dtype=np.int64, count=int(size.sum()))
+        ids = np.fromiter(map(at.__getitem__, chain.from_iterable(found)), dtype=np.int64, count=int(size.sum()))
         text = np.repeat(np.arange(len(found)), size)
         is_new = ids >= n_known
         score = np.zeros((len(found), n_langs))

@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_texts, sampled, split_of, texts
+from .shared import map_texts, sampled, split_of, texts, written
 
 WORD = re.compile(r"[^\W\d_]+")
-#: Bounds of the fit: labelled rows, and terms of the lexicon. A term needs so many different contexts in toxic rows, such odds, and such a
-#: log-likelihood ratio (G squared): a rare word of a few toxic rows, or of copies of one, is no term.
-SAMPLE_ROWS, TERMS, CONTEXTS, ODDS, EVIDENCE = 8000, 2000, 3, 8.0, 25.0
+#: Bound of the fit: labelled rows, each as a whole.
+SAMPLE_ROWS = 8000
+#: A term needs so many different contexts in toxic rows of the sample, such odds, and such a log-likelihood ratio (G squared): a rare word of a
+#: few toxic rows, or of copies of one, is no term. All words that pass are terms.
+CONTEXTS, ODDS, EVIDENCE = 3, 8.0, 25.0
 #: Characters on each side of a hit that are looked at.
 SIDE = 80
 OPEN, CLOSE = "“„«‹", "”»›"
@@ -176,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     chosen = [tuple(r) for r in sampled(own, rows).distinct().collect()]
     sample = spark.createDataFrame(chosen, "doc_id long, toxic int")
     labelled = texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.max("text").alias("text")).select("doc_id", "text", "toxic")
+    labelled = written(labelled, "labelled")
 
     def contexts(batches):
         for b in batches:
@@ -195,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     odds = (F.col("bad") + 0.5) / (total[1] + 1) / ((F.col("fine") + 0.5) / (total[0] + 1))
     share = (F.col("bad") + F.col("fine")) / float(total[1] + total[0])
     g2 = 2 * (F.col("bad") * F.ln(F.greatest("bad", F.lit(1)) / (share * total[1])) + F.col("fine") * F.ln(F.greatest("fine", F.lit(1)) / (share * total[0])))
-    terms = [r.word for r in by.where((F.col("bad") >= CONTEXTS) & (odds >= ODDS) & (g2 >= EVIDENCE)).orderBy(odds.desc(), "word").limit(TERMS).select("word").collect()]
+    terms = [r.word for r in by.where((F.col("bad") >= CONTEXTS) & (odds >= ODDS) & (g2 >= EVIDENCE)).select("word").orderBy("word").collect()]
     shared = spark.sparkContext.broadcast(terms)
 
     def features(batches):
@@ -212,7 +215,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, one row a row of docs; only the text is an input of a score.
 
     A null or empty text, like any without a hit, gets the score of no hits. Without labels of both kinds the score is the smoothed share of
-    toxic rows. A null doc_id stays null and is not held out; rows that repeat stay. No shuffle: the lexicon is bounded by TERMS.
+    toxic rows. A null doc_id stays null and is not held out; rows that repeat stay. No shuffle: the lexicon comes from the fit's sample.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.hits.trie.terms, model.weights))
     held: list[Model] = []

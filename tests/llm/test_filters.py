@@ -221,6 +221,40 @@ def test_toxicity_held_out(spark, make):
     assert T.score(make([]), model).count() == 0
 
 
+def test_toxicity_is_the_definition(spark, make):
+    """Scores of the query are those of a plain loop: every word against every term, every hit in its window."""
+    import math
+
+    rng = random.Random(14)
+    vocab, bad = words(rng, 80), ["wretch", "horribleperson", "scumbagish", "foul"]
+    rows, labels = [], []
+    for d in range(300):
+        text, toxic = rng.choices(vocab, k=rng.randint(2, 40)), int(d % 3 == 0)
+        for _ in range(toxic * rng.randint(1, 3)):
+            w = rng.choice(bad)
+            k = rng.randrange(len(w))
+            text.insert(rng.randrange(len(text) + 1), rng.choice([w, w.upper(), w[:k] + w[k + 1 :], w[:k] + "z" + w[k:], f'said "{w}" then', f"\u00ab {w} \u00bb"]))
+        rows.append((d, " ".join(text)))
+        labels.append((d, toxic))
+    model = T.fit(make(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    terms, weights = model.hits.trie.terms, model.weights
+    assert set(bad) <= set(terms)
+
+    def plain(text):
+        low, count, seen = text.lower(), [0, 0, 0, 0], set()
+        found = [*T.WORD.finditer(low)]
+        for m in found:
+            near = sorted((distance(m[0], t), t) for t in terms if distance(m[0], t) <= T.edits(t))
+            if near:
+                count[2 * T.quoted(low, m.start(), m.end()) + (near[0][0] > 0)] += 1
+                seen.add(near[0][1])
+        x = [*count, len(seen), 100 * (count[0] + count[1]) / max(1, len(found)) if seen else 0]
+        return 1 / (1 + math.exp(-sum(w * math.log1p(v) for w, v in zip(weights, x)) - weights[-1]))
+
+    got = {r.doc_id: r.score for r in T.score(make(rows), model).collect()}
+    assert all(abs(got[d] - plain(t)) < 1e-9 for d, t in rows)
+
+
 def test_toxicity_without_labels(spark, make):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     got = T.score(make(ODD), T.fit(make(ODD), none)).collect()

@@ -40,3 +40,32 @@ def test_tone_has_its_bin():
     assert 20 in bins[frame == 10]
     marks = media.fingerprints(tone)
     assert ((marks & 0xFF) <= media.REACH).all() and (np.diff(marks) >= 0).all()
+
+
+def plain_landmarks(raw):
+    """Frame by frame and pair by pair."""
+    x = [b - 128 for b in raw]
+    frames = max(1, -(-max(0, len(x) - 256) // 128) + 1)
+    window = np.hanning(256).astype(np.float32)
+    best = []
+    for k in range(frames):
+        part = x[128 * k : 128 * k + 256]
+        spectrum = np.fft.rfft(np.array(part + [0] * (256 - len(part)), dtype=np.float32) * window)
+        power = np.log1p(spectrum.real**2 + spectrum.imag**2)
+        best.append([max((power[f], -f) for f in range(a, b)) for a, b in media.BANDS])
+    mean = [np.mean([row[k][0] for row in best], dtype=np.float64) for k in range(len(media.BANDS))]
+    found = [(k, -f) for k, row in enumerate(best) for (p, f), m in zip(row, mean) if p >= m]
+    out = []
+    for t, f in found:
+        out += [t << 32 | f << 20 | g << 8 | u - t for u, g in [(u, g) for u, g in found if u > t][:2] if u - t <= 6]
+    return frames, sorted(out)
+
+
+def test_features_are_the_definition(spark, make):
+    rng = np.random.default_rng(5)
+    rows = [(1, ""), (2, None), (3, "short"), (4, "x" * 700), *((10 + k, "".join(rng.choice(list("abcdefgh é\n"), rng.integers(50, 3000)))) for k in range(12))]
+    for r in media.media_columns(make(rows)).collect():
+        raw = media.padded((dict(rows)[r.doc_id] or "").encode())
+        frames, marks = plain_landmarks(raw)
+        assert r.landmarks == marks
+        assert r.feature == f"{frames}:{len(marks)}:{hashlib.blake2b(np.array(marks, dtype='<i8').tobytes(), digest_size=16).hexdigest()}"

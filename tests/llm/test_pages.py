@@ -94,3 +94,13 @@ def test_damage_is_seen():
     assert base64.b32encode(hashlib.sha1(b"payload").digest()) in r
     with pytest.raises(ValueError):
         archives.parse(gzip.compress(r.replace(b"\r\n\r\npayload", b"\r\n\r\npayloaf")))
+
+
+def test_clashing_columns_and_long_urls(spark):
+    rows = [(1, "https://a.org/x", "<p>"), (None, None, None), (2, "http://www.x.com/de/" + "d" * 200_000, "y" * 300_000), (2, "http://www.x.com/de/" + "d" * 200_000, "y" * 300_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df = df.selectExpr("*", *(f"'q' as {c}" for c in ("host", "path", "rule", "verdict", "node", "root", "own", "digest", "refers_to", "top", "n", "payload_digest", "record_type")))
+    got = sorted(((r.page_id or 0, r.host, len(r.path), r.rule, r.verdict) for r in urls.judge(df).collect()))
+    assert got == [(0, "", 0, None, "allow"), (1, "a.org", 2, "org/", "allow"), (2, "www.x.com", 200_004, "com/de/", "block"), (2, "www.x.com", 200_004, "com/de/", "block")]
+    back = sorted((r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in archives.round_trip(df).collect())
+    assert back == [(0, 0, "response", None), (1, 3, "response", None), (2, 300_000, "response", None), (2, 300_000, "response", None)]
