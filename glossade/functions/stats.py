@@ -40,16 +40,34 @@ def pearson(x: Column, y: Column) -> Column:
     return F.when(F.count(x) >= 2, F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))))
 
 
-def average_rank(x: Column, *by: str) -> Column:
-    """Rank from 1 with ties at their mean, within the groups named."""
-    whole = Window.partitionBy(*by)
-    return F.rank().over(whole.orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
+def numbered(df: DataFrame, name: str, value: Column, key: str = "key") -> DataFrame:
+    """df with its rows' places from 1, by value from the largest, ties by key.
+
+    Rows are counted by value and the key's first characters, and places summed over these counts, of which there are far fewer; only rows that
+    share both are put in order together.
+    """
+    v, p, n, before = (f"_{name}_{c}" for c in ("v", "p", "n", "before"))
+    own = df.withColumns({v: value, p: F.substring(key, 1, 2)})
+    w = Window.orderBy(F.desc(v), p).rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy(v, p).agg(F.count("*").alias(n)).select(v, p, F.coalesce(F.sum(n).over(w), F.lit(0)).alias(before))
+    place = F.row_number().over(Window.partitionBy(v, p).orderBy(key))
+    return own.join(counts, [v, p]).withColumn(name, (place + F.col(before)).cast("int")).drop(v, p, before)
+
+
+def with_average_rank(df: DataFrame, name: str, x: str, *by: str) -> DataFrame:
+    """df with ranks from 1, ties at their mean, within the groups named. Values are counted first and ranks summed over the counts. x must not be null."""
+    v, n, of = f"_{name}_v", f"_{name}_n", {c: f"_{name}_{c}" for c in by}
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(*of.values()).orderBy(v).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = df.groupBy(*(F.col(c).alias(k) for c, k in of.items()), F.col(x).alias(v)).agg(F.count("*").alias(n))
+    ranks = counts.select(*of.values(), v, (before + (F.col(n) + 1) / 2).alias(name))
+    same = [F.col(x) == F.col(v), *(F.col(c).eqNullSafe(F.col(k)) for c, k in of.items())]
+    return df.join(ranks, same).drop(v, *of.values())
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """By group: spearman, over the rows where neither is null."""
-    own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = own.select(*by, average_rank(F.col(x), *by).alias("rx"), average_rank(F.col(y), *by).alias("ry"))
+    own = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("x"), F.col(y).alias("y"))
+    ranked = with_average_rank(with_average_rank(own, "rx", "x", *by), "ry", "y", *by)
     return ranked.groupBy(*by).agg(pearson(F.col("rx"), F.col("ry")).alias("spearman"))
 
 

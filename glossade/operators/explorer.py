@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import numbered
+
 
 def model_name(name: Column) -> Column:
     """Without a leading las- and a trailing date."""
@@ -20,7 +22,7 @@ def rows(table: DataFrame, k: int = 12, least: float = 20.0, compact: bool = Fal
     ratio = (F.col("c_M") + 1) / (F.col("c_H") + 1)
     lpr = F.when(F.col("c_M") >= least, F.log2(ratio)).otherwise(0.0)
     order = F.when(F.col("c_M") >= least, ratio).otherwise(1.0)
-    own = own.withColumns({"rk_las": F.row_number().over(Window.orderBy(F.desc("LAS"), "key")), "rk_lpr": F.row_number().over(Window.orderBy(order.desc(), "key"))})
+    own = numbered(numbered(own, "rk_las", F.col("LAS")), "rk_lpr", order)
     return own.select(
         F.regexp_extract("key", "^(.*)_[^_]*$", 1).alias("w"), F.regexp_extract("key", "_([^_]*)$", 1).alias("u"), F.round(F.col("LAS"), 6).alias("las"), F.round(lpr, 4).alias("lpr"),
         F.round(F.try_divide(F.col("c_M"), per) * 1e6, 1).alias("a"), F.round(F.try_divide(F.col("c_H"), per) * 1e6, 1).alias("h"), F.round(ratio, 4).alias("r"), "rk_las", "rk_lpr",

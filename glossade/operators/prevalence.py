@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import jeffreys
+from ..functions.stats import jeffreys, numbered
 from ..functions.tokens import is_stopword, key
 
 
@@ -28,9 +28,9 @@ def starts(span: Column, windows: int, policy: str, jitter: Column | None = None
 
 
 def hashed_jitter(pair: Column, side: str, windows: int, seed: int) -> Column:
-    """Uniform in [-1/2M, 1/2M), from a hash of pair, side and window: the same on every run."""
-    draw = lambda m: (F.pmod(F.xxhash64(pair, F.lit(side), F.lit(m), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30) - 0.5) / windows
-    return F.array(*(draw(m) for m in range(windows)))
+    """Uniform in [-1/2M, 1/2M), from a hash of pair, side, window and seed: the same on every run."""
+    drawn = lambda m: F.conv(F.substring(F.md5(F.concat_ws("|", pair, F.lit(side), F.lit(str(m)), F.lit(str(seed)))), 1, 7), 16, 10).cast("double")
+    return F.array(*((drawn(m) / float(1 << 28) - 0.5) / windows for m in range(windows)))
 
 
 def eligible(pairs: DataFrame, k: int) -> DataFrame:
@@ -105,12 +105,12 @@ def with_lpr(table: DataFrame, alpha: float = 0.5, least: float = 20.0) -> DataF
 
 def ranked(table: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds rank_LAS, and rank_LPR where there is a ratio: from the largest, ties by key. The ratio orders as its logarithm does."""
-    w = Window.partitionBy(*by)
-    out = table.withColumn("rank_LAS", F.row_number().over(w.orderBy(F.desc("LAS"), "key")))
+    orders = {"rank_LAS": F.col("LAS")}
     if "count_ratio_MH" in table.columns:
-        guarded = F.when(F.col("lpr_guard_ok") == 1, F.col("count_ratio_MH")).otherwise(1.0)
-        out = out.withColumn("rank_LPR", F.row_number().over(w.orderBy(guarded.desc(), "key")))
-    return out
+        orders["rank_LPR"] = F.when(F.col("lpr_guard_ok") == 1, F.col("count_ratio_MH")).otherwise(1.0)
+    for name, value in orders.items():
+        table = table.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(value.desc(), "key"))) if by else numbered(table, name, value)
+    return table
 
 
 def quality(pairs: DataFrame, table: DataFrame, k: int = 12) -> DataFrame:

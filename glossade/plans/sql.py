@@ -32,18 +32,23 @@ PAIRS = f"""turns AS (SELECT conv_id, turn, role, {words('text')} AS w FROM conv
 pairs AS (SELECT u.conv_id, u.turn, u.conv_id % 3 AS model, u.w AS h, a.w AS m FROM turns u JOIN turns a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"""
 
 
-def wlas(k: int = 12, m: int = 1, policy: str = "quantile", trim: bool = False, by: str = "", where: str = "true", name: str = "t", exclude: tuple[str, ...] = ()) -> str:
+def wlas(k: int = 12, m: int = 1, policy: str = "quantile", trim: bool = False, by: str = "", where: str = "true", name: str = "t", exclude: tuple[str, ...] = (), jitter: int | None = None) -> str:
     """CTEs that end in `name`: (by, key, n_pairs, c_H, c_M, ell_H, ell_M, LAS). PAIRS must stand before them."""
     n = name
     comma, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
     span = f"least(len(h), len(m)) - {k}" if trim else f"CASE side WHEN 'h' THEN len(h) ELSE len(m) END - {k}"
     start = {"first": "0", "last": "span", "quantile": f"least(span, greatest(0, floor((i + 0.5) / {m} * span)))::INT"}[policy]
+    if jitter is not None:
+        hexed = f"md5(concat_ws('|', conv_id || '-' || turn, side, i, '{jitter}'))"
+        drawn = f"list_sum(list_transform(range(7), lambda d_: (strpos('0123456789abcdef', substr({hexed}, d_::INT + 1, 1)) - 1) * (16 ** (6 - d_))::BIGINT))::DOUBLE"
+        at = f"(i + 0.5::DOUBLE) / {m} + ({drawn} / {1 << 28}::DOUBLE - 0.5::DOUBLE) / {m}"
+        start = f"least(span, greatest(0, floor(least(greatest({at}, 0.0::DOUBLE), 1.0::DOUBLE) * span)))::INT"
     if policy != "quantile":
         m = 1
     out = f" WHERE {upos('w')} NOT IN ({', '.join(map(q, exclude))})" if exclude else ""
     return f"""{n}_elig AS (SELECT *, row_number() OVER () AS pid FROM pairs WHERE len(h) >= {k} AND len(m) >= {k} AND {where}),
 {n}_n AS (SELECT {comma}count(*) AS n_pairs FROM {n}_elig {group}),
-{n}_sides AS (SELECT pid, {comma}side, i, CASE side WHEN 'h' THEN h ELSE m END AS ws, ({span})::INT AS span FROM {n}_elig, (VALUES ('h'), ('m')) s(side), range({m}) r(i)),
+{n}_sides AS (SELECT pid, conv_id, turn, {comma}side, i, CASE side WHEN 'h' THEN h ELSE m END AS ws, ({span})::INT AS span FROM {n}_elig, (VALUES ('h'), ('m')) s(side), range({m}) r(i)),
 {n}_words AS (SELECT pid, {comma}side, i, unnest(list_slice(ws, {start} + 1, {start} + {k})) AS w FROM {n}_sides),
 {n}_seen AS (SELECT DISTINCT pid, {comma}side, i, {key('w')} AS key FROM {n}_words{out}),
 {n}_c AS (SELECT {comma}key, count(*) FILTER (side = 'h') / {m}::DOUBLE AS c_H, count(*) FILTER (side = 'm') / {m}::DOUBLE AS c_M FROM {n}_seen GROUP BY {comma}key),

@@ -58,7 +58,7 @@ def discover_excluding(spark, sf):
     return _discover(spark, sf, exclude=("PUNCT", "NUM"))
 
 
-@query()
+@query(_discover_sql(m=3, jitter=42))
 def discover_jitter(spark, sf):
     return _discover(spark, sf, windows=3, jitter_seed=42)
 

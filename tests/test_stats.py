@@ -1,4 +1,5 @@
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +61,31 @@ def test_macro_is_not_zero_filled(spark):
     t = spark.createDataFrame([("k", 10, 0.2, 0.4)], "key string, n_pairs int, ell_H double, ell_M double")
     r = prevalence.macro(t).first()
     assert (r.ell_H, r.ell_M, r.n_models) == (0.2, 0.4, 1)
+
+
+def test_numbered_is_a_row_number(spark):
+    """Places by value and key, however many share a value or the first characters of their keys."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, rng.choice([0.5, 0.25, -1.0, rng.random()]), "".join(rng.choices("abé😀", k=rng.randint(0, 5))) + str(i)) for i in range(400)]
+    got = {r.id: r.place for r in S.numbered(spark.createDataFrame(rows, "id int, v double, key string"), "place", F.col("v")).collect()}
+    want = sorted(rows, key=lambda r: (-r[1], r[2].encode()))
+    assert got == {r[0]: n for n, r in enumerate(want, 1)}
+    assert S.numbered(spark.createDataFrame([], "id int, v double, key string"), "place", F.col("v")).count() == 0
+
+
+def test_average_ranks_by_group(spark):
+    rows = [("a", 1.0), ("a", 1.0), ("a", 3.0), (None, 2.0), (None, 1.0), (None, 2.0), (None, 2.0)]
+    got = S.with_average_rank(spark.createDataFrame(rows, "g string, x double"), "r", "x", "g").collect()
+    assert sorted((r.g or "", r.x, r.r) for r in got) == [("", 1.0, 1.0), ("", 2.0, 3.0), ("", 2.0, 3.0), ("", 2.0, 3.0), ("a", 1.0, 1.5), ("a", 1.0, 1.5), ("a", 3.0, 3.0)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_share_p_values_are_the_definition(spark):
+    from glossade.plans import shift
+
+    got = shift.share_p_values(spark, "/root/testdata/sf0.001").collect()
+    assert got
+    for r in got:
+        assert r.p_value == pytest.approx(math.erfc(math.sqrt((r.chi2 or 0) / 2)), rel=1e-9) and r.significant == (r.p_value < 0.001)
