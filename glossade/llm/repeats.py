@@ -22,7 +22,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -503,24 +502,21 @@ def cut(docs: DataFrame, with_text: bool = True) -> DataFrame:
 
 def trimmed(docs: DataFrame) -> DataFrame:
     """docs with repeated strings cut from text; all other columns stay. A character that a cut divides goes with it. A null text stays null."""
-
-    @F.pandas_udf("string")
-    def left(text: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, s in zip(text, spans):
-            if s is not None and len(s):
-                raw, at, parts = t.encode(), 0, []
-                for x in s:
-                    parts.append(raw[at : x["lo"]].decode(errors="ignore"))
-                    at = x["hi"]
-                t = "".join([*parts, raw[at:].decode(errors="ignore")])
-            out.append(t)
-        return pd.Series(out)
-
-    row = unused(docs, "whole_row")
+    row, found = unused(docs, "whole_row"), unused(docs, "span_list")
     keyed = _docs(docs, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row))
     spans = repeated_spans(keyed)
     freed(docs.sparkSession)
-    met = keyed.select("o", "h", row).join(spans, ["o", "h"], "left")
-    cut = F.when(F.col("spans").isNull(), F.col(f"{row}.text")).otherwise(left(F.col(f"{row}.text"), "spans"))
-    return met.select(*(cut.alias("text") if c == "text" else F.col(f"{row}.`{c}`").alias(c) for c in docs.columns))
+    met = keyed.select("o", "h", row).join(spans, ["o", "h"], "left").select(f"{row}.*", F.col("spans").alias(found))
+    text = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            cols, names = batch.columns[:-1], batch.schema.names[:-1]
+            own, cuts = cols[text].to_pylist(), batch.column(len(cols))
+            for i in np.nonzero(np.asarray(cuts.is_valid()))[0].tolist():
+                lo, hi = (cuts[i].values.field(k).to_pylist() for k in (0, 1))
+                raw = own[i].encode()
+                own[i] = "".join(raw[a:b].decode(errors="ignore") for a, b in zip([0, *hi], [*lo, len(raw)]))
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()) if k == text else c for k, c in enumerate(cols)], names=names)
+
+    return met.mapInArrow(run, docs.schema)
