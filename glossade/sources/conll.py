@@ -6,13 +6,17 @@ import io
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TOKENS = "array<struct<form:string,lemma:string,upos:string>>"
+#: Sentences a written file: a file is one row when it is read from a store.
+SENTENCES = 10_000
+#: Tokens of a batch that the reader gives back (ten characters of text count as one).
+_BATCH = 200_000
 SCHEMA = f"file string, doc_no long, doc_id string, sent_no long, sent_id string, text string, tokens {TOKENS}"
 # Fixed formats: the comments that name documents and sentences.
 _DOC = re.compile(r"#\s*newdoc id\s*=\s*(.+)$", re.I)
@@ -129,20 +133,36 @@ def register(spark: SparkSession) -> None:
 
 
 def read_store(spark: SparkSession, path: str, layout: str = "basic") -> DataFrame:
-    """The same rows from any store that Spark reads: whole files by binaryFile, parsed by the executors."""
+    """The same rows from any store that Spark reads: whole files by binaryFile, parsed by the executors. A file must fit a task's memory; write() sees to that."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in batches:
-            for p, raw in zip(pdf["path"], pdf["content"]):
-                stem = os.path.splitext(os.path.basename(p))[0]
-                found = enumerate(_rows(io.TextIOWrapper(io.BytesIO(raw), encoding="utf-8", errors="replace"), stem, layout))
-                while rows := [(p, a, b, k, c, d, [{"form": f, "lemma": le, "upos": u} for f, le, u in e]) for k, (a, b, c, d, e) in islice(found, 10_000)]:
-                    yield pd.DataFrame(rows, columns=["file", "doc_no", "doc_id", "sent_no", "sent_id", "text", "tokens"])
+        def batch(rows: list[tuple], words: list[list], ends: list[int]):
+            tokens = pa.StructArray.from_arrays([pa.array(w, pa.string()) for w in words], ["form", "lemma", "upos"])
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string())
+            cols = [pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)] + [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens)]
+            return pa.RecordBatch.from_arrays(cols, ["file", "doc_no", "doc_id", "sent_no", "sent_id", "text", "tokens"])
 
-    return files.mapInPandas(run, SCHEMA)
+        for files in batches:
+            for p, content in zip(files.column(0), files.column(1)):
+                p, raw = p.as_py(), io.BytesIO(content.as_py())
+                stem = os.path.splitext(os.path.basename(p))[0]
+                rows, words, ends, chars = [], [[], [], []], [0], 0
+                for k, (doc_no, doc_id, sid, text, tokens) in enumerate(_rows(io.TextIOWrapper(raw, encoding="utf-8", errors="replace"), stem, layout)):
+                    rows.append((p, doc_no, doc_id, k, sid, text))
+                    for w, own in zip(words, zip(*tokens)):
+                        w += own
+                    ends.append(len(words[0]))
+                    chars += len(text or "") + 100
+                    if max(ends[-1], chars // 10) >= _BATCH:
+                        yield batch(rows, words, ends)
+                        rows, words, ends, chars = [], [[], [], []], [0], 0
+                if rows:
+                    yield batch(rows, words, ends)
+
+    return files.mapInArrow(run, SCHEMA)
 
 
 def basic_block(sent_id: Column, text: Column, tokens: Column) -> Column:
@@ -170,11 +190,11 @@ def conllu_block(sent_id: Column, text: Column, tokens: Column, fields: tuple[st
     return F.concat(F.lit("# sent_id = "), F.coalesce(sent_id, F.lit("")), F.lit("\n# text = "), F.coalesce(text, F.lit("")), F.lit("\n"), F.array_join(F.transform(tokens, row), "\n"), F.lit("\n"))
 
 
-def write(sentences: DataFrame, path: str, layout: str = "basic") -> None:
-    """Sentences by file and place. conllu: tokens may carry fields of MORE, and sentences a column ranges."""
+def write(sentences: DataFrame, path: str, layout: str = "basic", most: int = SENTENCES) -> None:
+    """Sentences by file and place, at most so many a file. conllu: tokens may carry fields of MORE, and sentences a column ranges."""
     if layout == "basic":
         block = basic_block(F.col("sent_id"), F.col("text"), F.col("tokens"))
     else:
         names = sentences.schema["tokens"].dataType.elementType.names
         block = conllu_block(F.col("sent_id"), F.col("text"), F.col("tokens"), tuple(n for n in names if n in MORE), F.col("ranges") if "ranges" in sentences.columns else None)
-    sentences.sortWithinPartitions("file", "sent_no").select(block.alias("value")).write.text(path)
+    sentences.sortWithinPartitions("file", "sent_no").select(block.alias("value")).write.option("maxRecordsPerFile", most).text(path)

@@ -57,6 +57,17 @@ def test_conllu_round_trip(spark, tmp_path):
     assert [[t.form for t in r.tokens] for r in conll.read_store(spark, str(tmp_path / "again.conllu"), "conllu").collect()] == [["de", "le", "pain"]]
 
 
+def test_written_files_are_bounded(spark, tmp_path):
+    """However many sentences a task holds, a file (which is one row to the reader) has a bounded number of them, and all come back in order."""
+    rows = [("f", i, f"s{i}", "a b", [("a", "a", "X"), (f"b{i}", None, "Y")]) for i in range(25)]
+    df = spark.createDataFrame(rows, "file string, sent_no int, sent_id string, text string, tokens array<struct<form:string,lemma:string,upos:string>>").coalesce(1)
+    for kind in ("basic", "conllu"):
+        conll.write(df, str(tmp_path / kind), kind, most=10)
+        assert [p.read_text().count("# sent_id") for p in sorted((tmp_path / kind).glob("part-*.txt"))] == [10, 10, 5]
+        got = conll.read_store(spark, str(tmp_path / kind), kind).orderBy("file", "sent_no").collect()
+        assert [(r.sent_id, r.sent_no, r.text, [tuple(t) for t in r.tokens]) for r in got] == [(s, i % 10, t, [(f, le if kind == "basic" else le or "_", u) for f, le, u in w]) for _, i, s, t, w in rows]
+
+
 def test_basic_round_trip(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
