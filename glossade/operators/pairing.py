@@ -33,6 +33,16 @@ def documents(sentences: DataFrame, file: str = "file") -> DataFrame:
     return own.select("file", "place", "doc_id", F.flatten(F.col("s.tokens")).alias("tokens"))
 
 
+def parts_joined(docs: DataFrame) -> DataFrame:
+    """documents() of files that are the parts of one: each folder counts as a file, and places go on from part to part in the order of their names (of their numbers, where Spark wrote them)."""
+    numbers = F.transform(F.regexp_extract_all(F.regexp_extract("file", r"/part-(\d+-.*-c\d+)[^/]*$", 1), F.lit(r"^(\d+)-|-c(\d+)$"), F.lit(0)), lambda x: F.regexp_extract(x, r"\d+", 0).cast("long"))
+    folder = F.regexp_extract("file", "^(.*)/", 1)
+    sizes = docs.groupBy("file").agg(F.max("place").alias("n"))  # a row a file
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("folder").orderBy("numbers", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = docs.join(sizes.withColumns({"folder": folder, "numbers": numbers}).select("file", "folder", before.alias("before")), "file")
+    return own.select(F.col("folder").alias("file"), (F.col("before") + F.col("place")).alias("place"), "doc_id", "tokens")
+
+
 def by_place(human: DataFrame, model: DataFrame, label: str = "file") -> DataFrame:
     """(model, pair_id, h, m): the n-th human document with the n-th of each model file; what the shorter side lacks is left out.
 

@@ -68,6 +68,19 @@ def test_written_files_are_bounded(spark, tmp_path):
         assert [(r.sent_id, r.sent_no, r.text, [tuple(t) for t in r.tokens]) for r in got] == [(s, i % 10, t, [(f, le if kind == "basic" else le or "_", u) for f, le, u in w]) for _, i, s, t, w in rows]
 
 
+def test_parts_are_one_file(spark, tmp_path):
+    """Documents are counted on from part to part in the order of the numbers that Spark gives them, by folder."""
+    from glossade.operators import pairing
+
+    for side in "hm":
+        (tmp_path / side).mkdir()
+        for name, words in (("part-00002-u-c000.txt", "ef"), ("part-00010-u-c000.txt", "g"), ("part-00002-u-c1000.txt", ""), ("part-00000-u-c002.txt", "b"), ("part-00000-u-c010.txt", "cd"), ("part-00000-u-c000.txt", "a")):
+            (tmp_path / side / name).write_text("".join(f"# newdoc id = {w}\n" + token_row(1, w + side) + "\n" for w in words))
+    docs = [pairing.parts_joined(pairing.documents(conll.read_store(spark, str(tmp_path / side), "conllu"))) for side in "hm"]
+    assert [(r.place, r.doc_id) for r in docs[0].orderBy("place").collect()] == [*enumerate("abcdefg", 1)]
+    assert sorted((r.h[0].form, r.m[0].form) for r in pairing.by_place(*docs).collect()) == [(w + "h", w + "m") for w in "abcdefg"]
+
+
 def test_basic_round_trip(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
