@@ -14,8 +14,9 @@ from ..functions.tokens import Tokenizer, fold_yo
 
 
 def _named(df: DataFrame, *cols: Column) -> DataFrame:
-    file = F.col("_metadata.file_path")
-    return df.select(F.regexp_extract(file, r"([^/]+)/[^/]+$", 1).alias("lang"), F.regexp_extract(file, r"(\d{4})[^/]*$", 1).try_cast("int").alias("year"), file.alias("file"), *cols)
+    file = F.col("_metadata.file_path")  # cut without a pattern: it is told for every line
+    folder = F.substring_index(F.substring_index(file, "/", -2), "/", 1)
+    return df.select(folder.alias("lang"), F.regexp_extract(F.substring_index(file, "/", -1), r"(\d{4})[^/]*$", 1).try_cast("int").alias("year"), file.alias("file"), *cols)
 
 
 def token_lines(spark: SparkSession, path: str, glob: str = "*.pos") -> DataFrame:

@@ -184,3 +184,16 @@ def test_halves_round_trip(spark, tmp_path):
     outputs.write_halves(items, str(tmp_path / "out"))
     got = spark.read.json(str(tmp_path / "out")).collect()
     assert [r.id.sent_id for r in got] == [f"en-2020-L{i}-s1" for i in range(3)] and got[0].lang == "en"
+
+
+def test_scans_run_no_pattern_for_the_path_of_a_line(spark, tree, capsys):
+    """Language and file come with every line, so they are cut without a pattern, and white space is stripped without one."""
+    columns.keys(columns.token_lines(spark, tree)).groupBy("lang", "key").count().explain(True)
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1]
+    assert "regexp" not in plan
+    from glossade.functions.text import strip_space
+
+    spaces = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+    given = [spaces + "a" + spaces + "b" + spaces, spaces, "", "x", "\u200bx\u200b", None]
+    got = spark.createDataFrame([(i, g) for i, g in enumerate(given)], "i int, g string").select("i", strip_space(F.col("g")).alias("s")).orderBy("i").collect()
+    assert [r.s for r in got] == [g if g is None else g.strip() for g in given]
