@@ -168,3 +168,21 @@ def test_split_halves_frame(spark):
     rows = [("en-2020-L1-s1", "en", " ".join("abcdefgh"), [(c, c, "X") for c in "abcdefgh"]), ("en-2020-L2-s1", "en", "a b", [("a", "a", "X"), ("b", "b", "X")])]
     r = halves.split_halves(spark.createDataFrame(rows, f"sent_id string, lang string, text string, tokens {tok}"), least=3).collect()
     assert len(r) == 1 and r[0].split_meta["index"] == 4 and r[0].text.first_half == "a b c d" and r[0].id.year == 2020 and r[0].split_meta.is_perfect_reconstruction
+
+
+def test_long_texts_are_cut_in_proportion(spark):
+    """A text of 60,000 words, whose tokens are found in it one after the other, takes no longer a word than a short one; forms that are empty or hold blanks are found as before."""
+    import time
+
+    tok = "array<struct<form:string,lemma:string,upos:string>>"
+    long_ = [f"wö{k}" for k in range(60_000)]
+    texts = [("  ".join(long_), long_), ("a b c d", ["a", "b", "c", "d"]), ("a b c d", ["a", " b", "c", "d"]), ("a  b d", ["a", "", "b", "d"]), ("ab c-d", ["a", "b", "c", "d"])]
+    rows = [(f"en-2020-L{k}-s1", "en", t, [(f, f, "X") for f in forms]) for k, (t, forms) in enumerate(texts)]
+    df = spark.createDataFrame(rows, f"sent_id string, lang string, text string, tokens {tok}")
+    began = time.time()
+    got = {r.id.sent_id: r for r in halves.split_halves(df, least=2).collect()}
+    assert time.time() - began < 40  # a walk from the start of the text for every word takes minutes
+    for sid, lang, text, tokens in rows:
+        index, method, shift, first, second, whole = halves.split_text(text, [f for f, _, _ in tokens], lang, len(tokens) // 2, 2)
+        r = got[sid]
+        assert (r.split_meta["index"], r.split_meta.method, r.split_meta.shift, r.text.first_half, r.text.second_half, r.text.full_inferred) == (index, method, shift, first, second, whole)
