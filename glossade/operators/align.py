@@ -64,6 +64,54 @@ def unrestricted(pairs: DataFrame, ks: list[int], floor: float) -> DataFrame:
     return own.select("seed", "lang", F.when(ok, F.col("b.target")).alias("matched"), F.col("b.cosine").alias("cosine"), F.when(ok, F.col("b.lpr_rank")).alias("lpr_rank"), *((ok & (F.col("b.lpr_rank") <= k)).cast("int").alias(f"hit_at_{k}") for k in ks))
 
 
+#: Vectors of a block: a product of two blocks is 4 MB or less.
+BLOCK = 512
+
+
+def searched(seeds: DataFrame, targets: DataFrame) -> DataFrame:
+    """(seed, lang, target, lpr_rank, cosine): each seed's best of all targets of each language, ties to the best rank, as unrestricted() picks it from similarities().
+
+    All pairs are compared, as products of blocks in the tasks that hold the blocks; what goes on is a row a seed, language and block of targets. Of
+    equal vectors of a language the best rank alone is compared. Cosines within 1e-9 of a block's best are summed again in the order of the vector, so that equal
+    vectors have equal cosines wherever they stand.
+    """
+    left = seeds.select("seed", unit(F.col("vec")).alias("u"))
+    right = targets.select("lang", "target", "lpr_rank", unit(F.col("vec")).alias("v")).groupBy("lang", "v").agg(F.min_by(F.struct("target", "lpr_rank"), "lpr_rank").alias("t"))
+    kind = {c: targets.schema[c].dataType.simpleString() for c in ("lang", "target", "lpr_rank")} | {"seed": seeds.schema["seed"].dataType.simpleString()}
+    n = (F.count("*") / BLOCK).cast("int") + 1
+    block = lambda vec: F.pmod(F.xxhash64(vec), F.col("n"))
+    a = left.crossJoin(F.broadcast(left.agg(n.alias("n")))).groupBy(block("u"), F.col("u").isNull().alias("a_void")).agg(F.collect_list(F.struct("seed", "u")).alias("a")).select("a_void", "a")  # one row
+    sizes = F.broadcast(right.groupBy("lang").agg(n.alias("n")))  # a row a language
+    b = right.join(sizes, "lang").groupBy("lang", block("v"), F.col("v").isNull().alias("b_void")).agg(F.collect_list(F.struct("t.target", "t.lpr_rank", "v")).alias("b")).select("lang", "b_void", "b")
+    met = a.crossJoin(b.repartition(4 * seeds.sparkSession.sparkContext.defaultParallelism))
+
+    def best(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = {name: batch.column(name)[row] for name in batch.schema.names}
+                x, y = one["a"].values, one["b"].values
+                seed, target, rank = x.field("seed"), y.field("target"), np.asarray(y.field("lpr_rank"))
+                if one["a_void"].as_py() or one["b_void"].as_py():
+                    at, cosine = np.full(len(seed), int(rank.argmin())), pa.nulls(len(seed), pa.float64())
+                else:
+                    u = np.asarray(x.field("u").flatten()).reshape(len(seed), -1)
+                    v = np.asarray(y.field("v").flatten()).reshape(len(target), -1)
+                    near = u @ v.T
+                    i, j = np.nonzero(near >= near.max(axis=1, keepdims=True) - 1e-9)
+                    exact = np.zeros(len(i))
+                    for d in range(u.shape[1]):
+                        exact += u[i, d] * v[j, d]
+                    order = np.lexsort((rank[j], -exact, i))
+                    first = order[np.unique(i[order], return_index=True)[1]]
+                    at, cosine = j[first], pa.array(exact[first])
+                yield pa.RecordBatch.from_arrays([seed, pa.array([one["lang"].as_py()] * len(seed), batch.schema.field("lang").type), target.take(pa.array(at)), pa.array(rank[at], y.field("lpr_rank").type), cosine], ["seed", "lang", "target", "lpr_rank", "cosine"])
+
+    return met.mapInArrow(best, f"seed {kind['seed']}, lang {kind['lang']}, target {kind['target']}, lpr_rank {kind['lpr_rank']}, cosine double")
+
+
 def seed_summary(matches: DataFrame, ks: list[int], examples: int = 3) -> DataFrame:
     """By seed: mean best cosine at each k (of restricted matches), the number of languages with a hit at each k, and its best matches as lang:target."""
     top = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("matched").isNotNull(), F.struct("cosine", "lang", "matched"))))), 1, examples)

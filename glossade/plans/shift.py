@@ -244,8 +244,8 @@ SELECT metric, observed, round(null_mean, 6) AS null_mean, round(null_std, 6) AS
 def _null(spark, sf, most):
     own = vectors(spark, sf)
     words = own.where("label = 0").select(F.col("vec_id").alias("seed"), "vec")
-    met = align.similarities(words, _matches(spark, sf)[1], most)
-    best = align.restricted(met, _KS) if most else align.unrestricted(met, _KS, 0.3)
+    targets = _matches(spark, sf)[1]
+    best = align.restricted(align.similarities(words, targets, most), _KS) if most else align.unrestricted(align.searched(words, targets), _KS, 0.3)
     value = align.word_values(best, _KS).select(F.col("seed").alias("word"), F.concat(F.lit("p"), (F.col("seed") % 4).cast("string")).alias("upos"), *(F.round(m, 6).alias(m) for m in _METRICS))
     seen = selection.top(value, 20, [F.col("word")])
     null = align.permutation_null(value, seen.groupBy("upos").agg(F.count("*").alias("quota")), 100, 42, _METRICS)
