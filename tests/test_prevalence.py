@@ -58,3 +58,26 @@ def test_sampling_repeats(spark):
     a = [r.id for r in selection.sample_per(df, ["g"], 5, 1, "id").orderBy("id").collect()]
     assert a == [r.id for r in selection.sample_per(df.repartition(7), ["g"], 5, 1, "id").orderBy("id").collect()] and len(a) == 15
     assert a != [r.id for r in selection.sample_per(df, ["g"], 5, 2, "id").orderBy("id").collect()]
+
+
+def test_a_common_key_is_dealt_to_many_tasks(spark, monkeypatch):
+    """Scores of tokens that share one key are right; its tokens stay where they are if the table is small, and else meet its difference in many tasks."""
+    from glossade.operators import scoring
+
+    keys = spark.range(6400).selectExpr("id AS line_no", "IF(id % 100 = 0, NULL, IF(id % 64 = 1, 'rare', 'the')) AS key")
+    delta = spark.createDataFrame([("the", 0.25)], "key string, delta double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for k, v in zip(("autoBroadcastJoinThreshold", "adaptive.enabled", "shuffle.partitions"), ("-1", "false", "64")):
+            spark.conf.set(f"spark.sql.{k}", v)
+        each = lambda: {r.line_no: (r.len_used, r.sLAS) for r in scoring.sentences(keys, delta, ["line_no"]).collect()}
+        assert "BroadcastHashJoin" in scoring.met(keys, delta, ["line_no"])._jdf.queryExecution().executedPlan().toString()
+        small = each()
+        monkeypatch.setattr(scoring, "KEYS", 0)
+        tasks = scoring.met(keys, delta, ["line_no"]).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        assert sum(tasks) == 6400 and max(tasks) < 1600
+        got = each()
+    finally:
+        for k, v in zip(("autoBroadcastJoinThreshold", "adaptive.enabled", "shuffle.partitions"), before):
+            spark.conf.set(f"spark.sql.{k}", v)
+    assert got == small == {i: (0, 0.0) if i % 100 == 0 else (1, 0.0 if i % 64 == 1 else 0.25) for i in range(6400)}
