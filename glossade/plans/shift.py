@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, counts, prevalence, selection
 from . import sql
-from .inputs import ASCII_SPACE, discovered, key_counts, pairs, period, table, vectors, words
+from .inputs import ASCII_SPACE, discovered, key_counts, pairs, period, table, vectors, word_totals, words
 from .registry import query
 from .words import NEUTRAL_SQL, tagged
 
@@ -123,7 +123,7 @@ def _term_opm(spark, sf):
     seeds = selection.seeds(tagged(spark, sf), 50, _TAGS).select("seed_type", "key")
     by = key_counts(spark, sf, period=F.col("source"))
     met = seeds.join(by, "key", "left").withColumn("count", F.coalesce("count", F.lit(0)))
-    return counts.opm_table(met, counts.totals(by, ["period"]), "period", _PRE, _POST, ["seed_type", "key"])
+    return counts.opm_table(met, word_totals(spark, sf, period=F.col("source")), "period", _PRE, _POST, ["seed_type", "key"])
 
 
 @query(f"WITH {_TERM_OPM} SELECT seed_type, key, round(opm_pre, 6) AS opm_pre, round(opm_post, 6) AS opm_post, round(pct_change, 6) AS pct_change FROM c")
@@ -151,7 +151,8 @@ def _language_summary(spark, sf):
     """Occurrences per million of the seeds before and after, in each language."""
     by = key_counts(spark, sf, lang=F.col("lang"), period=period())
     wide = counts.pivoted(by, ["lang", "key"], "period", ["pre", "post"])
-    total = wide.groupBy("lang").agg(F.sum("count_pre").alias("total_pre"), F.sum("count_post").alias("total_post"))
+    words_of = word_totals(spark, sf, lang=F.col("lang"), period=period())
+    total = words_of.groupBy("lang").agg(*(F.coalesce(F.sum(F.when(F.col("period") == p, F.col("total"))), F.lit(0)).alias(f"total_{p}") for p in ("pre", "post")))
     seeds = selection.seeds(tagged(spark, sf), 50, _TAGS).select("seed_type", "key")
     every = seeds.crossJoin(F.broadcast(total)).join(wide, ["lang", "key"], "left")  # a hundred seeds by the languages
     own = every.select("lang", "seed_type", "key", *(counts.opm(F.coalesce(f"count_{p}", F.lit(0)), F.col(f"total_{p}")).alias(f"opm_{p}") for p in ("pre", "post")))

@@ -89,3 +89,18 @@ def test_share_p_values_are_the_definition(spark):
     assert got
     for r in got:
         assert r.p_value == pytest.approx(math.erfc(math.sqrt((r.chi2 or 0) / 2)), rel=1e-9) and r.significant == (r.p_value < 0.001)
+
+
+def test_word_totals_are_those_of_the_keys(spark, tmp_path):
+    """Totals come from the numbers of words, without an explode; null, blank and empty texts count nothing."""
+    from pyspark.sql import functions as F
+
+    from glossade.operators import counts
+    from glossade.plans import inputs
+
+    rows = [("a", "one two  two\n"), ("a", None), ("b", " \t"), ("b", ""), ("c", "Ё 7 ...")]
+    spark.createDataFrame(rows, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = inputs.word_totals(spark, str(tmp_path), period=F.col("source"))
+    want = counts.totals(inputs.key_counts(spark, str(tmp_path), period=F.col("source")), ["period"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) == [("a", 3), ("c", 3)]
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
