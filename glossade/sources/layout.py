@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sha256
+
 HALVES_FILE = r"^(.+?)_pregenhalves_.*\.jsonl$"
 NEWS_FILE = r"news\.(\d{4})\.([A-Za-z-]+)\.shuffled\.deduped\.gz"
 
@@ -79,3 +83,52 @@ def manifest(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
     ends = F.length(text) - F.length(F.replace(text, F.lit("\n")))
     lines = ends + F.when((F.col("length") > 0) & ~F.endswith(text, F.lit("\n")), 1).otherwise(0)
     return own.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("lang"), F.regexp_extract("path", r"(\d{4})[^/]*$", 1).try_cast("int").alias("year"), "path", F.col("length").alias("bytes"), lines.cast("long").alias("lines"), F.sha2("content", 256).alias("sha256"))
+
+
+def _part_order(name: str) -> tuple:
+    """Parts that Spark wrote go by their numbers, other names as they are."""
+    found = re.match(r"part-(\d+)-.*[.-]c(\d+)", name)
+    return (*map(int, found.groups()), name) if found else (-1, -1, name)
+
+
+def _hashed(spark: SparkSession, states: dict[str, bytes]) -> DataFrame:
+    """(path, state, ends, open) of files: the state of their chains from the given ones on, how many line ends they hold, and whether their last line has none. A file is one row."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                view, chain, ends = memoryview(content.as_buffer()), sha256.Chain(states[path]), 0
+                for at in range(0, len(view), sha256.STEP):
+                    own = bytes(view[at : at + sha256.STEP])
+                    chain.update(own)
+                    ends += own.count(b"\n")
+                yield pa.RecordBatch.from_pylist([{"path": path, "state": chain.state(), "ends": ends, "open": bytes(view[-1:]) != b"\n"}])
+
+    paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in states]  # names, not patterns
+    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(run, "path string, state binary, ends long, open boolean")
+
+
+def manifest_of_parts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
+    """(lang, path, bytes, lines, sha256) of folders of which each is one file in parts, in the order of their names (of their numbers, where Spark wrote them).
+
+    The digest, one chain over all bytes, goes on from part to part: each job hashes the next part of every folder from the state that the job before left, so a task holds
+    and reads a part, not a file. There are as many jobs as the folder with the most parts has parts; they run in this call.
+    """
+    parts: dict[str, list] = {}
+    for r in sorted(listing(spark, path, glob).collect(), key=lambda r: (r.folder, _part_order(r.name))):
+        parts.setdefault(r.folder, []).append(r)
+    state, ends, unended = dict.fromkeys(parts, sha256.START), dict.fromkeys(parts, 0), {}
+    for k in range(max(map(len, parts.values()), default=0)):
+        own = {rows[k].path: folder for folder, rows in parts.items() if k < len(rows)}
+        for r in _hashed(spark, {p: state[folder] for p, folder in own.items()}).collect():  # a row a folder
+            state[own[r.path]], unended[own[r.path]] = bytes(r.state), r.open
+            ends[own[r.path]] += r.ends
+    rows = []
+    for folder, own in parts.items():
+        chain = sha256.Chain(state[folder])
+        if chain.length != sum(r.size for r in own):
+            raise OSError(f"parts of {folder} changed or were left out while they were hashed")
+        rows.append((folder.rpartition("/")[2], folder, chain.length, ends[folder] + unended[folder], chain.hexdigest()))
+    return spark.createDataFrame(rows, "lang string, path string, bytes long, lines long, sha256 string")

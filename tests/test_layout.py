@@ -1,6 +1,7 @@
 """Scans of column files, file layouts, sinks, tagging and pairing, on small trees."""
 
 import hashlib
+import itertools
 import json
 
 import pytest
@@ -76,6 +77,46 @@ def test_links_and_manifest(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "log")).count() == 4
 
 
+def test_manifest_of_parts(spark, tmp_path):
+    """Parts are joined by number, whatever the length of the number; lines and blocks of 64 bytes run over their ends."""
+    parts = {"part-00002-a.c000.txt": "one\ntw", "part-00002-a.c999.txt": "o\n" * 50, "part-00002-a.c1000.txt": "x" * 200, "part-100000-a-c000.txt": "\n\nend", "part-99999-a-c000.txt": "é\r\n"}
+    order = ["part-00002-a.c000.txt", "part-00002-a.c999.txt", "part-00002-a.c1000.txt", "part-99999-a-c000.txt", "part-100000-a-c000.txt"]
+    for folder, names in (("lang=en", order), ("lang=[d]e*", order[3:4]), ("plain", ["b.txt", "a.txt"])):
+        (tmp_path / folder).mkdir()
+        for n in names:
+            (tmp_path / folder / n).write_bytes(parts.get(n, n).encode())
+    (tmp_path / "plain" / "other.csv").write_text("not a part")
+    got = {r.lang: (r.bytes, r.lines, r.sha256) for r in layout.manifest_of_parts(spark, str(tmp_path)).collect()}
+    told = lambda body, lines: (len(body), lines, hashlib.sha256(body).hexdigest())
+    assert got == {"lang=en": told("".join(parts[n] for n in order).encode(), 55), "lang=[d]e*": told("é\r\n".encode(), 1), "plain": told(b"a.txtb.txt", 1)}
+    assert layout.manifest_of_parts(spark, str(tmp_path), "*.none").collect() == []
+
+
+def test_a_language_is_hashed_in_parts(spark, tmp_path, monkeypatch):
+    """io_manifest writes no language as one file, and its rows are those of its SQL: odd rows too."""
+    import duckdb
+
+    from glossade.plans import files as plan
+    from glossade.plans import registry
+
+    own = [(k * 7 % 400, "en" if k % 5 else "de", "web1", f"{k}\r line\n\nand {'é' * (k % 90)}") for k in range(400)]
+    own += [(None, "en", "web1", "no number"), (-1, "en", "web1", None), (401, "fr", "web1", ""), (402, "es", "web1", None), (403, None, "web1", "no language"), (404, "a/b +%2B", "web1", "odd")]
+    (tmp_path / "sf").mkdir()
+    spark.createDataFrame(own, "doc_id long, lang string, source string, text string").write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    monkeypatch.setattr(plan, "_PART", 4096, raising=False)
+    spark.createDataFrame([], "doc_id long, lang string, source string, text string").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    runs = itertools.count(1)
+    monkeypatch.setattr(plan, "scratch", lambda spark, what: f"file://{tmp_path}/{what}-{next(runs)}")
+    got = registry.queries()["io_manifest"](spark, str(tmp_path / "sf")).select("lang", "bytes", "lines", "sha256").collect()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/sf/documents.parquet/*.parquet')")
+    want = con.sql(f"select lang, bytes, lines, sha256 from ({registry.oracle_sql()['io_manifest']})").fetchall()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert registry.queries()["io_manifest"](spark, str(tmp_path / "none")).collect() == []
+    sizes = [p.stat().st_size for p in (tmp_path / "manifest-1" / "lang=en").glob("*.txt")]
+    assert sum(sizes) > 4 * 4096 and max(sizes) < 3 * 4096
+
+
 def test_filtered_lines_and_shards(spark, tmp_path):
     df = spark.createDataFrame([("en", 2020, "a.txt", n, "x" * n if n % 2 else "y\tz") for n in range(1, 9)], "lang string, year int, file string, line_no int, text string")
     outputs.write_filtered(ln.kept(ln.measured(df), chars=5), str(tmp_path / "kept"), str(tmp_path / "log"))
